@@ -13,7 +13,6 @@ rows are packed each; null ids are kept as null; no rows give no sequences.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,16 +29,28 @@ CAPACITY = 2048
 REMEMBERED_WORDS = 1_000_000
 LONGEST_REMEMBERED = 64
 
-#: White space that str.split() knows but that needn't be white space to a tokenizer.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Marks that a tokenizer cuts from the letter or digit before them.
+_MARKS = b".,;:!?|*$%&#()[]{}<>=+-_/\\\"~^@"
 _loaded: dict[str, tuple] = {}
 
 
-def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def _split_marks(word: bytes) -> tuple[bytes, ...]:
+    """word without the marks at its end, and those; only where a letter or ASCII digit precedes them.
+
+    Names of special tokens stay whole, as do letters whose lower case ends in an accent of its own.
+    """
+    core = word.rstrip(_MARKS)
+    if len(core) in (0, len(word)) or b"<|" in word or not (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace").lower()[-1].isalpha()):
+        return (word,)
+    return core, word[len(core) :]
+
+
+def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to little-endian unsigned 32-bit ids; one for each worker and tokenizer file.
 
-    The tokenizer drops white space and no token spans it, so words are encoded
-    one by one and remembered.
+    The tokenizer lower-cases, drops white space, and lets no token span it or
+    the end of a run of letters; so A-Z are lower-cased first, and words without
+    the marks at their ends are encoded one by one and remembered.
     """
     if path not in _loaded:
         from tokenizers import Tokenizer
@@ -47,26 +58,32 @@ def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         _loaded[path] = (Tokenizer.from_file(path), {})
     tokenizer, known = _loaded[path]
 
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def learn(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            got = tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            data = np.array(got.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            yield from ((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > REMEMBERED_WORDS:
             known.clear()
-        out = []
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in known})
-        rare = {}
-        for w, found in zip(new, ids(new), strict=True):
-            (known if len(w) <= LONGEST_REMEMBERED else rare)[w] = found
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(ids([text])[0])
-            elif rare:
-                out.append(b"".join([known[w] if w in known else rare[w] for w in words]))
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        split = [t.lower().split() for t in texts]
+        words = set().union(*split)
+        marked = {w: _split_marks(w) for w in words if w[-1] in _MARKS}
+        plain = list(words.difference(marked))
+        rare = []
+        for w, ids in learn(list(set(plain).union(*marked.values()).difference(known))):
+            known[w] = ids
+            if len(w) > LONGEST_REMEMBERED:
+                rare.append(w)
+        own = dict(zip(plain, map(known.__getitem__, plain), strict=True))
+        for w, parts in marked.items():
+            own[w] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
+        for w in rare:
+            del known[w]
+        return [b"".join(map(own.__getitem__, found)) for found in split]
 
     return encode
 
@@ -86,7 +103,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         used = np.zeros(capacity + 1, np.int64)
         end = np.array([separator], "<u4").tobytes()
         for part in byte_slices(batches):
-            texts = [t.decode("utf-8", "replace") if t else "" for t in part.column("text").to_pylist()]
+            texts = [t or b"" for t in part.column("text").to_pylist()]
             ids, piece, start, length, data, slot = [], [], [], [], [], []
             for doc_id, found in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
                 found += end
