@@ -13,6 +13,8 @@ rows are packed each; null ids are kept as null; no rows give no sequences.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -45,45 +47,74 @@ def _split_marks(word: bytes) -> tuple[bytes, ...]:
     return core, word[len(core) :]
 
 
+#: Letters a-z and those of Latin-1 and Latin Extended-A and -B, which need no normalising once in lower case.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\u024f]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """Byte-level vocabularies spell a byte as its Latin-1 character if that is visible, else as one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(enumerate(map(chr, range(256)))) | dict(zip((b for b in range(256) if b not in visible), map(chr, range(256, 512)), strict=False))
+
+
 def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to little-endian unsigned 32-bit ids; one for each worker and tokenizer file.
 
     The tokenizer lower-cases, drops white space, and lets no token span it or
-    the end of a run of letters; so A-Z are lower-cased first, and words without
-    the marks at their ends are encoded one by one and remembered.
+    the end of a run of letters; so A-Z are lower-cased first, words are encoded
+    one by one, without the marks at their ends, and remembered. Once half of
+    what may be remembered is new, what hasn't been used since is forgotten.
     """
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = (Tokenizer.from_file(path), [{}, {}])
     tokenizer, known = _loaded[path]
+    bytewise = str.maketrans(_byte_names())
+    merge = tokenizer.model.tokenize
 
     def learn(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        other = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and text.lower() == text:
+                ids = [t.id for t in merge(text if text.isascii() else w.decode("latin-1").translate(bytewise))]
+                yield w, struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(w)
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             got = tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
             data = np.array(got.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             yield from ((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
+        if len(known[0]) > REMEMBERED_WORDS // 2:
+            known[:] = {}, known[0]
+        recent, older = known
         split = [t.lower().split() for t in texts]
-        words = set().union(*split)
-        marked = {w: _split_marks(w) for w in words if w[-1] in _MARKS}
-        plain = list(words.difference(marked))
-        rare = []
-        for w, ids in learn(list(set(plain).union(*marked.values()).difference(known))):
-            known[w] = ids
+        new = set()
+        for words in split:
+            new.update(words)
+        new.difference_update(recent)
+        parts = {}
+        for w in new:
+            if w in older:
+                recent[w] = older[w]
+            else:
+                parts[w] = _split_marks(w) if w[-1] in _MARKS else (w,)
+        for w, ids in learn([p for p in set().union(*parts.values()) if p not in recent]):
+            recent[w] = ids
+        for w, found in parts.items():
+            if len(found) > 1:
+                recent[w] = recent[found[0]] + recent[found[1]]
+        get = recent.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for w in parts:
             if len(w) > LONGEST_REMEMBERED:
-                rare.append(w)
-        own = dict(zip(plain, map(known.__getitem__, plain), strict=True))
-        for w, parts in marked.items():
-            own[w] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
-        for w in rare:
-            del known[w]
-        return [b"".join(map(own.__getitem__, found)) for found in split]
+                del recent[w]
+        return out
 
     return encode
 
