@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorization, langid, packing, ppm, quality, topk
-from .common import id_remainder, table
+from . import factorization, langid, mixing, packing, ppm, quality, sharding, shingles, topk
+from .common import id_remainder, scratch_dir, table
 
 
 def tokenizer_path() -> str:
@@ -30,6 +31,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 4) == 2
@@ -43,6 +48,41 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.score(docs, factorization.train(docs, labels.filter(~held_out)), held_out)
 
 
+#: The production mix: what each domain, language and source should weigh.
+MIX_TREE = mixing.MixTree(
+    domain_weights={"web": 0.5, "books": 0.3, "reference": 0.2},
+    domain_sources={"web": [f"src{n}" for n in range(5)], "books": [f"src{n}" for n in range(5, 12)], "reference": [f"src{n}" for n in range(12, 20)]},
+    language_weights={"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
+    source_weights={"src0": 2.0},
+)
+MIX_SHARE = 0.8
+MIX_EPOCHS = 2
+MIX_SEED = 2024
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    return mixing.mix_sources(docs, MIX_TREE, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "domain", "language", "origin", "n_tokens", "epoch")
+
+
+ARRIVALS = 8
+
+
+def op8_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in batches, each is appended and the store compacted; every row with its shard at the end."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    arrival = id_remainder("doc_id", ARRIVALS)
+    for k in range(ARRIVALS):
+        store.append(docs.filter(arrival == k))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "tier", "version")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
@@ -52,7 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_lm_scoring": op3_lm_scoring,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_size_tiered_shards": op8_size_tiered_shards,
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
 }
