@@ -57,15 +57,15 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds at most SLICE_BYTES of the column, or one row."""
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds at most limit bytes of the column, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, begin = 0, 0
         for i, size in enumerate(sizes.tolist()):
-            if total and total + size > SLICE_BYTES:
+            if total and total + size > limit:
                 yield batch.slice(begin, i - begin)
                 total, begin = 0, i
             total += size

@@ -45,8 +45,9 @@ ALPHABET = 256
 SHARD_PAIRS = 4_000_000
 #: Different pairs that a task sums up before it sends them on.
 HELD_PAIRS = 2_000_000
-#: Text bytes of one chunk.
-CHUNK_BYTES = 16 << 20
+#: Text bytes of one chunk, and of one step of scoring.
+CHUNK_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 #: Different words, about, whose sums one task makes at a time.
 RANGE_WORDS = 1_000_000
 
@@ -182,7 +183,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
-    for part in byte_slices(batches):
+    for part in byte_slices(batches, limit=STEP_BYTES):
         held.append(np.unique(pair_keys(part.column("text").to_pylist())[0], return_counts=True))
         if sum(len(k) for k, _ in held) > HELD_PAIRS:
             held = [merged()]
@@ -275,7 +276,7 @@ def _requests(rows: DataFrame, bits: int, tries: list[tuple[int, int, Broadcast]
             made = list(_chunk_rows(number, bits, doc_ids, np.array(held, bool), texts, np.concatenate(scores)))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * 8], strict=True)], names=_CHUNK_FIELDS)
 
-        for part in byte_slices(batches):
+        for part in byte_slices(batches, limit=STEP_BYTES):
             new = part.column("text").to_pylist()
             doc_ids += part.column("doc_id").to_pylist()
             held += part.column("held_out").to_pylist()
