@@ -35,6 +35,8 @@ LEARN_ROWS = 2000
 CALIBRATE_ROWS = 400
 #: Share of the calibration rows whose cross-entropy a prediction may not exceed.
 ACCEPTED_SHARE = 0.995
+#: Text bytes of one step.
+STEP_BYTES = 1 << 20
 UNKNOWN = "und"
 SPACE = 32
 
@@ -45,7 +47,7 @@ _POWERS = [np.uint64(pow(0x5851F42D4C957F2D, n, 1 << 64)) for n in range(ORDER)]
 @cache
 def _letters() -> np.ndarray:
     """For every code point its lower case if it is a letter, else a space."""
-    table = np.full(sys.maxunicode + 1, SPACE, np.int64)
+    table = np.full(sys.maxunicode + 1, SPACE, np.int32)
     for i in range(0x40, sys.maxunicode + 1):
         c = chr(i)
         if c.isalpha():
@@ -61,42 +63,68 @@ def symbols(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     codes = _letters()[np.frombuffer("".join(plain).encode("utf-32-le", "replace"), np.uint32)]
     rows = np.repeat(np.arange(len(plain)), sizes)
     first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-    before = np.r_[SPACE, codes[:-1]] if len(codes) else codes
+    before = np.r_[np.int32(SPACE), codes[:-1]] if len(codes) else codes
     keep = (codes != SPACE) | ((before != SPACE) & ~first)
     codes, rows = codes[keep], rows[keep]
-    out = np.full(len(codes) + (ORDER - 1) * len(plain), SPACE, np.int64)
+    out = np.full(len(codes) + (ORDER - 1) * len(plain), SPACE, np.int32)
     at = np.arange(len(codes)) + (ORDER - 1) * (rows + 1)
     out[at] = codes
     return out, rows, at
 
 
-def hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """For n of 1..ORDER, hashes of the n symbols that end at each place (undefined before n - 1)."""
-    coded = mix(codes.astype(np.uint64) + np.uint64(1))
-    out = [coded]
-    for n in range(1, ORDER):
-        h = out[-1].copy()
-        h[n:] += coded[:-n] * _POWERS[n]
-        out.append(h)
-    return out
+@cache
+def _coded() -> np.ndarray:
+    """A 64-bit hash for every code point."""
+    return mix(np.arange(1, sys.maxunicode + 2, dtype=np.uint64))
+
+
+def hashes(coded: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n symbols that end at each place; coded has the hash of every symbol."""
+    h = coded[at]
+    for back in range(1, n):
+        h += coded[at - back] * _POWERS[back]
+    return h
 
 
 def _hash_rows(grams: np.ndarray) -> np.ndarray:
     """The same hashes for rows of symbols, the last column being the latest."""
     h = np.zeros(len(grams), np.uint64)
     for column, power in zip(grams.T[::-1], _POWERS, strict=False):
-        h += mix(column.astype(np.uint64) + np.uint64(1)) * power
+        h += _coded()[column] * power
     return h
 
 
+class SortedHashes:
+    """A sorted array of hashes; their leading bits tell where the search begins."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.r_[keys, np.uint64(np.iinfo(np.uint64).max)]
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        place = self.first[(keys >> self.shift).astype(np.int64)]
+        got = self.keys[place]
+        todo = np.flatnonzero(got < keys)
+        known = got == keys
+        while len(todo):
+            place[todo] += 1
+            got = self.keys[place[todo]]
+            known[todo] = got == keys[todo]
+            todo = todo[got < keys[todo]]
+        return place, known
+
+
 @dataclass
 class KneserNey:
     """Sorted hashes and log-probabilities of n-grams, and of back-off weights of contexts, by order."""
 
     languages: list[str]
-    grams: list[np.ndarray]
+    grams: list[SortedHashes]
     logp: list[np.ndarray]
-    contexts: list[np.ndarray]
+    contexts: list[SortedHashes | None]
     backoff: list[np.ndarray]
     unseen: np.ndarray
     sharpness: float = 1.0
@@ -105,22 +133,25 @@ class KneserNey:
     def cross_entropy(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol by text and language; the number of letters of each text."""
         codes, rows, at = symbols(texts)
-        found = hashes(codes) if len(codes) else []
+        coded = _coded()[codes]
         total = np.zeros((len(at), len(self.languages)), np.float32)
         todo = np.arange(len(at))
         for n in range(ORDER, 0, -1):
-            if not len(todo):
-                break
-            place, known = _lookup(self.grams[n - 1], found[n - 1][at[todo]])
+            place, known = self.grams[n - 1].find(hashes(coded, at[todo], n))
             total[todo[known]] += self.logp[n - 1][place[known]]
             todo = todo[~known]
+            if not len(todo):
+                break
             if n > 1:
-                place, known = _lookup(self.contexts[n - 1], found[n - 2][at[todo] - 1])
+                place, known = self.contexts[n - 1].find(hashes(coded, at[todo] - 1, n - 1))
                 total[todo[known]] += self.backoff[n - 1][place[known]]
             else:
                 total[todo] += self.unseen
         count = np.bincount(rows, minlength=len(texts))
-        sums = np.stack([np.bincount(rows, weights=t, minlength=len(texts)) for t in total.T], 1)
+        sums = np.zeros((len(texts), len(self.languages)))
+        there = np.flatnonzero(count)
+        if len(there):
+            sums[there] = np.add.reduceat(total, (np.cumsum(count) - count)[there], axis=0, dtype=np.float64)
         return -sums / np.maximum(count, 1)[:, None], per_row((codes[at] != SPACE).astype(np.int64), rows, len(texts))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -133,11 +164,6 @@ class KneserNey:
         return [UNKNOWN if x else self.languages[k] for k, x in zip(best, none, strict=True)], np.where(none, 0.0, confidence), none | (least > self.limit)
 
 
-def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-    return place, table[place] == keys if len(table) else np.zeros(len(keys), bool)
-
-
 def fit(counts: pd.DataFrame) -> KneserNey:
     """From counts (lang, c0..c3, n) of the longest n-grams."""
     languages = sorted(counts["lang"].unique())
@@ -153,7 +179,7 @@ def fit(counts: pd.DataFrame) -> KneserNey:
         np.add.at(seen, inverse.ravel(), (table > 0).astype(float))
         levels.append((shorter, seen))
     levels.reverse()
-    model = KneserNey(languages, [], [], [np.zeros(0, np.uint64)], [np.zeros((0, len(languages)), np.float32)], np.zeros(len(languages)))
+    model = KneserNey(languages, [], [], [None], [np.zeros((0, len(languages)), np.float32)], np.zeros(len(languages)))
     vocabulary = len(levels[0][0]) + 1
     lower = np.full((1, len(languages)), 1 / vocabulary)
     for n, (grams, table) in enumerate(levels, 1):
@@ -167,16 +193,16 @@ def fit(counts: pd.DataFrame) -> KneserNey:
         weight = np.where(totals > 0, discount * kinds / np.maximum(totals, 1), 1.0)
         if n > 1:
             shorter = _hash_rows(grams[:, 1:])
-            below = lower[np.searchsorted(model.grams[-1], shorter)]
+            below = lower[model.grams[-1].find(shorter)[0]]
             order = np.argsort(keys := _hash_rows(contexts))
-            model.contexts.append(keys[order])
+            model.contexts.append(SortedHashes(keys[order]))
             model.backoff.append(np.log(weight[order]).astype(np.float32))
         else:
             below = lower
             model.unseen = np.log(weight[0] / vocabulary)
         p = np.maximum(table - discount, 0) / np.maximum(totals[of], 1) + weight[of] * below
         order = np.argsort(keys := _hash_rows(grams))
-        model.grams.append(keys[order])
+        model.grams.append(SortedHashes(keys[order]))
         lower = p[order]
         model.logp.append(np.log(lower).astype(np.float32))
     return model
@@ -194,15 +220,15 @@ def calibrate(model: KneserNey, entropy: np.ndarray, truth: np.ndarray) -> None:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in byte_slices(batches):
+    for part in byte_slices(batches, limit=STEP_BYTES):
         frame = pd.DataFrame({"lang": part.column("lang").to_pylist(), "text": part.column("text").to_pylist()})
         for lang, own in frame.groupby("lang"):
             codes, _, at = symbols(own["text"].tolist())
             if not len(at):
                 continue
-            window = np.stack([codes[at - ORDER + 1 + k] for k in range(ORDER)], 1)
-            grams, n = np.unique(window, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(c.astype(np.int32)) for c in grams.T), pa.array(n.astype(np.int64))], names=["lang", *(f"c{k}" for k in range(ORDER)), "n"])
+            _, first, n = np.unique(hashes(_coded()[codes], at, ORDER), return_index=True, return_counts=True)
+            grams = [codes[at[first] - ORDER + 1 + k].astype(np.int32) for k in range(ORDER)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *map(pa.array, grams), pa.array(n.astype(np.int64))], names=["lang", *(f"c{k}" for k in range(ORDER)), "n"])
 
 
 def train(labelled: DataFrame, learn_rows: int = LEARN_ROWS, calibrate_rows: int = CALIBRATE_ROWS) -> KneserNey | None:
@@ -224,7 +250,7 @@ def train(labelled: DataFrame, learn_rows: int = LEARN_ROWS, calibrate_rows: int
     at = {k: i for i, k in enumerate(model.languages)}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches):
+        for part in byte_slices(batches, limit=STEP_BYTES):
             entropy, letters = shared.value.cross_entropy(part.column("text").to_pylist())
             use = letters > 0
             langs = [k for k, x in zip(part.column("lang").to_pylist(), use, strict=True) if x]
@@ -246,7 +272,7 @@ def identify(docs: DataFrame, model: KneserNey | None, held_out: Column) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches):
+        for part in byte_slices(batches, limit=STEP_BYTES):
             languages, score, rejected = shared.value.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
