@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, discard, materialize, mix
@@ -302,3 +302,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = own.join(least, "root").select("node", "check", "component_id")
     out = marks.join(labels, ["node", "check"], "left")
     return out.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, that of its least id.
+
+    Rows that repeat an id and text count as one; rows without shingles and rows
+    without an id, which nothing could name, all stay.
+    """
+    found = jaccard_components(docs)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_k")).distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    rest = docs.withColumn("_k", key).withColumn("_t", F.xxhash64("text")).join(gone, "_k", "left_anti")
+    copy = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_t"))
+    return rest.withColumn("_copy", copy).filter((F.col("_copy") == 1) | (F.col("_k") == _NO_ID) | ~F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")).select(*docs.columns)
