@@ -1,0 +1,148 @@
+"""Text functions: normalisation, stable ids, tokens, hashed vectors, cues, patterns."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: The CJK range that titles and tokens keep.
+CJK = "一-鿿"
+
+#: Lexical cues of a message, as case-insensitive patterns.
+CUES = {
+    "question": r"\?|？|吗|呢|how |what |why ",
+    "number": r"[0-9]",
+    "link": r"https?://",
+    "thanks": r"thank|谢谢|感谢",
+    "negation": r"\bnot\b|\bno\b|不|没",
+    "request": r"please|could you|请|麻烦",
+}
+
+#: What a scan for sensitive content looks for, by severity; RE2-safe.
+SENSITIVE = {
+    "private_key": ("critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "bearer_token": ("critical", r"(?i)bearer\s+[a-z0-9._\-]{16,}"),
+    "api_key": ("critical", r"(?i)(?:api[_-]?key|secret|token)\s*[:=]\s*['\"]?[a-z0-9_\-]{12,}"),
+    "password": ("high", r"(?i)(?:password|passwd|pwd)\s*[:=]\s*\S{4,}"),
+    "cn_phone": ("medium", r"\b1[3-9][0-9]{9}\b"),
+    "cn_id": ("high", r"\b[0-9]{17}[0-9Xx]\b"),
+}
+
+
+@F.pandas_udf("string")
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility normalisation. Spark has no built-in; for pure ASCII it is the identity (see normalize_title)."""
+    return _nfkc(c)
+
+
+def normalize_title(c: Column, compatibility: bool = True) -> Column:
+    """Lower-case letters, digits and CJK only; compatibility forms folded first unless switched off."""
+    return F.regexp_replace(F.lower(nfkc(c) if compatibility else c), f"[^a-z0-9{CJK}]+", "")
+
+
+def compact_title(c: Column) -> Column:
+    return normalize_title(c, compatibility=False)
+
+
+def publish_stamp(c: Column) -> tuple[Column, Column]:
+    """[YYYYMMDD] or [YYYYMMDDhhmm] before a title: (date, title); a null date and the whole text without one."""
+    pattern = r"^\s*\[([0-9]{8})(?:[0-9]{4})?\]\s*(.*)$"
+    stamp = F.regexp_extract(c, pattern, 1)
+    return F.when(stamp != "", F.try_to_date(stamp, "yyyyMMdd")), F.when(stamp != "", F.regexp_extract(c, pattern, 2)).otherwise(c)
+
+
+def classify(c: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
+    """The first label whose case-insensitive pattern the text matches."""
+    out = F.lit(otherwise)
+    for label, pattern in reversed(rules):
+        out = F.when(c.rlike(f"(?i){pattern}"), F.lit(label)).otherwise(out)
+    return out
+
+
+def features(c: Column, patterns: dict[str, str]) -> list[Column]:
+    return [c.rlike(f"(?i){p}").alias(name) for name, p in patterns.items()]
+
+
+def stable_id(prefix: str, length: int, *parts: Column) -> Column:
+    """prefix and the first hexadecimal digits of the parts' SHA-256, joined by a bar."""
+    return F.concat(F.lit(prefix), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(length)))
+
+
+def message_key(platform_id: Column, sender: Column, at: Column, kind: Column, content: Column) -> Column:
+    """The platform's id, else a hash of who, when, what kind and what."""
+    blank = F.lit("")
+    fallback = F.concat(F.lit("fallback:"), F.sha2(F.concat_ws("|", *(F.coalesce(c.cast("string"), blank) for c in (sender, at, kind, content))), 256))
+    return F.coalesce(F.concat(F.lit("platform:"), F.nullif(platform_id.cast("string"), blank)), fallback)
+
+
+def cue_tags(c: Column, cues: dict[str, str] = CUES) -> Column:
+    return F.array_compact(F.array(*(F.when(c.rlike(f"(?i){p}"), F.lit(name)) for name, p in cues.items())))
+
+
+def tokens(c: Column) -> Column:
+    """Runs of [a-z0-9_] or single CJK characters, and bigrams of neighbours in the CJK subsequence."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"([a-z0-9_]+|[{CJK}])"), F.lit(1))
+    cjk = F.filter(found, lambda t: t.rlike(f"^[{CJK}]$"))
+    pairs = F.zip_with(F.slice(cjk, 1, F.greatest(F.size(cjk) - 1, F.lit(0))), F.slice(cjk, 2, F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.concat(found, pairs)
+
+
+def hashed_dimension(token: Column, dimensions: int) -> Column:
+    """The first four bytes of the token's SHA-256, modulo dimensions."""
+    return (F.conv(F.left(F.sha2(token, 256), F.lit(8)), 16, 10).cast("long") % dimensions).cast("int")
+
+
+def hashed_sign(token: Column) -> Column:
+    """+1 or -1 by the lowest bit of the fifth byte."""
+    return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def clean_text(c: Column) -> Column:
+    """Without NULs, runs of blanks as one, at most one blank line, trimmed."""
+    plain = F.replace(F.replace(c, F.lit("\0"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n\s*\n+", "\n\n"))
+
+
+def squeeze(c: Column) -> Column:
+    """Without any white space: quotes are compared so."""
+    return F.regexp_replace(c, r"\s+", "")
+
+
+def natural_key(c: Column, width: int = 12) -> Column:
+    """Digit runs padded with zeros, so that text order is natural order; runs longer than width stay as they are."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda t: F.when(t.rlike("^[0-9]") & (F.length(t) < width), F.lpad(t, width, "0")).otherwise(t)), "")
+
+
+def markdown_figures(c: Column) -> list[Column]:
+    """Heading title, headings, images, bold pairs, paragraphs and visible characters of a Markdown text."""
+    visible = F.regexp_replace(F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", ""), r"[#*`>\s]", "")
+    return [
+        F.regexp_extract(c, r"(?m)^#\s+(.+)$", 1).alias("title"), F.regexp_count(c, F.lit(r"(?m)^#{1,6}\s")).cast("long").alias("headings"),
+        F.regexp_count(c, F.lit(r"!\[[^\]]*\]\([^)]*\)")).cast("long").alias("images"), F.floor(F.regexp_count(c, F.lit(r"\*\*")) / 2).cast("long").alias("bold_pairs"),
+        F.size(F.filter(F.split(c, r"\n\s*\n"), lambda p: F.trim(p) != "")).cast("long").alias("paragraphs"), F.length(visible).cast("long").alias("visible_chars"),
+    ]
+
+
+def image_references(c: Column) -> Column:
+    """Targets of Markdown images and of <img src> or <img data-src>, in order of kind."""
+    return F.concat(F.regexp_extract_all(c, F.lit(r"!\[[^\]]*\]\(([^)\s]+)"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"(?i)<img[^>]*?\s(?:data-)?src=[\"']([^\"']+)"), F.lit(1)))
+
+
+#: Counters that may follow a number, and what they multiply it by.
+COUNTERS = {"万": 10_000, "千": 1_000, "亿": 100_000_000}
+
+
+def numeric_count(c: Column) -> Column:
+    """A number with an optional Chinese counter: 1.2万 is 12000."""
+    number = F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    times = F.lit(1.0)
+    for mark, factor in COUNTERS.items():
+        times = F.when(c.rlike(f"[0-9]\\s*{mark}"), float(factor)).otherwise(times)
+    return number * times

@@ -1,0 +1,147 @@
+"""Text operators: hashed-vector retrieval, sensitive content, conversations, corpora."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import CUES, SENSITIVE, cue_tags, hashed_dimension, hashed_sign, tokens
+
+DIMENSIONS = 384
+CHUNK_CHARS = 1200
+OVERLAP = 120
+MOST_HITS = 100
+
+
+def chunk_spans(text: str, most: int = CHUNK_CHARS, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """Spans of at most most characters, cut after the last newline or full stop of their second half."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        if end < len(text):
+            cut = max(text.rfind("\n", at + most // 2, end), text.rfind("。", at + most // 2, end))
+            end = cut + 1 if cut >= 0 else end
+        inner = text[at:end]
+        begin, stop = at + len(inner) - len(inner.lstrip()), at + len(inner.rstrip())
+        if begin < stop:
+            yield begin, stop
+        if end >= len(text):
+            return
+        at = max(at + 1, end - overlap)
+
+
+def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, char_start, char_end, excerpt) of every text; null texts have none."""
+    kind = dict(docs.dtypes)[key]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, a, b, t[a:b]) for k, t in zip(batch[key], batch[text], strict=True) if t for a, b in chunk_spans(t)]
+            yield pd.DataFrame(rows, columns=[key, "char_start", "char_end", "excerpt"])
+
+    return docs.select(key, text).mapInPandas(cut, f"{key} {kind}, char_start int, char_end int, excerpt string")
+
+
+def hashed_vectors(rows: DataFrame, keys: list[str], text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(keys, dim, w): signed feature hashes of the tokens, each vector of length 1. Zero vectors have no rows."""
+    words = rows.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
+    sums = words.groupBy(*keys, hashed_dimension(F.col("token"), dimensions).alias("dim")).agg(F.sum(hashed_sign(F.col("token"))).alias("w")).filter("w <> 0")
+    return sums.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys))))
+
+
+def vector_top_k(vectors: DataFrame, keys: list[str], query: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """The k rows of the highest positive dot product with one query vector (dim, w); ties by keys.
+
+    The query has at most as many rows as there are dimensions, so it is broadcast.
+    """
+    if not 1 <= k <= MOST_HITS:
+        raise ValueError(f"limit must be between 1 and {MOST_HITS}")
+    hits = vectors.join(F.broadcast(query.select("dim", F.col("w").alias("q"))), "dim").groupBy(*keys).agg(F.round(F.sum(F.col("w") * F.col("q")), digits).alias("score"))
+    return hits.filter("score > 0").orderBy(F.desc("score"), *keys).limit(k)
+
+
+def sensitive_findings(docs: DataFrame, key: str, text: str = "text", patterns: dict[str, tuple[str, str]] = SENSITIVE) -> DataFrame:
+    """(key, line, kind, severity, fingerprint) of every match; the value itself never leaves the scan."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "body"))
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("body", F.lit(f"({p})"), F.lit(1)), lambda m, n=name, s=severity: F.struct(F.lit(n).alias("kind"), F.lit(s).alias("severity"), F.left(F.sha2(m, 256), F.lit(16)).alias("fingerprint"))) for name, (severity, p) in patterns.items())))
+    return lines.select(key, (F.col("line") + 1).cast("long").alias("line"), F.explode(found).alias("f")).select(key, "line", "f.kind", "f.severity", "f.fingerprint")
+
+
+def severity_summary(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("fingerprint").alias("fingerprints"))
+
+
+def content_turns(turns: DataFrame, minimum_chars: int = 4) -> DataFrame:
+    """Turns with enough text to count as content."""
+    return turns.filter(F.length(F.trim("text")) >= minimum_chars)
+
+
+def conversation_profile(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Turns, content, distinct and repeated texts, roles, median length and cue counts of every conversation."""
+    t = turns.withColumn("chars", F.length("text")).withColumn("content", F.length(F.trim("text")) >= 4)
+    for name, p in CUES.items():
+        t = t.withColumn(f"cue_{name}", F.col("content") & F.col("text").rlike(f"(?i){p}"))
+    return t.groupBy(key).agg(
+        F.count(F.lit(1)).alias("turns"), F.count_if("content").alias("content_turns"), F.count_distinct("text").alias("distinct_texts"),
+        (F.count("text") - F.count_distinct("text")).alias("repeated_texts"), F.count_distinct("role").alias("roles"),
+        F.percentile("chars", 0.5).alias("median_chars"), *(F.count_if(f"cue_{n}").alias(f"cue_{n}") for n in CUES),
+    )
+
+
+def top_senders(turns: DataFrame, key: str, sender: str, n: int = 8) -> DataFrame:
+    """The n most frequent senders of each conversation with their share; ties by name."""
+    counts = turns.groupBy(key, sender).agg(F.count(F.lit(1)).alias("messages"))
+    by = Window.partitionBy(key)
+    rank = F.row_number().over(by.orderBy(F.desc("messages"), sender))
+    return counts.select(key, sender, "messages", F.round(F.col("messages") / F.sum("messages").over(by), 4).alias("share"), rank.alias("rank")).filter(F.col("rank") <= n)
+
+
+def type_rates(profiles: DataFrame, by: Column, name: str, figures: list[str], denominator: str) -> DataFrame:
+    """Second level: sums of the figures by type, and their rates, null where nothing is counted."""
+    sums = profiles.groupBy(by.alias(name)).agg(F.count(F.lit(1)).alias("conversations"), F.sum(denominator).alias(denominator), *(F.sum(f).alias(f) for f in figures))
+    return sums.select("*", *(F.round(F.try_divide(F.col(f).cast("double"), F.col(denominator).cast("double")), 4).alias(f"{f}_rate") for f in figures))
+
+
+def neighbour_context(turns: DataFrame, key: str, order: str, chars: int = 80) -> DataFrame:
+    """Each content turn with the nearest content turn before and after it, cut to some characters."""
+    text = F.when(F.length(F.trim("text")) >= 4, F.left("text", F.lit(chars)))
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.last(text, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(text, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return turns.select(key, order, text.alias("body"), before.alias("before"), after.alias("after")).filter("body is not null")
+
+
+def time_strata(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """early, middle or late: the third of its conversation that each row's rank falls into."""
+    w = Window.partitionBy(key)
+    third = F.least(F.lit(2), F.floor((F.row_number().over(w.orderBy(order)) - 1) * 3 / F.count(F.lit(1)).over(w)))
+    return turns.select(key, order, F.element_at(F.array(F.lit("early"), F.lit("middle"), F.lit("late")), (third + 1).cast("int")).alias("stratum"))
+
+
+def review_sample(turns: DataFrame, key: str, order: str, per_stratum: int, seed: str) -> DataFrame:
+    """Some content turns of every stratum, those with most cues first, then by a seeded hash."""
+    strata = time_strata(turns, key, order)
+    rows = content_turns(turns).withColumn("cues", F.size(cue_tags(F.col("text")))).join(strata, [key, order])
+    draw = F.sha2(F.concat_ws("|", F.lit(seed), key, order), 256)
+    rank = F.row_number().over(Window.partitionBy(key, "stratum").orderBy(F.desc("cues"), draw))
+    return rows.withColumn("pick", rank).filter(F.col("pick") <= per_stratum).select(key, order, "stratum", "cues", "pick")
+
+
+def corpus_profile(docs: DataFrame, by: list[str], text: str = "text", top: int = 4) -> DataFrame:
+    """Texts, median characters, characters and the share of the top few texts, for every group."""
+    sized = docs.select(*by, F.length(text).alias("chars"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("chars")))
+    return sized.withColumn("rank", rank).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("texts"), F.percentile("chars", 0.5).alias("median_chars"), F.sum("chars").alias("chars"),
+        F.round(F.try_divide(F.sum(F.when(F.col("rank") <= top, F.col("chars"))).cast("double"), F.sum("chars").cast("double")), 4).alias("top_share"),
+    )
+
+
+def repeated_phrases(lines: DataFrame, unit: str, phrase: str, fewest: int = 8, most: int = 240, limit: int = 50) -> DataFrame:
+    """Phrases of suitable length in two units or more, the most widespread first; a report of limited length."""
+    sized = lines.filter(F.length(phrase).between(fewest, most))
+    found = sized.groupBy(phrase).agg(F.count_distinct(unit).alias("units"), F.count(F.lit(1)).alias("occurrences")).filter("units >= 2")
+    return found.orderBy(F.desc("units"), F.desc("occurrences"), phrase).limit(limit)
