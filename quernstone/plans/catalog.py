@@ -137,17 +137,17 @@ def daily_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tidy(df: DataFrame) -> DataFrame:
-    """Money at 2 digits, ratios at 3: daily sums of many doubles differ in later ones."""
-    return df.select(*(F.round(c, 2).alias(c) if c in operational.SUM_FIELDS else F.round(c, 3).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    """Money at 2 digits: sums of many doubles differ in later ones."""
+    return df.select(*(F.round(c, 2).alias(c) if c in operational.SUM_FIELDS else F.col(c) for c in df.columns))
 
 
 def _tidy_sql(keys: str, source: str) -> str:
-    return f"SELECT {keys}, " + ", ".join(f"round({c}, 2) AS {c}" for c in operational.SUM_FIELDS) + ", " + ", ".join(f"round({c}, 3) AS {c}" for c in operational.RATIOS) + f" FROM {source}"
+    return f"SELECT {keys}, " + ", ".join(f"round({c}, 2) AS {c}" for c in operational.SUM_FIELDS) + ", " + ", ".join(operational.RATIOS) + f" FROM {source}"
 
 
-@query(f"{_DAILY_CTE} {_tidy_sql('business_date, platform, source_rows', 'daily')}")
+@query(f"{_DAILY_CTE} SELECT * FROM daily")
 def operational_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return _tidy(daily_facts(spark, sf))
+    return daily_facts(spark, sf)
 
 
 @query(f"{_SUMMARY_CTE} {_tidy_sql('period, platform, days_observed', 'summary')}")
@@ -160,14 +160,12 @@ def operational_period_summary(spark: SparkSession, sf: str) -> DataFrame:
         a.platform IS NOT NULL AND b.platform IS NOT NULL AS both_there FROM (SELECT * FROM summary WHERE period = '1996') a FULL JOIN (SELECT * FROM summary WHERE period = '1997') b ON a.platform = b.platform),
     e AS (SELECT *, (ao - bo) * (ap / ao + bp / bo) / 2 AS vol, (ap / ao - bp / bo) * (ao + bo) / 2 AS rate FROM c)
     SELECT platform, CASE WHEN both_there THEN 'comparable' ELSE 'not_comparable_missing_period' END AS comparison_status, round(bp, 2) AS before_paid_amount, round(ap, 2) AS after_paid_amount,
-        round((ao - bo) / bo, 3) AS orders_change_pct, round((ap - bp) / bp, 3) AS paid_amount_change_pct, round((apo - bpo) / bpo, 3) AS paid_per_order_change_pct,
+        round((ao - bo) / bo, 4) AS orders_change_pct, round((ap - bp) / bp, 4) AS paid_amount_change_pct, round((apo - bpo) / bpo, 4) AS paid_per_order_change_pct,
         round(vol, 2) AS volume_effect, round(rate, 2) AS paid_per_order_effect, round(ap - bp, 2) AS actual_change, abs(round(ap - bp - vol - rate, 2)) AS reconciliation_difference FROM e
 """)
 def operational_comparison_decomposition(spark: SparkSession, sf: str) -> DataFrame:
     out = operational.compare_periods(operational.summarize(daily_facts(spark, sf), PERIODS), "1996", "1997")
-    pct = [c for c in out.columns if c.endswith("_pct")]
-    money = [c for c, k in out.dtypes if k == "double" and c not in pct]
-    out = out.withColumns({c: F.round(c, 3) for c in pct} | {c: F.round(c, 2) for c in money})
+    out = out.withColumns({c: F.round(c, 2) for c, k in out.dtypes if k == "double" and not c.endswith("_pct")})
     return out.withColumn("reconciliation_difference", F.abs("reconciliation_difference"))
 
 
@@ -193,12 +191,12 @@ _MONTHLY = "SELECT date_trunc('month', business_date)::DATE AS business_date, *
     cc AS (SELECT *, {_ratios_sql()} FROM cb),
     cl AS (SELECT business_date, platform, unnest([{{'metric': 'orders', 'v': orders}}, {{'metric': 'paid_amount', 'v': paid_amount}}, {{'metric': 'paid_per_order', 'v': paid_per_order}}, {{'metric': 'promo_spend', 'v': promo_spend}}], recursive := true) FROM cc),
     cs AS (SELECT platform, metric, lag(business_date) OVER w AS before_date, business_date AS candidate_date, (v - lag(v) OVER w) / nullif(lag(v) OVER w, 0) AS ch FROM cl WINDOW w AS (PARTITION BY platform, metric ORDER BY business_date))
-    SELECT platform, metric, before_date, candidate_date, round(ch, 3) AS change_pct FROM cs WHERE abs(ch) >= 0.4
+    SELECT platform, metric, before_date, candidate_date, round(ch, 4) AS change_pct FROM cs WHERE abs(ch) >= 0.4
 """)
 def operational_change_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly facts, changes of 40 % or more."""
     monthly = daily_facts(spark, sf).withColumn("business_date", F.trunc("business_date", "month"))
-    return operational.change_candidates(monthly, 0.4).withColumn("change_pct", F.round("change_pct", 3))
+    return operational.change_candidates(monthly, 0.4)
 
 
 @query("""
