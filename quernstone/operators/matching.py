@@ -7,12 +7,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MINIMUM_RATIO = 0.72
 AMBIGUOUS_GAP = 0.03
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):

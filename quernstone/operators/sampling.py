@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def evenly_spaced(df: DataFrame, order: list[str], count: int) -> DataFrame:
@@ -54,7 +55,7 @@ def balanced(df: DataFrame, topic: list[str], order: list[str], count: int) -> D
         taken[g] = taken.get(g, 0) + 1
         rows.append((*(sizes[g][t] for t in topic), taken[g], number))
     spark = df.sparkSession
-    schema = df.select(*topic).schema.add("_turn", "int").add("pick_number", "int")
+    schema = df.select(*topic).schema.add("_turn", T.IntegerType()).add("pick_number", T.IntegerType())
     turn = F.row_number().over(Window.partitionBy(*topic).orderBy(*order))
     return df.withColumn("_turn", turn).join(F.broadcast(spark.createDataFrame(rows, schema)), [*topic, "_turn"]).drop("_turn")
 

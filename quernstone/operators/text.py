@@ -66,7 +66,12 @@ def vector_top_k(vectors: DataFrame, keys: list[str], query: DataFrame, k: int,
 def sensitive_findings(docs: DataFrame, key: str, text: str = "text", patterns: dict[str, tuple[str, str]] = SENSITIVE) -> DataFrame:
     """(key, line, kind, severity, fingerprint) of every match; the value itself never leaves the scan."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("body", F.lit(f"({p})"), F.lit(1)), lambda m, n=name, s=severity: F.struct(F.lit(n).alias("kind"), F.lit(s).alias("severity"), F.left(F.sha2(m, 256), F.lit(16)).alias("fingerprint"))) for name, (severity, p) in patterns.items())))
+
+    def matches(name: str, severity: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("body", F.lit(f"({pattern})"), F.lit(1))
+        return F.transform(found, lambda m: F.struct(F.lit(name).alias("kind"), F.lit(severity).alias("severity"), F.left(F.sha2(m, 256), F.lit(16)).alias("fingerprint")))
+
+    found = F.flatten(F.array(*(matches(name, severity, p) for name, (severity, p) in patterns.items())))
     return lines.select(key, (F.col("line") + 1).cast("long").alias("line"), F.explode(found).alias("f")).select(key, "line", "f.kind", "f.severity", "f.fingerprint")
 
 

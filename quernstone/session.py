@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -19,3 +21,12 @@ def session(app: str = "quernstone", **extra: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A folder for name that all executors share, below spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "/tmp/quernstone-checkpoints"  # a single-machine session, as in tests
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
