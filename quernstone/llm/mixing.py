@@ -14,7 +14,7 @@ texts are never shuffled, and a hot leaf has no task of its own.
 Defined cases: names that the tree doesn't list, nulls included, share one
 ``(other)`` child of their parent; null and empty texts have no tokens and come
 with any epoch whose prefix reaches their hash; rows that share an id come
-together or not at all; extra columns pass through; no rows give no rows. Rows
+together or not at all; extra columns of any name pass through in row; no rows give no rows. Rows
 with a null id order first.
 """
 
@@ -101,10 +101,11 @@ def draw(doc_id: Column, seed: int, epoch: Column) -> Column:
 def mix_sources(docs: DataFrame, tree: MixTree, budget_share: float, max_epochs: int, seed: int) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source, ...) that the mix takes, once for each epoch that takes them.
 
-    Adds domain, language, origin, n_tokens and epoch. The budget is budget_share of all tokens.
+    Returns row (a struct of all columns of docs), domain, language, origin, n_tokens and epoch. The budget is
+    budget_share of all tokens.
     """
     spark = docs.sparkSession
-    rows = docs.select("*", *tree.leaf(F.col("lang"), F.col("source")), n_words(F.col("text")).cast("long").alias("n_tokens"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *tree.leaf(F.col("lang"), F.col("source")), n_words(F.col("text")).cast("long").alias("n_tokens"))
     narrow = rows.select("doc_id", *LEAF, "n_tokens")
     totals = {(r["domain"], r["language"], r["origin"]): r["n"] for r in narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("n")).collect()}
     budgets = leaf_budgets(totals, tree, budget_share * sum(totals.values()), max_epochs)
@@ -128,4 +129,4 @@ def mix_sources(docs: DataFrame, tree: MixTree, budget_share: float, max_epochs:
     taken = rows.join(F.broadcast(chosen), LEAF)
     partial = (F.col("epochs") < max_epochs) & (draw(F.col("doc_id"), seed, F.col("epochs")) <= F.col("last"))
     copies = F.col("epochs") + partial.cast("long")
-    return taken.withColumn("epoch", F.explode(F.slice(F.array(*(F.lit(e) for e in range(max_epochs))), F.lit(1), copies.cast("int")))).drop("epochs", "last")
+    return taken.withColumn("epoch", F.explode(F.slice(F.array(*(F.lit(e) for e in range(max_epochs))), F.lit(1), copies.cast("int")))).select("row", *LEAF, "n_tokens", "epoch")

@@ -69,7 +69,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "domain", "language", "origin", "n_tokens", "epoch")
+    return mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("row.doc_id", "domain", "language", "origin", "n_tokens", "epoch")
 
 
 ARRIVALS = 8
@@ -84,7 +84,7 @@ def op8_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.append(docs.filter(arrival == k))
         store.compact()
         store.vacuum()
-    return store.read().select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "tier", "version")
+    return store.read_placed().select("row.doc_id", F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "tier", "version")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+def _mix_sql() -> str:
+    """Op7 in SQL: the level of every set of siblings in closed form, then running sums by the epochs' order."""
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    domain = " ".join(f"WHEN source IN ({quoted(v)}) THEN '{k}'" for k, v in MIX_TREE.domain_sources.items())
+    listed = quoted(x for v in MIX_TREE.domain_sources.values() for x in v)
+    weight = lambda column, weights: "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" WHEN '{mixing.OTHER}' THEN {MIX_TREE.other_weight} ELSE 1.0 END::DOUBLE"
+
+    def fill(name: str, nodes: str, parent: str) -> str:
+        order = f"PARTITION BY {parent} ORDER BY c / w, name"
+        return f"""{name}_o AS (SELECT *, row_number() OVER ({order}) AS k, b - coalesce(sum(c) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+                sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wt FROM ({nodes})),
+            {name}_u AS (SELECT {parent}, min(k) AS fk, arg_min(lft / wt, k) AS lam FROM {name}_o WHERE c > lft / wt * w GROUP BY {parent}),
+            {name} AS (SELECT o.*, CASE WHEN fk IS NULL OR k < fk THEN c ELSE lam * w END AS given FROM {name}_o o LEFT JOIN {name}_u u USING ({parent}))"""
+
+    return f"""
+        WITH d AS (SELECT doc_id, CASE {domain} ELSE '{mixing.OTHER}' END AS domain, CASE WHEN lang IN ({quoted(MIX_TREE.language_weights)}) THEN lang ELSE '{mixing.OTHER}' END AS language,
+                CASE WHEN source IN ({listed}) THEN source ELSE '{mixing.OTHER}' END AS origin, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+        leaves AS (SELECT domain, language, origin, CAST(sum(n_tokens) AS BIGINT) AS n, sum(n_tokens) * {MIX_EPOCHS}.0::DOUBLE AS c FROM d GROUP BY ALL),
+        {fill("f1", f"SELECT 0 AS root, domain, domain AS name, sum(c) AS c, {weight('domain', MIX_TREE.domain_weights)} AS w, (SELECT least(sum(n) * {MIX_SHARE}::DOUBLE, sum(c)) FROM leaves) AS b FROM leaves GROUP BY domain", "root")},
+        {fill("f2", f"SELECT l.domain, language, language AS name, sum(l.c) AS c, {weight('language', MIX_TREE.language_weights)} AS w, any_value(given) AS b FROM leaves l JOIN f1 USING (domain) GROUP BY l.domain, language", "domain")},
+        {fill("f3", f"SELECT l.domain || '/' || l.language AS parent, l.domain, l.language, origin, origin AS name, l.c, l.n, {weight('origin', MIX_TREE.source_weights)} AS w, given AS b FROM leaves l JOIN f2 ON f2.domain = l.domain AND f2.language = l.language", "parent")},
+        plan AS (SELECT domain, language, origin, CASE WHEN n = 0 THEN {MIX_EPOCHS} ELSE CAST(floor(given + 1e-6) AS BIGINT) // n END AS epochs, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(given + 1e-6) AS BIGINT) % n END AS rest FROM f3),
+        e AS (SELECT d.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, language, origin, epoch ORDER BY md5(doc_id || '|{MIX_SEED}|' || epoch), doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, epoch
+            FROM d JOIN plan USING (domain, language, origin), range({MIX_EPOCHS}) t(epoch))
+        SELECT doc_id, domain, language, origin, n_tokens, CAST(epoch AS INTEGER) AS epoch FROM e WHERE epoch < epochs OR (epoch = epochs AND upto <= rest)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": _mix_sql(),
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS x

@@ -139,16 +139,19 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with shard (number of the run), tier and version."""
+        """All rows of a version."""
+        manifest = self.manifest(version)
+        return self._rows(manifest, manifest.runs)
+
+    def read_placed(self, version: int | None = None) -> DataFrame:
+        """row (a struct of the stored columns), shard (number of the run), tier and version."""
         manifest = self.manifest(version)
-        if not manifest.runs:
-            empty = self._rows(manifest, [])
-            return empty.select("*", F.lit(0).alias("shard"), F.lit(0).alias("tier"), F.lit(manifest.version).cast("long").alias("version"))
-        run = F.regexp_extract(F.col("_metadata.file_path"), "/(run-[0-9a-f]+)/", 1)
-        names = F.create_map(*(F.lit(x) for k, r in enumerate(manifest.runs) for x in (r.name, k)))
-        tiers = F.array(*(F.lit(self.tier(r)) for r in manifest.runs))
         rows = self._rows(manifest, manifest.runs)
-        return rows.select("*", names[run].alias("shard")).select("*", F.get(tiers, F.col("shard")).alias("tier"), F.lit(manifest.version).cast("long").alias("version"))
+        run = F.regexp_extract(F.col("_metadata.file_path"), "/(run-[0-9a-f]+)/", 1) if manifest.runs else F.lit("")
+        names = F.create_map(*(F.lit(x) for k, r in enumerate(manifest.runs or [Run("", [])]) for x in (r.name, k)))
+        tiers = F.array(*(F.lit(self.tier(r)) for r in manifest.runs or [Run("", [])]))
+        placed = rows.select(F.struct(*rows.columns).alias("row"), names[run].alias("shard"))
+        return placed.select("row", "shard", F.get(tiers, F.col("shard")).alias("tier"), F.lit(manifest.version).cast("long").alias("version"))
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete runs that none of the last keep versions lists, and older manifests."""

@@ -313,6 +313,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_k")).distinct()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    rest = docs.withColumn("_k", key).withColumn("_t", F.xxhash64("text")).join(gone, "_k", "left_anti")
+    rest = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_k"), F.xxhash64("text").alias("_t")).join(gone, "_k", "left_anti")
     copy = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_t"))
-    return rest.withColumn("_copy", copy).filter((F.col("_copy") == 1) | (F.col("_k") == _NO_ID) | ~F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")).select(*docs.columns)
+    wordless = ~F.coalesce("row.text", F.lit("")).rlike("[^ \\t-\\r]")
+    kept = rest.withColumn("_copy", copy).filter((F.col("_copy") == 1) | (F.col("_k") == _NO_ID) | wordless)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
