@@ -137,12 +137,12 @@ def compact_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", ft.compact_title(F.left("text", F.lit(60))).alias("title"))
 
 
-@query("""SELECT o_orderkey, o_totalprice AS number, CAST(o_orderdate AS DATE) AS day, NULL::DOUBLE AS bad_number, NULL::DATE AS bad_day FROM orders""")
+@query("""SELECT o_orderkey, o_totalprice AS number, CAST(o_orderdate AS DATE) AS day, TRUE AS no_number, TRUE AS no_day FROM orders""")
 def lenient_casts(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers with thousands commas and dates with slashes, read back; NaN text and the 30th of February are not values."""
     o = table(spark, sf, "orders")
     number = ty.lenient_number(F.concat(F.lit(" "), F.format_number("o_totalprice", 2)))
-    return o.select("o_orderkey", number.alias("number"), ty.lenient_date(F.date_format("o_orderdate", "yyyy/M/d")).alias("day"), ty.lenient_number(F.lit("nan")).alias("bad_number"), ty.lenient_date(F.lit("2026-02-30")).alias("bad_day"))
+    return o.select("o_orderkey", number.alias("number"), ty.lenient_date(F.date_format("o_orderdate", "yyyy/M/d")).alias("day"), ty.lenient_number(F.lit("nan")).isNull().alias("no_number"), ty.lenient_date(F.lit("2026-02-30")).isNull().alias("no_day"))
 
 
 # sampling
