@@ -6,6 +6,7 @@ import datetime
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return "null"
     if isinstance(value, float):
         return repr(round(value, 6) + 0.0)
