@@ -1,8 +1,10 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 A trie of byte contexts, up to ORDER bytes long, is learnt from the training
-texts. Escapes follow method C (as many escape counts as different symbols), and
-symbols seen in a longer context are excluded from the shorter one. As a
+texts. How likely a context is to meet a new symbol is estimated from all
+contexts alike in order, count and number of symbols: with any one occurrence
+left out, was its symbol new? Symbols seen in a longer context are excluded from
+the shorter one. As a
 context's symbols all occur in its suffix too, what is excluded depends on the
 one context escaped from, so the code length of a symbol needs a few look-ups
 and no loop over symbols. A text is its bytes, A-Z in lower case, and an end
@@ -45,9 +47,8 @@ ALPHABET = 256
 SHARD_PAIRS = 4_000_000
 #: Different pairs that a task sums up before it sends them on.
 HELD_PAIRS = 2_000_000
-#: Text bytes of one chunk, and of one step of scoring.
+#: Text bytes of one chunk.
 CHUNK_BYTES = 8 << 20
-STEP_BYTES = 1 << 20
 #: Different words, about, whose sums one task makes at a time.
 RANGE_WORDS = 1_000_000
 
@@ -108,34 +109,79 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1)).astype(np.float32)
 
 
+#: Classes of counts, and of numbers of symbols, for the estimate of escapes.
+CLASSES = 40
+
+
+def _class(x: np.ndarray) -> np.ndarray:
+    """1, 2, 3 by themselves, then halves of powers of two."""
+    return np.minimum(np.where(x < 4, x, 2 * np.log2(np.maximum(x, 1)) + 0.5), CLASSES - 1).astype(np.int64)
+
+
+def _contexts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of sorted pairs, how many symbols each has, and each pair's context."""
+    context, first, of = np.unique(pairs >> 8, return_index=True, return_inverse=True)
+    return context, np.diff(np.r_[first, len(pairs)]), of
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, orders: range) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Pairs and their counts for shorter contexts."""
+    out = {}
+    for order in orders:
+        short, at = np.unique(keys & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
+        out[order] = (short, np.bincount(at, weights=counts, minlength=len(short)).astype(np.int64))
+    return out
+
+
+def escape_events(levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """By order, count class and symbol class: how often a left-out occurrence was new, and how often not."""
+    out = np.zeros((ORDER + 1, CLASSES, CLASSES, 2))
+    for order, (pairs, n) in levels.items():
+        _, kinds, of = _contexts(pairs)
+        total = np.bincount(of, weights=n, minlength=len(kinds)).astype(np.int64)
+        once = np.bincount(of, weights=n == 1, minlength=len(kinds))
+        some = total > 1
+        np.add.at(out[order, :, :, 0], (_class(total - 1)[some], _class(kinds - 1)[some]), once[some])
+        np.add.at(out[order, :, :, 1], (_class(total - 1)[some], _class(kinds)[some]), (total - once)[some])
+    return out
+
+
+def escape_table(events: np.ndarray) -> np.ndarray:
+    """Escape probabilities; a class that was hardly met leans to half its symbols over its count."""
+    low = np.maximum(np.where(np.arange(CLASSES) < 4, np.arange(CLASSES), 2 ** ((np.arange(CLASSES) - 0.5) / 2)), 1)
+    prior = np.clip(low[None, :] / 2 / low[:, None], 0.001, 0.5)
+    return np.clip((events[..., 0] + 2 * prior) / (events.sum(-1) + 2), 1e-4, 1 - 1e-4)
+
+
 class Trie:
     """Contexts of some endings, of order SHARED and more, besides all of the orders below."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray, escapes: np.ndarray):
         """keys, counts: pairs of the longest contexts; low_keys, low_counts: all pairs of contexts of SHARED - 1 bytes."""
         self.pairs: dict[int, tuple[Index, np.ndarray]] = {}
         self.contexts: dict[int, tuple[Index, ...]] = {}
-        levels = {}
-        for order in range(ORDER + 1):
-            k, n = (low_keys, low_counts) if order < SHARED else (keys, counts)
-            short, at = np.unique(k & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
-            levels[order] = (short, np.bincount(at, weights=n, minlength=len(short)).astype(np.int64))
+        levels = _levels(low_keys, low_counts, range(SHARED)) | _levels(keys, counts, range(SHARED, ORDER + 1))
         shorter = None
         for order, (pairs, n) in levels.items():
-            context, first, of = np.unique(pairs >> 8, return_index=True, return_inverse=True)
-            total, kinds = np.bincount(of, weights=n, minlength=len(context)), np.diff(np.r_[first, len(pairs)])
+            context, kinds, of = _contexts(pairs)
+            total = np.bincount(of, weights=n, minlength=len(context)).astype(np.int64)
             index = Index(pairs)
-            left, new = np.zeros(len(context)), np.zeros(len(context))
+            left, new = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
             if shorter:  # what of the shorter context isn't excluded
                 pair_index, pair_n, context_index, context_total, context_kinds = shorter
                 mask = (1 << (8 * (order - 1))) - 1
                 below = context_index.find(context & mask)
                 parent = pair_index.find(((pairs >> 8 & mask) << 8) | (pairs & 0xFF))
-                left = context_total[below] - np.bincount(of, weights=pair_n[parent], minlength=len(context))
+                left = context_total[below] - np.bincount(of, weights=pair_n[parent], minlength=len(context)).astype(np.int64)
                 new = context_kinds[below] - kinds
             self.pairs[order] = (index, _log(n))
             context_index = Index(context)
-            self.contexts[order] = (context_index, _log(total + kinds), _log(kinds) - _log(total + kinds), _log(left + new), np.where(new > 0, _log(new) - _log(left + new), 0).astype(np.float32))
+            here = escapes[order][_class(total), _class(kinds)]
+            after = np.where(new > 0, escapes[max(order - 1, 0)][_class(left), _class(new)], 0.5)
+            self.contexts[order] = (
+                context_index, _log(total) - np.log10(1 - here).astype(np.float32), np.log10(here).astype(np.float32),
+                _log(left) - np.log10(1 - after).astype(np.float32), np.where(new > 0, np.log10(after), 0).astype(np.float32),
+            )
             shorter = (index, n, context_index, total, kinds)
         pairs, n = levels[ORDER]
         self.direct = self.pairs[ORDER][1] - self.contexts[ORDER][1][self.contexts[ORDER][0].find(pairs >> 8)] if len(pairs) else np.zeros(0, np.float32)
@@ -183,7 +229,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
-    for part in byte_slices(batches, limit=STEP_BYTES):
+    for part in byte_slices(batches):
         held.append(np.unique(pair_keys(part.column("text").to_pylist())[0], return_counts=True))
         if sum(len(k) for k, _ in held) > HELD_PAIRS:
             held = [merged()]
@@ -206,10 +252,22 @@ def train(texts: DataFrame, shard_pairs: int = SHARD_PAIRS) -> list[tuple[int, i
             first, filled = ending, 0
         filled += n
     bounds.append((first, _ENDING))
+
+    def shard(first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        own = pairs.filter(F.shiftright("pair", 8).bitwiseAND(_ENDING).between(first, last)).toArrow()
+        return own.column("pair").to_numpy(), own.column("n").to_numpy()
+
+    below = (low.column("pair").to_numpy(), low.column("n").to_numpy())
+    events = escape_events(_levels(*below, range(SHARED)))
+    held = None
+    for first, last in bounds:
+        held = shard(first, last)
+        events += escape_events(_levels(*held, range(SHARED, ORDER + 1)))
+    escapes = escape_table(events)
     out = []
     for first, last in bounds:
-        own = pairs.filter(F.shiftright("pair", 8).bitwiseAND(_ENDING).between(first, last)).toArrow()
-        out.append((first, last, context.broadcast(Trie(*(t.column(c).to_numpy() for t in (own, low) for c in ("pair", "n"))))))
+        own = held if len(bounds) == 1 else shard(first, last)
+        out.append((first, last, context.broadcast(Trie(*own, *below, escapes))))
     discard(pairs)
     return out
 
@@ -276,7 +334,7 @@ def _requests(rows: DataFrame, bits: int, tries: list[tuple[int, int, Broadcast]
             made = list(_chunk_rows(number, bits, doc_ids, np.array(held, bool), texts, np.concatenate(scores)))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * 8], strict=True)], names=_CHUNK_FIELDS)
 
-        for part in byte_slices(batches, limit=STEP_BYTES):
+        for part in byte_slices(batches):
             new = part.column("text").to_pylist()
             doc_ids += part.column("doc_id").to_pylist()
             held += part.column("held_out").to_pylist()
