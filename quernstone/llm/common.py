@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most text bytes that one numpy step looks at; a longer single text is one step.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
