@@ -147,3 +147,12 @@ def numeric_count(c: Column) -> Column:
     for mark, factor in COUNTERS.items():
         times = F.when(c.rlike(f"[0-9]\\s*{mark}"), float(factor)).otherwise(times)
     return number * times
+
+
+def text_state(c: Column) -> Column:
+    """empty_or_negligible under 20 visible characters; garbled_candidate with few letters or many private-use characters; else usable_candidate."""
+    visible = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    n = F.length(visible)
+    letters = F.length(F.regexp_replace(visible, r"[^\p{L}\p{N}]", ""))
+    private = F.length(F.regexp_replace(visible, r"[^\p{Co}\x{FFFD}]", ""))
+    return F.when(n < 20, "empty_or_negligible").when((letters / n < 0.45) | (private / n > 0.02), "garbled_candidate").otherwise("usable_candidate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
+from ..functions.text import classify, stable_id
 
 #: Which format of one document stands for it, the best first.
 FORMAT_PRIORITY = ("md", "txt", "html", "docx", "pdf", "csv", "xlsx", "json")
@@ -103,3 +103,42 @@ def incremental_manifest(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def removed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     return before.select("path").join(now.select("path"), "path", "left_anti")
+
+
+def role(path: Column, title: Column, rules: list[tuple[str, str]], otherwise: str = "unclassified") -> Column:
+    """The first role whose pattern matches the path or the title."""
+    return classify(F.concat_ws(" ", path, title), rules, otherwise)
+
+
+#: What a file is inside a project, by its path.
+ARTIFACT_ROLES = [
+    ("test", r"(^|/)tests?/|test_[^/]*\.py$|\.spec\.[jt]s$"), ("documentation", r"(^|/)(docs?|references)/|readme|\.md$"), ("configuration", r"\.(toml|ya?ml|ini|cfg|json)$|(^|/)\.[^/]+$"),
+    ("code", r"\.(py|js|ts|java|scala|r|sh|sql)$"), ("sample", r"(^|/)(samples?|examples?|fixtures?)/"), ("output", r"(^|/)(out|outputs?|results?|dist|build)/"),
+]
+
+
+def project_profile(files: DataFrame, project: str, path: str = "path") -> DataFrame:
+    """Files of every project by role, and whether code, tests, samples and outputs are there."""
+    marked = files.withColumn("_role", classify(F.col(path), ARTIFACT_ROLES, "other"))
+    names = [name for name, _ in ARTIFACT_ROLES]
+    return marked.groupBy(project).agg(F.count(F.lit(1)).alias("files"), *(F.count_if(F.col("_role") == n).alias(n) for n in [*names, "other"]), F.bool_or(F.col("_role") == "code").alias("code_backed"), F.bool_or(F.col("_role") == "test").alias("test_backed"))
+
+
+def project_roots(paths: DataFrame, path: str, strong: list[str], weak: list[str]) -> DataFrame:
+    """Folders that hold a strong marker file with none above them, and those of weak markers outside of these."""
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    name = F.element_at(F.split(path, "/"), -1)
+    found = paths.select(folder.alias("root"), name.isin(strong).alias("is_strong")).filter(name.isin(strong + weak)).groupBy("root").agg(F.bool_or("is_strong").alias("strong"))
+
+    def above(rows: DataFrame) -> DataFrame:
+        """Every proper ancestor folder of each root."""
+        parts = F.split("root", "/")
+        ups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        return rows.select("root", F.explode(F.array_append(ups, F.lit(""))).alias("up")).filter("up <> root")
+
+    firm = found.filter("strong").select("root")
+    inner = above(firm).join(firm.select(F.col("root").alias("up")), "up").select("root").distinct()
+    outermost = firm.join(inner, "root", "left_anti")
+    loose = found.filter("not strong").select("root")
+    covered = above(loose).join(outermost.select(F.col("root").alias("up")), "up").select("root").distinct()
+    return outermost.withColumn("marker", F.lit("strong")).unionByName(loose.join(covered, "root", "left_anti").withColumn("marker", F.lit("weak")))

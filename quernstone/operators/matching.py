@@ -103,3 +103,25 @@ def overlapping_intervals(intervals: DataFrame, key: str, start: str, end: str)
     days = intervals.select(key, F.explode(F.sequence(start, end)).alias("day"))
     meet = days.groupBy("day").agg(F.sort_array(F.collect_set(key)).alias("keys")).filter(F.size("keys") > 1)
     return meet.select("day", F.get("keys", F.lit(0)).alias("first"), F.get("keys", F.lit(1)).alias("second"))
+
+
+def referential_integrity(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(child, column, value, rows) of values that the parent lacks; keys are (child, column, parent, column)."""
+    out = None
+    for child, column, parent, other in keys:
+        values = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+        lost = values.join(tables[parent].select(F.col(other).cast("string").alias("value")), "value", "left_anti")
+        rows = lost.select(F.lit(child).alias("child"), F.lit(column).alias("column"), "value", "rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+
+
+def reconcile(a: DataFrame, b: DataFrame, key: list[str], value: str, tolerance: float = 0.01) -> DataFrame:
+    """Keys whose values differ by more than the tolerance or are on one side only."""
+    both = a.select(*key, F.col(value).alias("left_value")).join(b.select(*key, F.col(value).alias("right_value")), key, "full_outer")
+    problem = F.when(F.col("left_value").isNull() != F.col("right_value").isNull(), "one_side").when(F.abs(F.col("left_value") - F.col("right_value")) > tolerance, "different")
+    return both.withColumn("problem", problem).filter("problem is not null")

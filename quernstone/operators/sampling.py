@@ -129,3 +129,79 @@ def two_batch_stability(batches_done: DataFrame, family: str, order: str, added:
     """Families whose last two batches both brought nothing new."""
     last = batches_done.withColumn("_n", F.row_number().over(Window.partitionBy(family).orderBy(F.desc(order)))).filter("_n <= 2")
     return last.groupBy(family).agg(F.count(F.lit(1)).alias("batches"), (F.bool_and(~F.col(added)) & (F.count(F.lit(1)) == 2)).alias("stable"))
+
+
+def cover_in_turn(levels: list[list[tuple[str, list[str]]]], count: int) -> list[str]:
+    """Ids that cover every group of every level before any group is taken up again.
+
+    Each level is groups (name, ids in order of preference), the most important
+    level first. A group gets its first id that isn't taken; then the groups of
+    the second level (families) take turns until count.
+    """
+    taken: dict[str, None] = {}
+    total = len({i for groups in levels for _, ids in groups for i in ids})
+
+    def by_size(groups: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+        return sorted(groups, key=lambda g: (-len(g[1]), g[0]))
+
+    def take(ids: list[str], always: bool) -> bool:
+        if len(taken) >= min(count, total):
+            return False
+        pick = next((i for i in (ids[:1] if always else ids) if i not in taken), None)
+        if pick is not None:
+            taken[pick] = None
+        return pick is not None
+
+    for depth, groups in enumerate(levels):
+        for _, ids in by_size(groups):
+            take(ids, depth == 0)
+    turns = by_size(levels[min(1, len(levels) - 1)])
+    while any([take(ids, False) for _, ids in turns]):
+        pass
+    return list(taken)
+
+
+def family_stratified(df: DataFrame, key: str, levels: list[str], order: list[str], count: int) -> DataFrame:
+    """Covers directories, then families, then projects and components, then takes turns over families.
+
+    Only the first count ids of every group reach the driver: no group can give more.
+    """
+    held = []
+    for column in levels:
+        rank = F.row_number().over(Window.partitionBy(column).orderBy(*order))
+        size = F.count(F.lit(1)).over(Window.partitionBy(column))
+        rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("g"), F.col(key).cast("string").alias("id"), rank.alias("n"), size.alias("size")).filter(F.col("n") <= count)
+        groups: dict[str, list[str]] = {}
+        for r in rows.orderBy(F.desc("size"), "g", "n").limit(count * count).collect():
+            groups.setdefault(str(r["g"]), []).append(r["id"])
+        held.append(list(groups.items()))
+    picks = cover_in_turn(held, count)
+    table = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(picks)], "_key string, pick_number int")
+    return df.join(F.broadcast(table), F.col(key).cast("string") == F.col("_key")).drop("_key")
+
+
+STRATEGIES = ("auto", "latest", "earliest", "full_census", "pilot", "stratified", "balanced_topic", "family_stratified", "contrast")
+
+
+def select(df: DataFrame, strategy: str, count: int, key: str, group: str, time: str, score: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows by a named strategy, and warnings about what such a sample can't show."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"invalid strategy: {strategy}")
+    if count < 1:
+        raise ValueError("count must be positive")
+    if strategy == "auto":
+        strategy = "contrast" if score else "stratified"
+    if strategy == "contrast":
+        if not score:
+            raise ValueError("contrast needs a score")
+        n = df.count()
+        return contrast(df, score, [key], min(count, n)).drop("band"), ["a contrast gives leads, not causes"] + (["under twelve comparable rows"] if n < 12 else [])
+    if strategy == "full_census":
+        return df, []
+    if strategy in ("latest", "earliest"):
+        return df.orderBy(F.desc(time) if strategy == "latest" else F.asc(time), key).limit(count), [f"{strategy} rows show one end of the period only"]
+    if strategy == "balanced_topic":
+        return balanced(df, [group], [key], count).drop("pick_number"), []
+    if strategy == "family_stratified":
+        return family_stratified(df, key, [group], [key], count).drop("pick_number"), ["families are provisional"]
+    return stratified(df, [group], [key], count), ["a pilot is for methods, not results"] if strategy == "pilot" else []

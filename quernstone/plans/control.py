@@ -199,3 +199,38 @@ def plan_batches(items: list[tuple[str, str]], size: int, done: dict[str, str] |
             name = f"{family}-{k // size:03d}"
             out.append({"batch": name, "family": family, "ids": part, "fingerprint": mark, "status": "reused" if (done or {}).get(name) == mark else "pending"})
     return out
+
+
+def compile_scope(question: str, shared: dict[str, Any], families: list[dict[str, Any]], sources: list[str], evidence: dict[str, str], request: dict[str, Any]) -> dict[str, Any]:
+    """Whether a corpus may be read as one: a confirmed shared object and problem, and every source in one family or left out by name."""
+    if not question.strip():
+        raise SpecError("the decision question must be kept")
+    errors = request_errors(request) + evidence_errors(list(shared.get("evidence_refs") or []), evidence)
+    for k in ("shared_object_status", "shared_problem_status"):
+        if shared.get(k, "candidate") not in ("confirmed", "candidate", "absent"):
+            errors.append(f"{k} is invalid")
+    confirmed = not errors and all(shared.get(k) == "confirmed" for k in ("shared_object_status", "shared_problem_status")) and bool(shared.get("evidence_refs"))
+    owner: dict[str, str] = {}
+    for f in families:
+        for s in f.get("sources", []):
+            if s in owner:
+                errors.append(f"{s} lies in {owner[s]} and {f['family_id']}")
+            if s not in sources:
+                errors.append(f"{s} is not in the inventory")
+            owner[s] = f["family_id"]
+    left_out = {s for f in families for s in f.get("excluded", [])}
+    unassigned = sorted(set(sources) - set(owner) - left_out)
+    verdict = "one_scope" if confirmed and not unassigned and not errors else "by_family" if families and not errors else "blocked"
+    return {"decision_question": question, "verdict": verdict, "unassigned": unassigned, "errors": errors}
+
+
+def record_progress(state: dict[str, list[bool]], family: str, brought_new: bool) -> dict[str, Any]:
+    """Append a batch's outcome; a family is stable once two batches in a row brought nothing new."""
+    history = [*state.get(family, []), brought_new]
+    return {"state": state | {family: history}, "stable": history[-2:] == [False, False]}
+
+
+def gate(checks: dict[str, bool], required: list[str]) -> dict[str, Any]:
+    """A run passes if every required check is there and holds; a check that is missing is not one that holds."""
+    failed = [k for k in required if not checks.get(k, False)]
+    return {"passed": not failed, "failed": failed, "missing": [k for k in required if k not in checks]}

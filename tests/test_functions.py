@@ -77,3 +77,8 @@ def test_message_key(spark):
     key = lambda pid: ft.message_key(pid, F.lit("a"), F.lit(1), F.lit(0), F.lit("hi"))
     a, b = spark.range(1).select(key(F.lit("7")).alias("a"), key(blank).alias("b")).first()
     assert a == "platform:7" and b.startswith("fallback:")
+
+
+@pytest.mark.parametrize("value,want", [(None, "empty_or_negligible"), ("short", "empty_or_negligible"), ("plain readable words go here", "usable_candidate"), ("#$%&/()=?*+~^|<>@!{}[]", "garbled_candidate"), ("readable words but also \ue000\ue001 \ue002", "garbled_candidate")])
+def test_text_state(spark, value, want):
+    assert one(spark, value, ft.text_state) == want

@@ -204,3 +204,31 @@ def test_chunks_cover_and_overlap():
     assert all(b - a <= 1200 for a, b in spans) and spans[0][0] == 0 and spans[-1][1] == len(text.rstrip())
     assert all(spans[i + 1][0] < spans[i][1] for i in range(len(spans) - 1))
     assert list(ot.chunk_spans("")) == []
+
+
+def test_coverage_first(spark):
+    assert sampling.cover_in_turn([[("d1", ["a", "b", "c"]), ("d2", ["e"])], [("f1", ["a", "b"]), ("f2", ["c", "e"])]], 4) == ["a", "e", "b", "c"]
+    df = spark.createDataFrame([("a", "d1", "f1", 1), ("b", "d1", "f1", 2), ("c", "d1", "f2", 3), ("e", "d2", "f2", 4)], "id string, d string, f string, t int")
+    assert {r.id for r in sampling.family_stratified(df, "id", ["d", "f"], ["id"], 3).collect()} == {"a", "e", "b"}
+    for name in sampling.STRATEGIES:
+        rows, _ = sampling.select(df, name, 2, "id", "f", "t", "t")
+        assert rows.count() == (4 if name == "full_census" else 2)
+    with pytest.raises(ValueError):
+        sampling.select(df, "luck", 2, "id", "f", "t")
+
+
+def test_projects(spark):
+    paths = spark.createDataFrame([("r/pyproject.toml",), ("r/sub/pyproject.toml",), ("r/README.md",), ("x/y/README.md",), ("r/tests/test_a.py",), ("r/src/a.py",)], "path string")
+    roots = corpus.project_roots(paths, "path", ["pyproject.toml"], ["README.md"])
+    assert {(r.root, r.marker) for r in roots.collect()} == {("r", "strong"), ("x/y", "weak")}
+    p = corpus.project_profile(paths.withColumn("project", F.lit("r")), "project").first()
+    assert (p.files, p.test, p.code, p.test_backed) == (6, 1, 1, True)
+
+
+def test_integrity(spark):
+    a = spark.createDataFrame([(1, 5), (2, 9), (3, None)], "id int, ref int")
+    b = spark.createDataFrame([(5, 1.0), (6, 2.0)], "id int, v double")
+    assert [(r.child, r.value, r.rows) for r in matching.referential_integrity({"a": a, "b": b}, [("a", "ref", "b", "id")]).collect()] == [("a", "9", 1)]
+    c = spark.createDataFrame([(5, 1.005), (7, 2.0)], "id int, v double")
+    assert {(r.id, r.problem) for r in matching.reconcile(b, c, ["id"], "v").collect()} == {(6, "one_side"), (7, "one_side")}
+    assert matching.duplicate_keys(a.unionByName(a), ["id"]).count() == 3

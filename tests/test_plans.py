@@ -111,3 +111,15 @@ def test_registry(spark):
     assert registry.execute("robust-anomaly@1.0.0", df, "v", 3.5, []).status == "unverifiable"
     with pytest.raises(ValueError):
         registry.operator("table-profile")(table.profile)
+
+
+def test_scope_and_gates():
+    ok = {"attempted": True, "succeeded": True, "request_count": 1}
+    shared = {"shared_object_status": "confirmed", "shared_problem_status": "confirmed", "evidence_refs": ["e"]}
+    fam = [{"family_id": "f", "sources": ["a"], "excluded": ["b"]}]
+    assert control.compile_scope("q", shared, fam, ["a", "b"], {"e": "verified"}, ok)["verdict"] == "one_scope"
+    assert control.compile_scope("q", shared, fam, ["a", "b", "c"], {"e": "verified"}, ok) == {"decision_question": "q", "verdict": "by_family", "unassigned": ["c"], "errors": []}
+    assert control.compile_scope("q", shared, [*fam, {"family_id": "g", "sources": ["a"]}], ["a"], {"e": "open"}, ok)["verdict"] == "blocked"
+    out = control.record_progress({"f": [True, False]}, "f", False)
+    assert out["stable"] and not control.record_progress({}, "f", False)["stable"]
+    assert control.gate({"a": True, "b": False}, ["a", "b", "c"]) == {"passed": False, "failed": ["b", "c"], "missing": ["c"]}
