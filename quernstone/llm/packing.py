@@ -33,9 +33,6 @@ LONGEST_REMEMBERED = 64
 
 #: Marks that a tokenizer cuts from the letter or digit before them.
 _MARKS = b".,;:!?|*$%&#()[]{}<>=+-_/\\\"~^@"
-_loaded: dict[str, tuple] = {}
-
-
 def _split_marks(word: bytes) -> tuple[bytes, ...]:
     """word without the marks at its end, and those; only where a letter or ASCII digit precedes them.
 
@@ -57,63 +54,68 @@ def _byte_names() -> dict[int, str]:
     return dict(enumerate(map(chr, range(256)))) | dict(zip((b for b in range(256) if b not in visible), map(chr, range(256, 512)), strict=False))
 
 
-def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Texts to little-endian unsigned 32-bit ids; one for each worker and tokenizer file.
+class _Words(dict):
+    """Lower-cased words to their ids as little-endian unsigned 32-bit; unknown words are encoded when asked for.
 
-    The tokenizer lower-cases, drops white space, and lets no token span it or
-    the end of a run of letters; so A-Z are lower-cased first, words are encoded
-    one by one, without the marks at their ends, and remembered. Once half of
-    what may be remembered is new, what hasn't been used since is forgotten.
+    Once half of what may be remembered is new, what hasn't been asked for since is forgotten.
     """
-    if path not in _loaded:
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), [{}, {}])
-    tokenizer, known = _loaded[path]
-    bytewise = str.maketrans(_byte_names())
-    merge = tokenizer.model.tokenize
-
-    def learn(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        other = []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and text.lower() == text:
-                ids = [t.id for t in merge(text if text.isascii() else w.decode("latin-1").translate(bytewise))]
-                yield w, struct.pack(f"<{len(ids)}I", *ids)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.bytewise = str.maketrans(_byte_names())
+        self.older: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word[-1] in _MARKS and len(parts := _split_marks(word)) > 1:
+                ids = self[parts[0]] + self[parts[1]]
             else:
-                other.append(w)
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            got = tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            data = np.array(got.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-            yield from ((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+                ids = self.encode(word)
+        if len(word) > LONGEST_REMEMBERED:
+            self.long.append(word)
+        self[word] = ids
+        return ids
+
+    def encode(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and text.lower() == text:
+            ids = [t.id for t in self.merge(text if text.isascii() else word.decode("latin-1").translate(self.bytewise))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def forget(self) -> None:
+        for word in self.long:
+            self.pop(word, None)
+        self.long.clear()
+        if len(self) > REMEMBERED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+
+
+_loaded: dict[str, _Words] = {}
+
+
+def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
+    """Texts to little-endian unsigned 32-bit ids; one memory for each worker and tokenizer file.
+
+    The tokenizer lower-cases, drops white space, and lets no token span it or
+    the end of a run of letters; so A-Z are lower-cased first and words are
+    encoded one by one, without the marks at their ends, and remembered.
+    """
+    if path not in _loaded:
+        _loaded[path] = _Words(path)
+    words = _loaded[path]
+    get = words.__getitem__
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known[0]) > REMEMBERED_WORDS // 2:
-            known[:] = {}, known[0]
-        recent, older = known
-        split = [t.lower().split() for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(recent)
-        parts = {}
-        for w in new:
-            if w in older:
-                recent[w] = older[w]
-            else:
-                parts[w] = _split_marks(w) if w[-1] in _MARKS else (w,)
-        for w, ids in learn([p for p in set().union(*parts.values()) if p not in recent]):
-            recent[w] = ids
-        for w, found in parts.items():
-            if len(found) > 1:
-                recent[w] = recent[found[0]] + recent[found[1]]
-        get = recent.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in parts:
-            if len(w) > LONGEST_REMEMBERED:
-                del recent[w]
+        out = [b"".join(map(get, t.lower().split())) for t in texts]
+        words.forget()
         return out
 
     return encode
