@@ -2,13 +2,14 @@
 
 A line's set is its distinct words. A line goes if an earlier line, by doc_id and
 line number, has a Jaccard similarity of PERCENT or more to it; whether that
-earlier line is itself kept doesn't matter. Lines of fewer than MIN_WORDS
-different words take no part.
+earlier line is itself kept doesn't matter. Every line with a word takes part;
+blank lines stay.
 
 1. Word frequencies of the whole corpus are counted in a table of fixed size by
    hash; they order each line's words, the rarest first. A word that is alone in
    its bucket and occurs once is unique, so it can't bring two lines together.
-2. Lines of equal sets fall together: the first one stands for all.
+2. Lines of equal sets fall together: the first one stands for all. A set too small
+   to match any but an equal one is settled by this alone.
 3. Similar lines share a word among their first ``n - ceil(t * n) + 1``. For every
    such word each line is held against the earliest one that has it, if length,
    position and the lines' other rare words allow the similarity; verified
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PERCENT = 90
-MIN_WORDS = 5
+#: A line without a word is blank.
+MIN_WORDS = 1
 #: Words beyond the prefix whose presence in the other line is looked at before verification.
 WINDOW = 12
 #: Buckets of the frequency table.
@@ -136,8 +138,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     sets = _settle(lines.withColumn("rank", first).filter("rank = 1").select("doc", "line", "n", "prefix", "bits", "last"), "line-firsts")
 
     def words(rows: DataFrame) -> DataFrame:
-        """A row for each word of the prefix that isn't unique."""
-        return rows.select("doc", "line", "n", "bits", "last", F.posexplode("prefix").alias("at", "word")).filter(F.col("word") >= 1 << 56)
+        """A row for each word of the prefix that isn't unique, of sets that can match a larger or smaller one."""
+        return rows.filter(F.col("n") * (100 - PERCENT) >= PERCENT).select("doc", "line", "n", "bits", "last", F.posexplode("prefix").alias("at", "word")).filter(F.col("word") >= 1 << 56)
 
     columns = ["doc", "line", "n", "at", "bits", "last"]
     upto = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)

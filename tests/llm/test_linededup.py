@@ -64,6 +64,19 @@ def test_variants_against_brute_force(spark):
     assert report(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_short_lines_take_part(spark):
+    nine = helpers.words(9, 100)
+    docs = [
+        (1, "Read more\n\nThe The The The The The\na b c d"),
+        (2, "more  Read\n\nThe\na b c e\n" + nine),
+        (3, "Read more"),
+        (4, " \n" + nine + " w109\na b c d\nnew"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert report(df) == {1: [0, 2, 3], 2: [3, 4], 4: [3]}
+    assert dict(helpers.texts_of(linededup.remove_lines(df))) == {1: docs[0][1], 2: "\na b c e\n" + nine, 4: " \nnew"}
+
+
 def test_plan_has_no_python(spark):
     plan = linededup.line_report(helpers.awkward(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
