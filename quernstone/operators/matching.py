@@ -98,11 +98,14 @@ def multiset_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).exceptAll(b.select(key))
 
 
-def overlapping_intervals(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Pairs of intervals of a short declared list that share a day: days are exploded, so the join is by day."""
-    days = intervals.select(key, F.explode(F.sequence(start, end)).alias("day"))
-    meet = days.groupBy("day").agg(F.sort_array(F.collect_set(key)).alias("keys")).filter(F.size("keys") > 1)
-    return meet.select("day", F.get("keys", F.lit(0)).alias("first"), F.get("keys", F.lit(1)).alias("second"))
+def overlapping_intervals(intervals: DataFrame, key: str, start: str, end: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, day, first, second): on every day that intervals share, each against the one before it by key.
+
+    Intervals meet inside the columns of within only. Days are exploded, so the rows grow with the days covered and not with pairs.
+    """
+    days = intervals.select(*within, F.col(key).alias("second"), F.explode(F.sequence(start, end)).alias("day")).distinct()
+    before = F.lag("second").over(Window.partitionBy(*within, "day").orderBy("second"))
+    return days.withColumn("first", before).filter("first is not null").select(*within, "day", "first", "second")
 
 
 def referential_integrity(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:

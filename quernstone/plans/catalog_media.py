@@ -130,11 +130,22 @@ def period_join(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", operational.period_of(F.to_date("o_orderdate"), [FIRST, SECOND]).alias("period"))
 
 
+def _order_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Three days from every order's date."""
+    return table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 2).alias("e"))
+
+
 @query("""WITH i AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 2 AS e FROM orders WHERE o_custkey = 7 OR o_custkey = 11),
     d AS (SELECT k, unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS day FROM i) SELECT day, min(k) AS first, list_sort(list(DISTINCT k))[2] AS second FROM d GROUP BY 1 HAVING count(DISTINCT k) > 1""")
 def interval_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_custkey in (7, 11)").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 2).alias("e"))
-    return matching.overlapping_intervals(o, "k", "s", "e")
+    return matching.overlapping_intervals(_order_intervals(spark, sf).filter("o_custkey in (7, 11)"), "k", "s", "e")
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderkey AS k, unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 2, INTERVAL 1 DAY))::DATE AS day FROM orders)
+    SELECT a.o_custkey, a.day, max(a.k) AS first, b.k AS second FROM d a JOIN d b ON a.o_custkey = b.o_custkey AND a.day = b.day AND a.k < b.k GROUP BY a.o_custkey, a.day, b.k""")
+def interval_overlaps_all(spark: SparkSession, sf: str) -> DataFrame:
+    """interval_overlaps over every order, inside each customer."""
+    return matching.overlapping_intervals(_order_intervals(spark, sf), "k", "s", "e", ("o_custkey",))
 
 
 @query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
