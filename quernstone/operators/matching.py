@@ -73,10 +73,9 @@ def deepest_root(paths: DataFrame, path: str, roots: DataFrame, root: str) -> Da
     return paths.select(path).join(hit, path, "left")
 
 
-def reference_check(owners: DataFrame, owner: str, refs: str, evidence: DataFrame, ref: str, status: str) -> DataFrame:
-    """(owner, ref, problem): references that are unknown or not verified."""
-    wanted = owners.select(owner, F.explode(refs).alias(ref)).distinct()
-    found = wanted.join(evidence.select(ref, status), ref, "left")
+def reference_check(wanted: DataFrame, owner: str, ref: str, evidence: DataFrame, status: str) -> DataFrame:
+    """(owner, ref, problem): references that are unknown or not verified; wanted has a row for each reference of an owner."""
+    found = wanted.select(owner, ref).distinct().join(evidence.select(ref, status), ref, "left")
     problem = F.when(F.col(status).isNull(), "unknown_reference").when(F.col(status) != "verified", "unverified_reference")
     return found.select(owner, ref, problem.alias("problem")).filter("problem is not null")
 

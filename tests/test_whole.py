@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 
 from quernstone.operators import matching
+from quernstone.plans import catalog_text
 
 
 def test_every_interval_of_a_day(spark):
@@ -15,3 +16,10 @@ def test_every_interval_of_a_day(spark):
     assert got == {(i, "a", "b") for i in range(1, 11)} | {(9, "b", "c"), (10, "b", "c"), (10, "c", "d")}
     inside = matching.overlapping_intervals(iv, "k", "s", "e", ("g",)).collect()
     assert {(r.g, r.day.day, r.first, r.second) for r in inside} == {(1, i, "a", "b") for i in range(1, 11)} | {(1, 9, "b", "c"), (1, 10, "b", "c")}
+
+
+def test_references_of_every_order(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "1-URGENT"), (2, 2, "1-URGENT"), (500, 1, "1-URGENT"), (9000, 2, "2-HIGH"), (9001, 3, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(101, 5.0), (102, -5.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.o_orderkey, r.ref, r.problem) for r in catalog_text.reference_check_all(spark, str(tmp_path)).collect()}
+    assert got == {(2, 102, "unverified_reference"), (9000, 102, "unverified_reference"), (9001, 103, "unknown_reference")}
