@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
@@ -47,19 +47,30 @@ def fixed_endings(spark: SparkSession, sf: str) -> DataFrame:
     return media.fixed_endings(table(spark, sf, "events").select(F.col("user_id").alias("article"), F.col("event_id").alias("number"), F.col("event_type").alias("sha256")))
 
 
+def _mapped_images(o: DataFrame) -> DataFrame:
+    """Customers as articles, their orders as references and, nine of ten, as images."""
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    refs = o.select(F.col("o_custkey").alias("article"), at.alias("position"), F.when(F.col("o_orderkey") % 3 == 0, 0.5).otherwise(2.0).alias("ratio"))
+    images = o.filter("o_orderkey % 10 <> 0").select(F.col("o_custkey").alias("article"), F.col("o_orderkey").alias("number"), F.lit(100).alias("width"), F.when(F.col("o_orderkey") % 2 == 0, 50).otherwise(200).alias("height"))
+    return media.map_images(refs, images).withColumn("position", F.col("position").cast("long")).na.fill(-1, ["number"])
+
+
 @query("""WITH r AS (SELECT o_custkey AS article, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS ratio FROM orders WHERE o_custkey < 300),
     i AS (SELECT o_custkey AS article, o_orderkey AS number, 100 AS width, CASE WHEN o_orderkey % 2 = 0 THEN 50 ELSE 200 END AS height FROM orders WHERE o_custkey < 300 AND o_orderkey % 10 <> 0),
     n AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY number) AS position, count(*) OVER (PARTITION BY article) AS k FROM i), m AS (SELECT article, max(k) AS k FROM n GROUP BY 1), w AS (SELECT article, count(*) AS refs FROM r GROUP BY 1)
     SELECT r.article, r.position, coalesce(n.number, -1) AS number, CASE WHEN n.number IS NULL THEN 'missing_local' WHEN m.k <> refs THEN 'count_mismatch' WHEN abs(height / width - ratio) <= 0.02 THEN 'order_and_ratio' ELSE 'ratio_conflict' END AS status
     FROM r LEFT JOIN n ON n.article = r.article AND n.position = r.position LEFT JOIN m ON m.article = r.article JOIN w ON w.article = r.article""")
 def image_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_custkey < 300")
-    from pyspark.sql import Window
+    return _mapped_images(table(spark, sf, "orders").filter("o_custkey < 300"))
 
-    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    refs = o.select(F.col("o_custkey").alias("article"), at.alias("position"), F.when(F.col("o_orderkey") % 3 == 0, 0.5).otherwise(2.0).alias("ratio"))
-    images = o.filter("o_orderkey % 10 <> 0").select(F.col("o_custkey").alias("article"), F.col("o_orderkey").alias("number"), F.lit(100).alias("width"), F.when(F.col("o_orderkey") % 2 == 0, 50).otherwise(200).alias("height"))
-    return media.map_images(refs, images).withColumn("position", F.col("position").cast("long")).na.fill(-1, ["number"])
+
+@query("""WITH r AS (SELECT o_custkey AS article, row_number() OVER w AS position, count(*) OVER (PARTITION BY o_custkey) AS refs, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS ratio FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    i AS (SELECT o_custkey AS article, o_orderkey AS number, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS shape, row_number() OVER w AS position, count(*) OVER (PARTITION BY o_custkey) AS images FROM orders WHERE o_orderkey % 10 <> 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+    SELECT r.article, r.position, coalesce(number, -1) AS number, CASE WHEN number IS NULL THEN 'missing_local' WHEN images <> refs THEN 'count_mismatch' WHEN abs(shape - ratio) <= 0.02 THEN 'order_and_ratio' ELSE 'ratio_conflict' END AS status
+    FROM r LEFT JOIN i ON i.article = r.article AND i.position = r.position""")
+def image_mapping_all(spark: SparkSession, sf: str) -> DataFrame:
+    """image_mapping over every customer."""
+    return _mapped_images(table(spark, sf, "orders"))
 
 
 @query("""WITH r AS (SELECT user_id AS path, event_type, round(avg(value), 3) AS mean_confidence, count(*) AS characters FROM events GROUP BY ALL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 from quernstone.operators import matching
-from quernstone.plans import catalog_text
+from quernstone.plans import catalog_media, catalog_text
 
 
 def test_every_interval_of_a_day(spark):
@@ -23,3 +23,9 @@ def test_references_of_every_order(spark, tmp_path):
     spark.createDataFrame([(101, 5.0), (102, -5.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r.o_orderkey, r.ref, r.problem) for r in catalog_text.reference_check_all(spark, str(tmp_path)).collect()}
     assert got == {(2, 102, "unverified_reference"), (9000, 102, "unverified_reference"), (9001, 103, "unknown_reference")}
+
+
+def test_images_of_every_customer(spark, tmp_path):
+    spark.createDataFrame([(3, 299), (4, 300), (6, 300), (10, 5000), (11, 5000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.article, r.position, r.number, r.status) for r in catalog_media.image_mapping_all(spark, str(tmp_path)).collect()}
+    assert got == {(299, 1, 3, "ratio_conflict"), (300, 1, 4, "ratio_conflict"), (300, 2, 6, "order_and_ratio"), (5000, 1, 11, "count_mismatch"), (5000, 2, -1, "missing_local")}
