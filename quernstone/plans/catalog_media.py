@@ -91,7 +91,7 @@ def media_spread_sample(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def transcript_screen(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as speech segments, through the JSON reader."""
-    seg = F.struct((F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1).alias("end"), F.left("text", F.lit(40)).alias("text"), F.lit(-0.5).alias("avg_logprob"), F.when(F.col("turn") % 4 == 3, 0.9).otherwise(0.1).alias("no_speech_prob"))
+    seg = F.struct((F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1).alias("end"), "text", F.lit(-0.5).alias("avg_logprob"), F.when(F.col("turn") % 4 == 3, 0.9).otherwise(0.1).alias("no_speech_prob"))
     files = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("path")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(seg)).alias("segments"))).alias("text"))
     return media.transcript_screen(media.transcript_segments(files))
 

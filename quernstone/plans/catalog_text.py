@@ -137,6 +137,12 @@ def compact_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", ft.compact_title(F.left("text", F.lit(60))).alias("title"))
 
 
+@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9一-鿿]+', '', 'g') AS title FROM documents")
+def compact_titles_all(spark: SparkSession, sf: str) -> DataFrame:
+    """compact_titles of whole texts."""
+    return table(spark, sf, "documents").select("doc_id", ft.compact_title(F.col("text")).alias("title"))
+
+
 @query("""SELECT o_orderkey, o_totalprice AS number, CAST(o_orderdate AS DATE) AS day, TRUE AS no_number, TRUE AS no_day FROM orders""")
 def lenient_casts(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers with thousands commas and dates with slashes, read back; NaN text and the 30th of February are not values."""
@@ -215,7 +221,7 @@ def match_exact(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def near_title_match(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of even documents against those of odd ones of the same language and source."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", ft.normalize_title(F.left(F.substring_index("text", "\n", 1), F.lit(80))).alias("title"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", ft.normalize_title(F.substring_index("text", "\n", 1)).alias("title"))
     items, groups = d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1").select("lang", "source", F.col("doc_id").alias("other_id"), F.col("title").alias("other_title"))
     return matching.fuzzy_match(items, groups, ["lang", "source"], "doc_id", "title", "other_id", "other_title")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import difflib
 
 from quernstone.operators import matching
 from quernstone.plans import catalog_media, catalog_text
@@ -29,3 +30,32 @@ def test_images_of_every_customer(spark, tmp_path):
     spark.createDataFrame([(3, 299), (4, 300), (6, 300), (10, 5000), (11, 5000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {(r.article, r.position, r.number, r.status) for r in catalog_media.image_mapping_all(spark, str(tmp_path)).collect()}
     assert got == {(299, 1, 3, "ratio_conflict"), (300, 1, 4, "ratio_conflict"), (300, 2, 6, "order_and_ratio"), (5000, 1, 11, "count_mismatch"), (5000, 2, -1, "missing_local")}
+
+
+def test_whole_first_lines_are_compared(spark, tmp_path):
+    head = " ".join(f"word{i}" for i in range(16))
+    lines = {2: head + " " + "alpha beta " * 6, 4: head + " " + "gamma delta " * 5, 6: "short one", 8: head, 10: ""}
+    lines |= {1: head + " " + "alpha beta " * 6 + "x", 3: head + " " + "0123456789 " * 6, 5: "short ones", 7: "0" * 60 + head}
+    docs = [(k, "en", "s", t + "\nmore") for k, t in lines.items()]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {k: "".join(t.lower().split()) for k, t in lines.items()}
+    want = {}
+    for i in (k for k in plain if k % 2 == 0):
+        ratios = sorted(((-round(difflib.SequenceMatcher(None, plain[i], plain[k]).ratio(), 9), k) for k in plain if k % 2), key=lambda x: x)
+        ratios = [(-r, k) for r, k in ratios if -r >= 0.72]
+        status = "none" if not ratios else "ambiguous" if len(ratios) > 1 and ratios[0][0] - ratios[1][0] < 0.03 else "matched"
+        want[i] = (status, ratios[0][1] if status == "matched" else None)
+    got = {r.doc_id: (r.status, r.other_id) for r in catalog_text.near_title_match(spark, str(tmp_path)).collect()}
+    assert got == want and got[2] == ("matched", 1) and got[6] == ("matched", 5)
+
+
+def test_whole_turns_are_compared(spark, tmp_path):
+    long = "the same forty characters and a few more "
+    turns = [(1, 0, long + "yes"), (1, 1, long + "no"), (2, 0, long + "yes"), (2, 1, long + "yes")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.path: r.repeated for r in catalog_media.transcript_screen(spark, str(tmp_path)).collect()} == {1: 0, 2: 2}
+
+
+def test_whole_titles(spark, tmp_path):
+    spark.createDataFrame([(1, "A b. " * 40 + "End")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog_text.compact_titles_all(spark, str(tmp_path)).first().title == "ab" * 40 + "end"
