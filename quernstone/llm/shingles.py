@@ -45,6 +45,7 @@ WORDS = 5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 75
 CHUNK_BYTES = 8 << 20
+#: Node numbers inside a chunk are 16 bits wide.
 CHUNK_DOCUMENTS = 60_000
 #: Shingles, about, whose frequency one task counts at a time.
 RANGE_SHINGLES = 1_000_000
@@ -126,7 +127,10 @@ def _sent(bits: int):
                     nodes.append(node)
                     sets.append(s)
                     size += len(s) * 8
-            if size >= CHUNK_BYTES or len(nodes) >= CHUNK_DOCUMENTS:
+                if len(nodes) >= CHUNK_DOCUMENTS:
+                    yield chunk_rows(chunk, nodes, sets)
+                    chunk, nodes, sets, size = chunk + 1, [], [], 0
+            if size >= CHUNK_BYTES:
                 yield chunk_rows(chunk, nodes, sets)
                 chunk, nodes, sets, size = chunk + 1, [], [], 0
         if nodes:

@@ -3,6 +3,10 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+import zstandard
+
 from quernstone.llm import shingles
 from quernstone.llm.components import connected_components
 
@@ -72,6 +76,21 @@ def test_large_families_are_cut_into_blocks(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_chunks_hold_no_more_nodes_than_their_numbers(monkeypatch):
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(shingles, "TaskContext", Context)
+    monkeypatch.setattr(shingles, "CHUNK_DOCUMENTS", 30)
+    texts = [f"a{i} b c" for i in range(100)]
+    nodes = [shingles._signature(s)[0] for s in shingles.shingle_sets(texts)]
+    batches = [pa.RecordBatch.from_pydict({"node": nodes[a:b], "text": texts[a:b]}) for a, b in ((0, 29), (29, 100))]
+    rows = pa.Table.from_batches(shingles._sent(2)(iter(batches))).to_pylist()
+    sent = [np.frombuffer(zstandard.decompress(r["nodes"]), np.int64).tolist() for r in rows if r["nodes"]]
+    assert sum(sent, []) == nodes and max(map(len, sent)) <= 30
+
+
 def test_representatives(spark):
     docs = helpers.awkward(spark)
     out = shingles.keep_representatives(docs)
