@@ -8,7 +8,10 @@ histogram of piece lengths: at most ``capacity`` numbers, whatever the input.
 Each length's pieces are then numbered and read their place off the plan.
 
 Defined cases: a null text is empty and packs as the separator alone; repeated
-rows are packed each; null ids are kept as null; no rows give no sequences.
+rows are packed each; null ids are kept as null; no rows give no sequences;
+pieces of equal length are interchangeable and placed in the order of their
+numbers; other columns, of whatever name, are ignored. A long text is encoded
+whole, at some 4 bytes an id, and cut afterwards.
 """
 
 from __future__ import annotations
@@ -27,25 +30,16 @@ from pyspark.sql import functions as F
 from .common import byte_slices, materialize
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers; beyond it those not met of late are forgotten.
+REMEMBERED_WORDS = 200_000
 LONGEST_REMEMBERED = 64
 
-#: Marks that a tokenizer cuts from the letter or digit before them.
+#: ASCII marks that a tokenizer cuts, as one run, from the letter or digit before them.
 _MARKS = b".,;:!?|*$%&#()[]{}<>=+-_/\\\"~^@"
-def _split_marks(word: bytes) -> tuple[bytes, ...]:
-    """word without the marks at its end, and those; only where a letter or ASCII digit precedes them.
-
-    Names of special tokens stay whole, as do letters whose lower case ends in an accent of its own.
-    """
-    core = word.rstrip(_MARKS)
-    if len(core) in (0, len(word)) or b"<|" in word or not (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace").lower()[-1].isalpha()):
-        return (word,)
-    return core, word[len(core) :]
-
-
 #: Letters a-z and those of Latin-1 and Latin Extended-A and -B, which need no normalising once in lower case.
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\u024f]+")
+#: Words of those and digits, with marks after them.
+_MARKED = re.compile("([0-9a-z\xdf-\xf6\xf8-\u024f]+)([" + re.escape(_MARKS.decode()) + "]+)")
 
 
 def _byte_names() -> dict[int, str]:
@@ -55,7 +49,7 @@ def _byte_names() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Lower-cased words to their ids as little-endian unsigned 32-bit; unknown words are encoded when asked for.
+    """Words, A-Z lower-cased, to their ids as little-endian unsigned 32-bit; unknown words are encoded when asked for.
 
     Once half of what may be remembered is new, what hasn't been asked for since is forgotten.
     """
@@ -72,22 +66,21 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if word[-1] in _MARKS and len(parts := _split_marks(word)) > 1:
-                ids = self[parts[0]] + self[parts[1]]
+            text = word.decode("utf-8", "replace")
+            if word[-1] in _MARKS and text.lower() == text and (parts := _MARKED.fullmatch(text)):
+                ids = self[parts[1].encode()] + self[parts[2].encode()]
+            elif _PLAIN.fullmatch(text) and text.lower() == text:
+                names = text if text.isascii() else word.decode("latin-1").translate(self.bytewise)
+                ids = _packed([t.id for t in self.merge(names)])
             else:
-                ids = self.encode(word)
+                ids = self.whole(text)
         if len(word) > LONGEST_REMEMBERED:
             self.long.append(word)
         self[word] = ids
         return ids
 
-    def encode(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and text.lower() == text:
-            ids = [t.id for t in self.merge(text if text.isascii() else word.decode("latin-1").translate(self.bytewise))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def forget(self) -> None:
         for word in self.long:
@@ -98,6 +91,10 @@ class _Words(dict):
             self.clear()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _loaded: dict[str, _Words] = {}
 
 
@@ -106,7 +103,11 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     The tokenizer lower-cases, drops white space, and lets no token span it or
     the end of a run of letters; so A-Z are lower-cased first and words are
-    encoded one by one, without the marks at their ends, and remembered.
+    encoded one by one and remembered, those of plain letters and digits without
+    the marks at their ends. Two things come before the tokenizer's lower-casing:
+    names of special tokens, so a text that may hold one goes to it whole, and
+    accents join the letter before them, so words with an accent of its own
+    (U+0300 to U+037F, bytes CC and CD) keep their case.
     """
     if path not in _loaded:
         _loaded[path] = _Words(path)
@@ -114,7 +115,14 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     get = words.__getitem__
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        out = [b"".join(map(get, t.lower().split())) for t in texts]
+        out = []
+        for t in texts:
+            if b"<|" in t:
+                out.append(words.whole(t.decode("utf-8", "replace")))
+            elif b"\xcc" in t or b"\xcd" in t:
+                out.append(b"".join(words.whole(w.decode("utf-8", "replace")) if b"\xcc" in w or b"\xcd" in w else get(w.lower()) for w in t.split()))
+            else:
+                out.append(b"".join(map(get, t.lower().split())))
         words.forget()
         return out
 

@@ -58,7 +58,12 @@ def test_close_to_the_bound():
 def test_ids_are_the_tokenizers():
     random.seed(1)
     letters = list("abzAZ09.,'!|é́̃ ß中ﬁ \n\t\x1c\x85\xa0 İΣ²½Ⅷ<>#-_") + ["'s", "<|endoftext|>", "Don't.", "naïve,"]
+    letters += ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>"]
     texts = ["".join(random.choices(letters, k=random.randint(0, 40))) for _ in range(3000)] + [helpers.words(400), "x" * 500 + "."]
+    marks = list(".,!%<|>=") + ["\u0338", "\u0301", "\u093c", "\u0323"]
+    for block in range(0, 0x30000, 0x100):  # letters of all scripts, with marks and accents after them
+        near = [chr(c) for c in range(block, block + 0x100) if not 0xD800 <= c < 0xE000] or ["x"]
+        texts += ["".join(random.choice([*random.choices(near, k=3), *random.choices(marks, k=2), " ", "a", "A", "9"]) for _ in range(random.randint(1, 30))) for _ in range(20)]
     t = tokenizers.Tokenizer.from_file(PATH)
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     got = packing._encoder(PATH)([x.encode() for x in texts])
