@@ -11,7 +11,9 @@ the threshold; documents of one connected component get its least id.
    first ``n - ceil(t * n) + 1`` of either. Nodes of equal prefix and size form
    a group; groups that share a prefix shingle, directly or by way of others,
    form a candidate family.
-3. A family is split into cells of bounded size, by pairs of blocks if need be.
+3. A family is split into cells of bounded size, by pairs of blocks if need be. A
+   family of more than DIRECT_BLOCKS blocks is first taken apart again by prefix
+   shingle: groups then meet for each shingle they share, not all with all.
    In a cell, groups whose prefixes meet and whose sizes allow a link expand to
    their members, and pairs not yet connected are verified on the sets. Links
    that connect something are returned, at most one for each member.
@@ -22,7 +24,9 @@ link between different components is lost; pairs are never rows of a table.
 Defined cases: null and empty texts, and those without a word, have an empty
 set and are their own component; shorter texts than a shingle are one shingle;
 equal rows fall together; rows without an id take part, and a component of such
-rows alone has no id; extra columns are ignored.
+rows alone has no id; rows that share an id are told apart by their texts; of
+equal sets the least id names the component; extra columns are ignored; no rows
+give no rows. A long text's set is made in one numpy step, some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -45,12 +49,13 @@ WORDS = 5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 75
 CHUNK_BYTES = 8 << 20
-#: Node numbers inside a chunk are 16 bits wide.
 CHUNK_DOCUMENTS = 60_000
 #: Shingles, about, whose frequency one task counts at a time.
 RANGE_SHINGLES = 1_000_000
 #: Shingles, about, of one cell of verification.
 CELL_SHINGLES = 1 << 18
+#: Blocks up to which a family's blocks meet each other, wherever their groups' shingles lie.
+DIRECT_BLOCKS = 16
 
 _NO_ID = -(1 << 63)
 _POWERS = [np.uint64(pow(0x5851F42D4C957F2D, n, 1 << 64)) for n in range(WORDS)]
@@ -85,7 +90,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in byte_slices(batches):
         sets = shingle_sets(part.column("text").to_pylist())
         marks = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=["k", "n", "node", "check"])
+        yield pa.RecordBatch.from_arrays([part.column("k"), part.column("version"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=["k", "version", "n", "node", "check"])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -120,10 +125,11 @@ def _sent(bits: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["range", "chunk", "nodes", "sizes", "per_node", "low", "high"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, nodes, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
+        chunk, nodes, sets, size, last = TaskContext.get().partitionId() << 32, [], [], 0, None
         for part in byte_slices(batches):
             for node, s in zip(part.column("node").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
-                if len(s) and _signature(s)[0] == node:
+                if node != last:  # rows of equal id and text come one after another
+                    last = node
                     nodes.append(node)
                     sets.append(s)
                     size += len(s) * 8
@@ -139,29 +145,34 @@ def _sent(bits: int):
     return send
 
 
-def _count_range(part: pa.Table) -> pa.Table:
+def _count_range(bits: int):
     """For each chunk its shingles that two nodes have or more: node numbers, shingles, frequencies."""
-    low = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist()]
-    high = [np.frombuffer(x, np.uint16) for x in part.column("high").to_pylist()]
-    counts = [_unpack(x, np.uint32) for x in part.column("per_node").to_pylist()]
-    r = part.column("range")[0].as_py()
-    hashes = (np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)).astype(np.int64)
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    sizes = np.diff(np.r_[starts, len(ordered)])
-    frequency = np.empty(len(hashes), np.uint32)
-    frequency[order] = np.repeat(sizes, sizes)
-    cuts = np.cumsum([0, *map(len, low)])
-    out = []
-    for chunk, nodes, sizes, n, a, b in zip(part.column("chunk").to_pylist(), part.column("nodes").to_pylist(), part.column("sizes").to_pylist(), counts, cuts[:-1], cuts[1:], strict=True):
-        keep = frequency[a:b] > 1
-        if nodes is not None or keep.any():
-            rows = np.repeat(np.arange(len(n), dtype=np.uint16), n)[keep]
-            out.append((chunk, nodes, sizes, _pack(rows), (hashes[a:b][keep] | (r << 48)).tobytes(), _pack(frequency[a:b][keep])))
-    kinds = [pa.int64(), *[pa.binary()] * 5]
-    columns = zip(*out, strict=True) if out else [[]] * 6
-    return pa.table({k: pa.array(c, kind) for k, c, kind in zip(["chunk", "nodes", "sizes", "rows", "shingles", "frequency"], columns, kinds, strict=True)})
+
+    def count(part: pa.Table) -> pa.Table:
+        low = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist()]
+        high = [np.frombuffer(x, np.uint16) for x in part.column("high").to_pylist()]
+        counts = [_unpack(x, np.uint32) for x in part.column("per_node").to_pylist()]
+        r = part.column("range")[0].as_py()
+        top = np.uint64(r << (64 - bits))  # beyond 16 bits it overlaps the 48 that were sent, in equal bits
+        hashes = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        sizes = np.diff(np.r_[starts, len(ordered)])
+        frequency = np.empty(len(hashes), np.uint32)
+        frequency[order] = np.repeat(sizes, sizes)
+        cuts = np.cumsum([0, *map(len, low)])
+        out = []
+        for chunk, nodes, sizes, n, a, b in zip(part.column("chunk").to_pylist(), part.column("nodes").to_pylist(), part.column("sizes").to_pylist(), counts, cuts[:-1], cuts[1:], strict=True):
+            keep = frequency[a:b] > 1
+            if nodes is not None or keep.any():
+                rows = np.repeat(np.arange(len(n), dtype=np.uint32), n)[keep]
+                out.append((chunk, nodes, sizes, _pack(rows), (hashes[a:b][keep] | top).tobytes(), _pack(frequency[a:b][keep])))
+        kinds = [pa.int64(), *[pa.binary()] * 5]
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.table({k: pa.array(c, kind) for k, c, kind in zip(["chunk", "nodes", "sizes", "rows", "shingles", "frequency"], columns, kinds, strict=True)})
+
+    return count
 
 
 def _needed(n: int) -> int:
@@ -173,7 +184,7 @@ def _survivors(part: pa.Table) -> pa.Table:
     """Nodes that can link: size, prefix length, shared shingles by rising frequency, and the key of their group."""
     get = lambda c: [x for x in part.column(c).to_pylist() if x is not None]
     nodes, sizes = _unpack(get("nodes")[0], np.int64), _unpack(get("sizes")[0], np.int64)
-    rows = np.concatenate([_unpack(x, np.uint16) for x in get("rows")])
+    rows = np.concatenate([_unpack(x, np.uint32) for x in get("rows")])
     shingles = np.concatenate([np.frombuffer(x, np.int64) for x in get("shingles")])
     frequency = np.concatenate([_unpack(x, np.uint32) for x in get("frequency")])
     order = np.lexsort((shingles, frequency, rows))
@@ -248,64 +259,74 @@ def family_links(nodes: list[int], sizes: list[int], groups: list[int], prefixes
 
 
 def _verify_cell(part: pa.Table) -> pa.Table:
-    """All families of a cell; a cell of two blocks verifies pairs across them only."""
-    part = part.sort_by([("family", "ascending"), ("node", "ascending"), ("side", "ascending")])
-    family = part.column("family").to_numpy()
+    """All units (families, or groups with one shingle) of a cell; a cell of two blocks verifies pairs across them only."""
+    part = part.sort_by([("unit", "ascending"), ("node", "ascending"), ("side", "ascending")])
+    unit = part.column("unit").to_numpy()
     sizes, nodes, groups, sides = (part.column(c).to_pylist() for c in ("n", "node", "grp", "side"))
     prefixes = [np.array(x, np.int64) for x in part.column("prefix").to_pylist()]
     sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
     across = part.column("across")[0].as_py()
-    starts = np.flatnonzero(np.r_[True, family[1:] != family[:-1]]).tolist()
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]).tolist()
     links = []
-    for a, b in zip(starts, [*starts[1:], len(family)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
         links += family_links(nodes[a:b], sizes[a:b], groups[a:b], prefixes[a:b], sets[a:b], sides[a:b] if across else None)
     return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
 
-def _cells(survivors: DataFrame) -> DataFrame:
-    """survivors with family, cell, side and across: what is verified together, of bounded size."""
+def _weighed(rows: DataFrame) -> DataFrame:
+    """unit, weight and blocks of the units of rows that have two members or more."""
+    weights = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("shingles") / 8).alias("weight")).filter("members > 1")
+    return weights.select("unit", "weight", F.ceil(F.col("weight") / CELL_SHINGLES).cast("int").alias("blocks"))
+
+
+def _cells(survivors: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """survivors with unit, cell, side and across: what is verified together, of bounded size; and the tables behind it."""
     groups = survivors.groupBy("grp").agg(F.first("prefix").alias("prefix"))
     tokens = groups.select(F.explode("prefix").alias("shingle"), "grp")
     least = tokens.groupBy("shingle").agg(F.min("grp").alias("hub"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     edges = tokens.join(least, "shingle").select(F.col("grp").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
-    families = connected_components(edges).withColumnRenamed("node", "grp").withColumnRenamed("component", "family")
-    placed = survivors.join(families, "grp", "left").withColumn("family", F.coalesce("family", "grp"))
-    weights = placed.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("shingles") / 8).alias("weight")).filter("members > 1")
-    weights = materialize(weights.withColumn("blocks", F.ceil(F.col("weight") / CELL_SHINGLES).cast("int")), "families")
-    small = weights.filter("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    families = connected_components(edges).withColumnRenamed("node", "grp").withColumnRenamed("component", "unit")
+    placed = survivors.join(families, "grp", "left").withColumn("unit", F.coalesce("unit", "grp"))
+    weights = materialize(_weighed(placed), "families")
+    giant = placed.join(weights.filter(F.col("blocks") > DIRECT_BLOCKS).select("unit"), "unit", "left_semi").withColumn("unit", F.explode("prefix"))
+    shingles = materialize(_weighed(giant), "family-shingles")
+    units = placed.join(weights.filter(F.col("blocks") <= DIRECT_BLOCKS), "unit").unionByName(giant.join(shingles, "unit"))
+    small = weights.unionByName(shingles).filter("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     bins = int(small // CELL_SHINGLES) + 1
-    rows = placed.join(weights.select("family", "blocks"), "family")
-    one = rows.filter("blocks = 1").select("*", F.pmod(F.xxhash64("family"), F.lit(bins)).alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(False).alias("across"))
+    one = units.filter("blocks = 1").select("*", F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(False).alias("across"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    many = rows.filter("blocks > 1").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select(*rows.columns, F.col("family").alias("cell"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("side") != F.col("other")).alias("across"))
+    many = units.filter("blocks > 1").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select(*units.columns, F.col("unit").alias("cell"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("side") != F.col("other")).alias("across"))
     # in cell (i, j) of two blocks every member comes once: those of block i by other = j, those of block j by other = i
-    return one.unionByName(many).drop("blocks")
+    return one.unionByName(many).select("cell", "i", "j", "unit", "node", "n", "grp", "prefix", "shingles", "side", "across"), [weights, shingles]
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.col("text").cast("binary").alias("text"))
-    marks = materialize(rows.mapInArrow(_summaries, "k long, n long, node long, check long"), "shingle-sets")
-    nodes = materialize(marks.filter("n > 0").groupBy("node", "check", "n").agg(F.min("k").alias("k")), "nodes")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
+    marks = materialize(rows.mapInArrow(_summaries, "k long, version long, n long, node long, check long"), "shingle-sets")
+    real = F.when(F.col("k") != _NO_ID, F.col("k"))
+    # the row of each node that sends its set, by id and text, and the node's least id
+    nodes = marks.filter("n > 0").groupBy("node", "check", "n").agg(F.min(F.struct("k", "version")).alias("row"), F.min(real).alias("id"))
+    nodes = materialize(nodes.select("node", "check", "n", "row.*", "id"), "nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(4, (total // RANGE_SHINGLES).bit_length())
-    texts = rows.join(nodes.select("k", "node"), "k").select("node", "text")
+    bits = max(4, int(total // RANGE_SHINGLES).bit_length())
+    texts = rows.join(nodes.select("k", "version", "node"), ["k", "version"]).select("node", "text")
     schema = "range int, chunk long, nodes binary, sizes binary, per_node binary, low binary, high binary"
     sent = texts.mapInArrow(_sent(bits), schema)
-    known = sent.groupBy("range").applyInArrow(_count_range, "chunk long, nodes binary, sizes binary, rows binary, shingles binary, frequency binary")
+    known = sent.groupBy("range").applyInArrow(_count_range(bits), "chunk long, nodes binary, sizes binary, rows binary, shingles binary, frequency binary")
     left = known.groupBy("chunk").applyInArrow(_survivors, "node long, n long, grp long, prefix array<long>, shingles binary")
     survivors = materialize(left, "survivors")
-    cells = _cells(survivors).select("cell", "i", "j", "family", "node", "n", "grp", "prefix", "shingles", "side", "across")
+    cells, behind = _cells(survivors)
     links = cells.groupBy("cell", "i", "j", "across").applyInArrow(_verify_cell, "u long, v long")
     joined = connected_components(links)
-    discard(survivors)
-    own = nodes.join(joined, "node", "left").select("node", "check", "k", F.coalesce("component", "node").alias("root"))
-    real = F.when(F.col("k") != _NO_ID, F.col("k"))
-    least = own.groupBy("root").agg(F.min(real).alias("component_id"))
+    for used in (survivors, *behind):
+        discard(used)
+    own = nodes.join(joined, "node", "left").select("node", "check", "id", F.coalesce("component", "node").alias("root"))
+    least = own.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = own.join(least, "root").select("node", "check", "component_id")
-    out = marks.join(labels, ["node", "check"], "left")
-    return out.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+    worded = marks.filter("n > 0").join(labels, ["node", "check"], "left").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return worded.unionByName(marks.filter("n = 0").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), real.alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
@@ -316,9 +337,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """
     found = jaccard_components(docs)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    rest = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_k"), F.xxhash64("text").alias("_t")).join(gone, "_k", "left_anti")
+    takes_part = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
+    rest = docs.filter(takes_part).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_k"), F.xxhash64("text").alias("_t")).join(gone, "_k", "left_anti")
     copy = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_t"))
-    wordless = ~F.coalesce("row.text", F.lit("")).rlike("[^ \\t-\\r]")
-    kept = rest.withColumn("_copy", copy).filter((F.col("_copy") == 1) | (F.col("_k") == _NO_ID) | wordless)
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    kept = rest.withColumn("_copy", copy).filter("_copy = 1").select("row.*")
+    return docs.filter(~takes_part).unionByName(kept)

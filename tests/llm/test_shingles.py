@@ -76,6 +76,30 @@ def test_large_families_are_cut_into_blocks(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_giant_families_are_taken_apart_by_shingle(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "CELL_SHINGLES", 200)
+    monkeypatch.setattr(shingles, "DIRECT_BLOCKS", 2)
+    rows = near_copies(5, 3, 40, 60)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_many_hash_ranges(spark, monkeypatch):
+    """More than 2^16 ranges, as a corpus of hundreds of GB has."""
+    monkeypatch.setattr(shingles, "RANGE_SHINGLES", 1 / 100)
+    rows = near_copies(6, 2, 6, 40)[:40]
+    total = sum(len(sets_of(t)) for _, t in rows) * 100
+    assert total.bit_length() > 16
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(k, helpers.words(30, 100 * i) + " end") for k in (None, 4) for i in range(3)] + [(None, helpers.words(30, 100)), (9, helpers.words(30, 200) + " end")]
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+    assert sorted((r.doc_id for r in shingles.keep_representatives(df).collect()), key=str) == sorted([4, 4, 4, *[None] * 7], key=str)
+
+
 def test_chunks_hold_no_more_nodes_than_their_numbers(monkeypatch):
     class Context:
         get = staticmethod(lambda: Context)
