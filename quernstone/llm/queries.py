@@ -139,11 +139,11 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS x
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+                   CAST(CASE WHEN len(q.x) = 0 OR len(c.x) = 0 THEN 0 ELSE list_inner_product(q.x, c.x) END AS BIGINT) AS score
             FROM v q JOIN v c ON c.vec_id <> q.vec_id
             WHERE q.vec_id % 50 = 0),
         r AS (

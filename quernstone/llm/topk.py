@@ -5,10 +5,11 @@ the postings of each term are a list of rows and weights; a query scatters its
 weight times those into a dense score array, term by term. Partition selection
 keeps the k best of the block, and a merge keeps the k best of all blocks.
 
-Defined cases: vectors that are null, empty or hold null, NaN or infinite
-components take no part, nor do rows without an id; vectors of unequal length
-are sparse, their missing terms weigh zero. A query never meets rows of its own
-id; repeated candidate rows each count. Equal scores rank the smaller id first.
+Defined cases: vectors that are null or hold null, NaN or infinite components
+take no part, nor do rows without an id; vectors of unequal length are sparse,
+their missing terms weigh zero, and an empty one scores 0 with all. A query
+never meets rows of its own id; repeated candidate rows each count. Equal scores
+rank the smaller id first. No rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     rows = (
         vectors.filter(whole)
         .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), is_query.alias("asks"))
-        .filter((F.size("x") > 0) & sound)
+        .filter(sound)
         .withColumn("x", F.transform("x", lambda v: F.floor(v * scale).cast("long")))
     )
     count, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
