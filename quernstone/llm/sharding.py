@@ -9,7 +9,9 @@ committed that version, so readers see one version or the next, nothing between.
 Defined cases: an arrival without rows commits a version and no run; null
 columns, empty and long texts, repeated rows and any columns are stored as they
 are; a lost commit race raises CommitConflict and leaves unreferenced files,
-which vacuum() removes. A job that lost executors is retried by Spark before
+which vacuum() removes
+when they are old enough to belong to no running writer. An arrival must have the
+stored columns in their types. A job that lost executors is retried by Spark before
 anything is committed.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -28,6 +31,8 @@ TARGET_BYTES = 128 << 20
 #: Runs of one tier that are merged together, and the size ratio between tiers.
 FANOUT = 4
 SMALLEST_BYTES = 1 << 20
+#: Age from which a run that no version lists counts as abandoned.
+GRACE_SECONDS = 24 * 3600
 
 
 class CommitConflict(RuntimeError):
@@ -104,10 +109,18 @@ class ShardStore:
         return Run(name, files) if files and not rows.isEmpty() else None
 
     def append(self, arrival: DataFrame) -> Manifest:
-        """Commit the rows as a new run."""
+        """Commit the rows as a new run. The arrival has every stored column in its type; columns that it adds are null in older rows."""
         base = self.manifest()
+        schema = arrival.schema
+        if base.schema:
+            stored = T.StructType.fromJson(json.loads(base.schema))
+            types = {f.name: f.dataType for f in schema}
+            wrong = [f.name for f in stored if types.get(f.name) != f.dataType]
+            if wrong:
+                raise ValueError(f"the arrival lacks stored columns or changes their types: {', '.join(wrong)}")
+            schema = T.StructType([*stored, *(f for f in schema if f.name not in stored.names)])
         run = self._write(arrival)
-        return self._commit(base, base.runs + ([run] if run else []), arrival.schema.json())
+        return self._commit(base, base.runs + ([run] if run else []), schema.json())
 
     def tier(self, run: Run) -> int:
         return max(0, math.floor(math.log(max(run.size, 1) / self.smallest, self.fanout)))
@@ -153,12 +166,19 @@ class ShardStore:
         placed = rows.select(F.struct(*rows.columns).alias("row"), names[run].alias("shard"))
         return placed.select("row", "shard", F.get(tiers, F.col("shard")).alias("tier"), F.lit(manifest.version).cast("long").alias("version"))
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete runs that none of the last keep versions lists, and older manifests."""
+    def vacuum(self, keep: int = 1, grace_seconds: float = GRACE_SECONDS) -> None:
+        """Delete runs that only versions before the last keep list, and those versions' manifests.
+
+        A run that no version lists may belong to a writer that is about to commit;
+        it goes once it is older than grace_seconds.
+        """
         versions = self.versions()
         wanted = {r.name for v in versions[-keep:] for r in self.manifest(v).runs}
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(f"manifests/v{v:012d}.json"), False)
+        retired = {r.name for v in versions[:-keep] for r in self.manifest(v).runs} - wanted
+        oldest = (time.time() - grace_seconds) * 1000
         for s in self._list("data"):
-            if s.getPath().getName() not in wanted:
+            name = s.getPath().getName()
+            if name in retired or name not in wanted and s.getModificationTime() < oldest:
                 self._fs.delete(s.getPath(), True)
+        for v in versions[:-keep]:
+            self._fs.delete(self._path(f"manifests/v{v:012d}.json"), False)

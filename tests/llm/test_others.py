@@ -141,6 +141,28 @@ def test_store_keeps_every_row_and_version(spark, tmp_path):
     assert store.versions() == [now.version] and store.read().count() == 5 * docs.count()
 
 
+def test_vacuum_leaves_runs_about_to_be_committed(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), fanout=2)
+    base = store.append(spark.range(3).toDF("id"))
+    run = store._write(spark.range(5).toDF("id"))
+    store.vacuum()
+    store._commit(base, [*base.runs, run], base.schema)
+    assert store.read().count() == 8
+    lost = store._write(spark.range(5).toDF("id"))
+    store.vacuum(grace_seconds=-60)
+    assert store.read().count() == 8 and lost.name not in [s.getPath().getName() for s in store._list("data")]
+
+
+def test_arrivals_keep_the_stored_columns(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([(1, "a")], "id long, t string"))
+    for wrong in ("id long", "id int, t string", "id long, T string"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], wrong))
+    store.append(spark.createDataFrame([("b", 2.5, 2)], "t string, x double, id long"))
+    assert sorted((tuple(r) for r in store.read().collect()), key=str) == [(1, "a", None), (2, "b", 2.5)]
+
+
 def test_lost_race(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "store"))
     base = store.manifest()
@@ -155,7 +177,7 @@ def test_lost_race(spark, tmp_path):
 
 def brute_top(rows, k):
     out = []
-    sound = [(i, [math.floor(256 * v) for v in x]) for i, x in rows if i is not None and x and all(v is not None and math.isfinite(v) for v in x)]
+    sound = [(i, [math.floor(256 * v) for v in x]) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
     for q, x in sound:
         if q % 50 == 0:
             hits = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in sound if i != q)[:k]
@@ -177,6 +199,12 @@ def test_search_against_brute_force(spark, monkeypatch):
         assert got == brute_top(as_float, 5)
 
 
+def test_empty_vectors_take_part(spark):
+    df = spark.createDataFrame([(0, [1.0, -1.0]), (1, []), (2, [-1.0]), (50, [])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 0), (0, 2, 50, 0), (0, 3, 2, -65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+
+
 def test_search_small_tables(spark):
     asks = F.col("vec_id") % 50 == 0
     schema = "vec_id long, embedding array<float>"
