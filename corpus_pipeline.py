@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import linededup, packing, quality, shingles
-from quernstone.llm.common import materialize, table
+from quernstone.llm.common import discard, materialize, scratch_scope, table
 from quernstone.llm.queries import mix_documents, tokenizer_path
 
 
@@ -49,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written and read again."""
+    """All stages over documents, each one's rows written and read again; what a stage leaves besides goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch_scope():
+            done = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), stays=True)
+        discard(docs)
+        docs = done
     return docs

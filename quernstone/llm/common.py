@@ -7,8 +7,10 @@ in the UTF-8 text: ``bytes.split()`` splits at exactly those, and
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +23,39 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in spark.checkpoint.dir."""
+    """The shared folder named by the cluster in spark.checkpoint.dir; a local session without one, as in tests, gets one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/quernstone-checkpoints"  # a single-machine session, as in tests
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/quernstone-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quernstone"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete at the end what materialize() has written inside, but for what is marked to stay."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _scopes and not stays:
+        _scopes[-1].append(out)
     return out
 
 
