@@ -1,72 +1,87 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's set is its distinct words. A line goes if an earlier line, by doc_id and
-line number, has a Jaccard similarity of PERCENT or more to it; whether that
-earlier line is itself kept doesn't matter. Every line with a word takes part;
-blank lines stay.
-
-1. Word frequencies of the whole corpus are counted in a table of fixed size by
-   hash; they order each line's words, the rarest first. A word that is alone in
-   its bucket and occurs once is unique, so it can't bring two lines together.
-2. Lines of equal sets fall together: the first one stands for all. A set too small
+A line's set is its distinct words. A line goes if an earlier line, by doc_id,
+hash of the whole text and line number, has a Jaccard similarity of PERCENT or
+more to it; whether that earlier line is itself kept doesn't matter. Every line
+with a word takes part; blank lines stay.
+
+1. Lines of equal sets fall together: the first one stands for all. A set too small
    to match any but an equal one is settled by this alone.
-3. Similar lines share a word among their first ``n - ceil(t * n) + 1``. For every
+2. Two sets that match differ in few words. Their words are dealt by hash into more
+   parts than that, so some parts are equal in both. A line too few of whose parts
+   are other lines' parts has no match and leaves the join here.
+3. The words of the lines left are counted, in a table of fixed size by hash; the
+   counts order each line's words, the rarest first. A word that is alone in its
+   bucket and occurs once is unique, so it can't bring two lines together.
+4. Similar lines share a word among their first ``n - ceil(t * n) + 1``. For every
    such word each line is held against the earliest one that has it, if length,
-   position and the lines' other rare words allow the similarity; verified
-   matches settle most lines of a large group of variants.
-4. Lines not settled yet are held against all earlier ones that share such a
-   word, again within these limits, and verified.
-
-Verification reads the candidates' lines again and compares whole sets.
-
-Defined cases: null texts have no lines; rows without an id come first, and rows
-that share an id have the same lines at the same numbers; a line can match
-another one of its own document; extra columns pass through. No rows give no
-rows. Lines of every length are compared whole.
+   position and the lines' other rare words allow the similarity; verified matches
+   settle most lines of a large group of variants.
+5. Lines not settled yet are held against all earlier ones that share such a
+   word, again within these limits, and verified on whole sets.
+
+Defined cases: null texts have no lines; rows without an id come first; rows that
+share an id are told apart by their texts, and rows that share both are one; a
+line can match another one of its own document; extra columns pass through. No
+rows give no rows. Lines of every length are compared whole.
 """
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 PERCENT = 90
-#: A line without a word is blank.
-MIN_WORDS = 1
 #: Words beyond the prefix whose presence in the other line is looked at before verification.
 WINDOW = 12
 #: Buckets of the frequency table.
 BUCKETS = 1 << 17
-
 #: Bits of the filter by which documents without candidates are left out of a shuffle; full, it lets all pass.
 FILTER_BITS = 1 << 20
+#: Sizes that are dealt into the same number of parts: each class ends where its first size grows by half.
+CLASS_GROWTH = 1.5
 
 _NO_ID = -(1 << 63)
+_LINE = ["doc", "version", "line"]
+#: Bits of a word's hash, and place of the class of sizes, in the numbers that parts are made of.
+_WORD_BITS, _CLASS_SHIFT = 34, 57
+
+
+def _spaced(text: Column) -> Column:
+    """text with spaces for the other white space between words, but for line feeds."""
+    spaced, there = text, F.lit(False)
+    for mark in "\t\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
+        there |= text.contains(mark)
+    return F.when(there, spaced).otherwise(text)  # a look costs a fraction of a replacement that finds nothing
+
 
+def _versions(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc (-2^63 for null ids) and version (hash of the whole text) name a text; with further columns."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), *more)
 
-def _words(line: Column) -> Column:
-    return F.split(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " ")
 
+def word_hashes(line: Column) -> Column:
+    """The line's set, as hashes of its words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
-def rarity_table(docs: DataFrame) -> str:
-    """The frequency class of every bucket, separated by commas: 0 for a single occurrence, then fourths of a power of two."""
-    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    classes = docs.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce(F.least(F.lit(126), F.floor(F.log2("n") * 4)), F.lit(0)).alias("c"))
+
+def rarity_table(sets: DataFrame) -> str:
+    """The frequency class of every bucket of words, separated by commas: 0 for a single occurrence, then fourths of a power of two."""
+    words = sets.select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(BUCKETS - 1).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    classes = sets.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce(F.least(F.lit(126), F.floor(F.log2("n") * 4)), F.lit(0)).alias("c"))
     # one row of a fixed size, whatever the input
     return classes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda x: x["c"].cast("string")), ",")).first()[0]
 
 
-def ordered_words(line: Column, rarity: str) -> Column:
-    """The line's set as integers: frequency class in the first byte, then 56 bits of the word's hash; ascending."""
+def by_rarity(words: Column, rarity: str) -> Column:
+    """The set as integers: frequency class in the first byte, then 56 bits of the word's hash; ascending."""
     classes = F.split(F.lit(rarity), ",").cast("array<tinyint>")  # folded into a constant
-    hashed = F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     place = lambda h: F.get(classes, h.bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.sort_array(F.transform(hashed, lambda h: F.shiftleft(place(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(place(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _least(n: Column) -> Column:
@@ -74,6 +89,62 @@ def _least(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
+def _matches_others(n: Column) -> Column:
+    """Whether a set of n words can match one that it doesn't equal."""
+    return n * (100 - PERCENT) >= PERCENT
+
+
+def _classes() -> list[tuple[int, int]]:
+    """(sizes below this one, parts) of each class of sizes, up to the longest array there is."""
+    out, first = [], -(-PERCENT // (100 - PERCENT))
+    while first < 1 << 31:
+        end = max(first + 1, int(first * CLASS_GROWTH))
+        most = (end - 1) + (end - 1) * 100 // PERCENT  # words of the class's largest set and its largest match
+        out.append((end, most * (100 - PERCENT) // (100 + PERCENT) + 1))
+        first = end
+    return out
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with value as a generated column, which isn't made again for each use of it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_part_hashes(lines: DataFrame) -> DataFrame:
+    """lines (with words and n) with parts: hashes of the parts, dealt as for the line's own class of sizes and, if another, for that of its least match.
+
+    Matching sets meet in the class of the smaller one: they differ in fewer words
+    than that class has parts. need_own and need_other say how many parts, at the
+    least, are equal then; the first count_other of parts are of the other class.
+    Sets that match no other have no parts. A part is a run of the sorted numbers
+    of class, part and word; it begins with that of no word.
+    """
+    bounds = _classes()
+    in_class = lambda size: F.coalesce(*(F.when(size < end, F.lit(k)) for k, (end, _) in enumerate(bounds)))
+    of_class = lambda place, k: F.get(F.array(*(F.lit(x[place]) for x in bounds)), k)
+    low = (1 << _WORD_BITS) - 1
+    n = F.col("n")
+    least = F.greatest(_least(n), F.lit(-(-PERCENT // (100 - PERCENT))))
+    found = _once(lines, F.struct(in_class(n).alias("own"), in_class(least).alias("other")), "of")
+    found = _once(found, F.struct(of_class(1, F.col("of.own")).alias("own"), of_class(1, F.col("of.other")).alias("other"), (F.col("of.own") != F.col("of.other")).alias("both"), of_class(0, F.col("of.other")).alias("end")), "count")
+
+    def dealt(which: str) -> Column:
+        base, parts = F.shiftleft(F.col(f"of.{which}").cast("long"), _CLASS_SHIFT), F.col(f"count.{which}")
+        own = F.transform("words", lambda w: base.bitwiseOR(F.shiftleft(F.pmod(w, parts.cast("long")), _WORD_BITS)).bitwiseOR(w.bitwiseAND(low).bitwiseOR(F.lit(1))))
+        return F.concat(own, F.transform(F.sequence(F.lit(0), parts - 1), lambda p: base.bitwiseOR(F.shiftleft(p.cast("long"), _WORD_BITS))))
+
+    none = F.array().cast("array<long>")
+    numbers = F.concat(dealt("own"), F.when(F.col("count.both"), dealt("other")).otherwise(none))
+    found = _once(found, F.sort_array(F.when(_matches_others(n), numbers).otherwise(none)), "numbers")
+    found = _once(found, F.array_compact(F.transform("numbers", lambda v, i: F.when(v.bitwiseAND(low) == 0, i + 1))), "begins")
+    part = lambda at, k: F.xxhash64(F.slice("numbers", at, F.coalesce(F.get("begins", k + 1), F.size("numbers") + 1) - at))
+    apart = lambda total: F.floor(total * (100 - PERCENT) / (100 + PERCENT)).cast("int")  # noqa: E731  words that differ, at most, of two sets
+    return found.select(
+        *lines.columns, F.transform("begins", part).alias("parts"), F.when(F.col("count.both"), F.col("count.other")).otherwise(0).alias("count_other"),
+        (F.col("count.own") - apart(n + F.floor(n * 100 / PERCENT))).alias("need_own"), (F.col("count.other") - apart(n + F.col("count.end") - 1)).alias("need_other"),
+    )
+
+
 def _can_match(a: str, b: str) -> Column:
     """Whether two prefix words that meet allow their lines to be similar enough; a and b prefix the columns' names.
 
@@ -90,14 +161,6 @@ def _can_match(a: str, b: str) -> Column:
     return sizes & (F.least(n - at, m - there) >= need) & (rest >= need)
 
 
-def _settle(df: DataFrame, name: str) -> DataFrame:
-    """materialize(), and let Spark delete the shuffle files of what has been read."""
-    out = materialize(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def _may_be_in(ids: DataFrame) -> Column:
     """Whether doc may be one of ids (doc): false only if it isn't. The filter is one row of a fixed size."""
     place = F.xxhash64("doc").bitwiseAND(FILTER_BITS - 1)
@@ -109,67 +172,102 @@ def _may_be_in(ids: DataFrame) -> Column:
     return found.bitwiseAND(bit(place)) != 0
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rarity: str) -> DataFrame:
-    """The distinct (doc, line) of pairs (doc, line, other_doc, other_line) whose sets are similar enough."""
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line")))
-    wanted = ends.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    lines = docs.filter(_may_be_in(ends.select("doc"))).join(wanted, "doc").select("doc", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.array_contains("wanted", F.col("line")))
-    sets = _settle(lines.select("doc", "line", ordered_words(F.col("body"), rarity).alias("words")), "line-sets")
-    other = sets.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
-    both = pairs.join(sets, ["doc", "line"]).join(other, ["other_doc", "other_line"])
+def _first_lines(texts: DataFrame) -> DataFrame:
+    """The first line of each set: its place and the hashes of its parts."""
+    lines = texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    lines = _once(lines, word_hashes(F.col("body")), "words").select(*_LINE, "words", F.size("words").alias("n")).filter("n > 0")
+    ordered = F.sort_array("words")
+    dealt = ["parts", "count_other", "need_own", "need_other"]
+    keyed = with_part_hashes(lines).select(*_LINE, F.xxhash64(ordered).alias("same"), F.xxhash64(F.lit(1), ordered).alias("check"), *dealt)
+    rank = F.row_number().over(Window.partitionBy("same", "check").orderBy(*_LINE))
+    return keyed.withColumn("rank", rank).filter("rank = 1").select(*_LINE, *dealt)
+
+
+def _candidates(firsts: DataFrame) -> DataFrame:
+    """The places of lines that have enough parts of one class in common with other lines."""
+    # a line's hash, its last bits taken by the parts it needs (the limit only lets more pass) and their class
+    place = F.xxhash64(*_LINE).bitwiseAND(-1 << 7)
+    dealt = firsts.filter(F.size("parts") > 0).select("*", place.alias("place")).select("place", "need_own", "need_other", "count_other", F.posexplode("parts").alias("k", "part"))
+    other = F.col("k") < F.col("count_other")
+    need = F.least(F.when(other, F.col("need_other")).otherwise(F.col("need_own")), F.lit(63))
+    parts = dealt.select(F.col("place").bitwiseOR((need * 2 + other.cast("int")).cast("long")).alias("line"), "part")
+    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("part")
+    enough = F.col("times") >= F.shiftright("line", 1).bitwiseAND(63)
+    wanted = parts.join(shared, "part", "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("times")).filter(enough)
+    wanted = wanted.select(F.col("line").bitwiseAND(-1 << 7).alias("place"))
+    return firsts.filter(F.size("parts") > 0).select(*_LINE, place.alias("place")).join(wanted, "place", "left_semi").select(*_LINE)
+
+
+def _sets(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """places with the sets of their lines."""
+    wanted = places.groupBy("doc", "version").agg(F.collect_set("line").alias("wanted"))
+    lines = texts.filter(_may_be_in(places.select("doc"))).join(wanted, ["doc", "version"])
+    lines = lines.select("doc", "version", "wanted", F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.array_contains("wanted", F.col("line")))
+    return lines.select(*_LINE, word_hashes(F.col("body")).alias("words")).dropDuplicates(_LINE)
+
+
+def _prefixes(sets: DataFrame, rarity: str) -> DataFrame:
+    """What the join looks at of each line: size, prefix, and the bits and end of a window of rarest words."""
+    n = F.size("words")
+    size = (n - _least(n) + 1).cast("int")
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(63)).cast("int"))
+    lines = _once(sets.select(*_LINE, n.alias("n"), size.alias("size"), "words"), by_rarity(F.col("words"), rarity), "ordered")
+    window = F.slice("ordered", F.lit(1), F.col("size") + WINDOW)
+    bits = F.aggregate(window, F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(bit(w)))
+    last = F.get("ordered", F.least(F.col("size") + WINDOW, F.col("n")) - 1)
+    return lines.select(*_LINE, "n", F.slice("ordered", F.lit(1), F.col("size")).alias("prefix"), bits.alias("bits"), last.alias("last"))
+
+
+def _words(prefixes: DataFrame) -> DataFrame:
+    """A row for each word of a prefix that isn't unique."""
+    return prefixes.select(*_LINE, "n", "bits", "last", F.posexplode("prefix").alias("at", "word")).filter(F.col("word") >= 1 << 56)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct places of pairs (a place and another one) whose sets are similar enough."""
+    other = sets.filter(_may_be_in(pairs.select(F.col("other_doc").alias("doc")))).select(*(F.col(c).alias(f"other_{c}") for c in (*_LINE, "words")))
+    both = pairs.join(sets.filter(_may_be_in(pairs.select("doc"))), _LINE).join(other, [f"other_{c}" for c in _LINE])
     common = F.size(F.array_intersect("words", "other_words"))
-    return both.filter(common * 100 >= (F.size("words") + F.size("other_words") - common) * PERCENT).select("doc", "line").distinct()
+    return both.filter(common * 100 >= (F.size("words") + F.size("other_words") - common) * PERCENT).select(*_LINE).distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line) of the lines that take part and stay; doc is -2^63 for null ids."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text").filter("text is not null")
-    rarity = rarity_table(docs)
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    # generated, so that the filter on the set's size doesn't make the set twice
-    lines = lines.select("doc", "line", F.explode(F.array(ordered_words(F.col("body"), rarity))).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= MIN_WORDS)
-    size = (F.col("n") - _least(F.col("n")) + 1).cast("int")
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(63)).cast("int"))
-    window = F.slice("words", F.lit(1), size + WINDOW)
-    bits = F.aggregate(window, F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(bit(w)))
-    last = F.get("words", F.least(size + WINDOW, F.col("n")) - 1)
-    lines = lines.select("doc", "line", "n", F.xxhash64("words").alias("same"), F.xxhash64(F.lit(1), "words").alias("check"), F.slice("words", F.lit(1), size).alias("prefix"), bits.alias("bits"), last.alias("last"))
-    first = F.row_number().over(Window.partitionBy("same", "check").orderBy("doc", "line"))
-    sets = _settle(lines.withColumn("rank", first).filter("rank = 1").select("doc", "line", "n", "prefix", "bits", "last"), "line-firsts")
-
-    def words(rows: DataFrame) -> DataFrame:
-        """A row for each word of the prefix that isn't unique, of sets that can match a larger or smaller one."""
-        return rows.filter(F.col("n") * (100 - PERCENT) >= PERCENT).select("doc", "line", "n", "bits", "last", F.posexplode("prefix").alias("at", "word")).filter(F.col("word") >= 1 << 56)
-
-    columns = ["doc", "line", "n", "at", "bits", "last"]
-    upto = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = words(sets).withColumn("first", F.first(F.struct(*columns)).over(upto))
-    star = star.filter((F.struct("doc", "line") > F.struct("first.doc", "first.line")) & _can_match("", "first."))
-    star = _settle(star.select("doc", "line", F.col("first.doc").alias("other_doc"), F.col("first.line").alias("other_line")).distinct(), "line-stars")
-    settled = _settle(_verified(star, docs, rarity), "line-settled")
-    left = words(sets.join(settled, ["doc", "line"], "left_anti"))
-    other = words(sets).select(F.col("word").alias("other_word"), *(F.col(c).alias(f"other_{c}") for c in columns))
-    near = (F.struct("doc", "line") > F.struct("other_doc", "other_line")) & _can_match("", "other_")
-    pairs = left.join(other, (F.col("word") == F.col("other_word")) & near).select("doc", "line", "other_doc", "other_line").distinct()
-    pairs = _settle(pairs.join(star, ["doc", "line", "other_doc", "other_line"], "left_anti"), "line-pairs")
-    similar = settled.unionByName(_verified(pairs, docs, rarity))
-    return sets.select("doc", "line").join(similar, ["doc", "line"], "left_anti")
+    """(doc, version, line) of the lines that have words and stay; doc is -2^63 for null ids, version the hash of the text."""
+    texts = _versions(docs, _spaced(F.col("text")).alias("text")).filter("text is not null")
+    firsts = materialize(_first_lines(texts), "line-firsts")
+    candidates = materialize(_candidates(firsts), "line-candidates")
+    sets = materialize(_sets(candidates, texts), "line-sets")
+    prefixes = materialize(_prefixes(sets, rarity_table(sets)), "line-prefixes")
+    columns = [*_LINE, "n", "at", "bits", "last"]
+    others = [f"other_{c}" for c in _LINE]
+    words = _words(prefixes)
+    prefixed = lambda row: [F.col(f"{row}.{c}" if row else c).alias(f"other_{c}") for c in columns]
+    near = (F.struct(*_LINE) > F.struct(*others)) & _can_match("", "other_")
+    earliest = words.groupBy("word").agg(F.min(F.struct(*columns)).alias("first")).select("word", *prefixed("first"))
+    stars = materialize(words.join(earliest, "word").filter(near).select(*_LINE, *others).distinct(), "line-stars")
+    settled = materialize(_verified(stars, sets), "line-settled")
+    left = _words(prefixes.join(settled, _LINE, "left_anti"))
+    pairs = left.join(words.select("word", *prefixed("")), "word").filter(near).select(*_LINE, *others).distinct()
+    pairs = materialize(pairs.join(stars, [*_LINE, *others], "left_anti"), "line-pairs")
+    similar = materialize(settled.unionByName(_verified(pairs, sets)), "line-similar")
+    for used in (candidates, sets, prefixes, stars, settled, pairs):
+        discard(used)
+    return firsts.select(*_LINE).join(similar, _LINE, "left_anti")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id and kept_lines (numbers from 0 of the lines that take part and stay), for every distinct doc_id."""
-    kept = kept_lines(docs).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("kept_lines"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")).distinct()
-    return ids.join(kept, "doc", "left").select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines"))
+    """doc_id and kept_lines (numbers from 0 of the lines that have words and stay), for every distinct doc_id and text."""
+    kept = kept_lines(docs).groupBy("doc", "version").agg(F.sort_array(F.collect_list("line")).alias("kept_lines"))
+    found = _versions(docs).distinct().join(kept, ["doc", "version"], "left")
+    return found.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with the text of the lines that stay; rows that had words and have none left go."""
-    kept = kept_lines(docs).groupBy("doc").agg(F.collect_list("line").alias("kept"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")).join(kept, "doc", "left")
-    lines = F.split("row.text", "\n")
-    stays = F.filter(lines, lambda x, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | (F.size(F.array_remove(F.array_distinct(_words(x)), "")) < MIN_WORDS))
+    kept = kept_lines(docs).groupBy("doc", "version").agg(F.collect_list("line").alias("kept"))
+    keyed = _versions(docs, F.struct(*docs.columns).alias("row")).join(kept, ["doc", "version"], "left")
+    worded = lambda c: F.coalesce(c, F.lit("")).rlike("[^ \\t-\\r]")
+    stays = F.filter(F.split("row.text", "\n"), lambda x, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | ~worded(x))
     # from a generator, so that the lines are judged once
     whole = keyed.select("row", F.explode(F.array(F.array_join(stays, "\n"))).alias("text"))
-    words = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("[^ \\t-\\r]")
-    return whole.filter(words("text") | ~words("row.text")).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return whole.filter(worded(F.col("text")) | ~worded(F.col("row.text"))).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

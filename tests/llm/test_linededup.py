@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from quernstone.llm import linededup
@@ -10,36 +12,57 @@ from quernstone.llm import linededup
 from . import helpers
 
 
+def version(text):
+    """Spark's xxhash64 of a text, which orders the texts of one id."""
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64)
+
+
+def words_of(line):
+    return set(line.encode().split())
+
+
 def brute(docs):
-    """Kept lines that take part, by comparing every line with all earlier ones; rows of one id are one document."""
-    texts = {}
-    for k, t in docs:
-        if t is not None:
-            texts.setdefault(k, set()).add(t)
-    seen, kept = [], defaultdict(list)
-    for k in sorted(texts, key=lambda x: (x is not None, x)):
-        (text,) = texts[k]
+    """(id, text) to the numbers of its kept lines with words, by comparing every line with all earlier ones."""
+    seen, kept = [], {}
+    for k, text in sorted({x for x in docs if x[1] is not None}, key=lambda x: (x[0] is not None, x[0] or 0, version(x[1]))):
+        kept[k, text] = []
         for i, line in enumerate(text.split("\n")):
-            s = {w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w}
-            if len(s) < linededup.MIN_WORDS:
-                continue
-            if not any(100 * len(s & o) >= linededup.PERCENT * len(s | o) for o in seen):
-                kept[k].append(i)
-            seen.append(s)
-    return dict(kept)
+            s = words_of(line)
+            if s and not any(100 * len(s & o) >= linededup.PERCENT * len(s | o) for o in seen):
+                kept[k, text].append(i)
+            if s:
+                seen.append(s)
+    return kept
+
+
+def expected(docs):
+    """What line_report() returns, sorted."""
+    kept = brute(docs)
+    return sorted(((k, kept.get((k, t), [])) for k, t in set(docs)), key=str)
+
+
+def stripped(docs):
+    """What remove_lines() leaves of the rows, sorted."""
+    kept = brute(docs)
+    out = []
+    for k, t in docs:
+        left = t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i in kept[k, t] or not words_of(x))
+        if not (t and words_of(t)) or words_of(left):
+            out.append((k, left))
+    return sorted(out, key=str)
 
 
 def report(df):
-    return {r.doc_id: list(r.kept_lines) for r in linededup.line_report(df).collect() if len(r.kept_lines)}
+    return sorted(((r.doc_id, list(r.kept_lines)) for r in linededup.line_report(df).collect()), key=str)
 
 
 def test_awkward_rows(spark):
     docs = helpers.awkward(spark)
-    rows = [(k, t) for k, t in helpers.texts_of(docs)]
-    assert report(docs) == brute(rows)
-    assert {r.doc_id for r in linededup.line_report(docs).collect()} == {k for k, _ in rows}
+    rows = helpers.texts_of(docs)
+    assert report(docs) == expected(rows)
     out = linededup.remove_lines(docs)
     assert out.columns == docs.columns
+    assert sorted(helpers.texts_of(out), key=str) == stripped(rows)
     texts = defaultdict(list)
     for k, t in helpers.texts_of(out):
         texts[k].append(t)
@@ -48,6 +71,23 @@ def test_awkward_rows(spark):
     assert texts[8] == [helpers.words(20, 900) + "\n" + helpers.words(20, 950)]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    common = helpers.words(40)
+    docs = [(1, common)] + [(k, f"{a}\n{b}") for k in (7, None) for a, b in ((helpers.words(3, 700), common + " x"), (common + " y", f"only here {k}"), (common + " z", f"nor there {k}"))]
+    df = spark.createDataFrame(docs + docs[:3], "doc_id long, text string")
+    assert report(df) == expected(docs)
+    assert sorted(helpers.texts_of(linededup.remove_lines(df)), key=str) == stripped(docs + docs[:3])
+    left = [t for _, t in helpers.texts_of(linededup.remove_lines(df))]
+    assert all(any(f"{what} {k}" in t for t in left) for what in ("only here", "nor there") for k in (7, None))
+
+
+def test_white_space_of_every_kind_parts_words(spark):
+    docs = [(1, "a\tb\x0bc\x0cd\re f g h i j"), (2, "j i h g f e d c b a\n\x0b\x0c\nk"), (3, "\x0b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert report(df) == expected(docs) == [(1, [0]), (2, [2]), (3, [])]
+    assert sorted(helpers.texts_of(linededup.remove_lines(df))) == [docs[0], (2, "\x0b\x0c\nk"), docs[2]]
+
+
 def test_variants_against_brute_force(spark):
     random.seed(8)
     base = [f"b{i}" for i in range(30)]
@@ -61,7 +101,31 @@ def test_variants_against_brute_force(spark):
             lines.append(" ".join(line[: random.choice([30, 30, 29, 12])]))
         lines.append(" ".join(random.choices([f"r{i}" for i in range(300)], k=random.randint(1, 25))))
         docs.append((k, "\n".join(lines)))
-    assert report(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert report(df) == expected(docs)
+    assert sorted(helpers.texts_of(linededup.remove_lines(df)), key=str) == stripped(docs)
+
+
+def test_matching_sets_have_a_part_in_common(spark):
+    """Every size of the first classes, and a large one, with as many words changed as the threshold allows."""
+    random.seed(4)
+    rows = []
+    for n in [*range(9, 60), 200, 2000]:
+        for m in {n, n * 100 // linededup.PERCENT}:
+            shared = -(-(n + m) * linededup.PERCENT // (100 + linededup.PERCENT))
+            a = random.sample(range(1 << 56), n)
+            rows.append((n, m, a, a[:shared] + random.sample(range(1 << 56), m - shared)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, size int, larger int, a array<long>, b array<long>")
+    found = {c: {r.i: r for r in linededup.with_part_hashes(df.select("i", F.col(c).alias("words"), F.size(c).alias("n"))).collect()} for c in "ab"}
+    for i in range(len(rows)):
+        a, b = found["a"][i], found["b"][i]
+        assert len(a.parts) <= 0.35 * a.n + 6
+        own, other = a.parts[a.count_other :], b.parts[: b.count_other]
+        meet = len(set(own) & set(b.parts[b.count_other :]))
+        if b.count_other and set(own) & set(other):
+            assert len(set(own) & set(other)) >= max(a.need_own, b.need_other) >= 1
+        else:
+            assert meet >= max(a.need_own, b.need_own) >= 1
 
 
 def test_short_lines_take_part(spark):
@@ -73,7 +137,7 @@ def test_short_lines_take_part(spark):
         (4, " \n" + nine + " w109\na b c d\nnew"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert report(df) == {1: [0, 2, 3], 2: [3, 4], 4: [3]}
+    assert report(df) == expected(docs) == [(1, [0, 2, 3]), (2, [3, 4]), (3, []), (4, [3])]
     assert dict(helpers.texts_of(linededup.remove_lines(df))) == {1: docs[0][1], 2: "\na b c e\n" + nine, 4: " \nnew"}
 
 
