@@ -12,8 +12,19 @@ TRUTHY = ("1", "true", "yes", "y", "是", "有")
 MISSING_KEY = "__MISSING__"
 
 
+#: White space of every script, as a class of characters; also what information separators count as.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def text(c: Column) -> Column:
-    return F.trim(c.cast("string"))
+    """c as text, stripped; texts that begin and end with a visible ASCII character are left alone."""
+    plain = c.cast("string")
+    return F.when(F.ascii(plain).between(33, 126) & F.ascii(F.right(plain, F.lit(1))).between(33, 126), plain).otherwise(strip(plain))
 
 
 def is_missing(c: Column) -> Column:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import classify, stable_id
+from ..functions.text import classify, normalize_title, stable_id
+from ..functions.types import strip
 
-#: Which format of one document stands for it, the best first.
-FORMAT_PRIORITY = ("md", "txt", "html", "docx", "pdf", "csv", "xlsx", "json")
-#: The container that a suffix means.
+#: Formats of one text, the best first; files of other formats are no siblings.
+FORMAT_PRIORITY = ("md", "txt", "html", "htm", "mhtml")
+#: The container that a suffix means; a text with a publishing date is an article_candidate, anything else a file.
 CONTAINERS = {
-    "document": ("md", "txt", "html", "htm", "docx", "pdf", "rtf"), "table": ("csv", "tsv", "xlsx", "xls", "parquet"), "image": ("png", "jpg", "jpeg", "gif", "webp"),
-    "media": ("mp4", "mov", "mp3", "wav", "m4a"), "archive": ("zip", "rar", "7z"), "data": ("json", "jsonl", "xml", "yaml"),
+    "text_document": ("md", "txt", "html", "htm", "mhtml"), "document": ("pdf", "docx"), "workbook": ("xls", "xlsx"), "table": ("csv", "tsv"),
+    "image": ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff"), "recording": ("mp3", "wav", "m4a", "mp4", "mov", "mkv"),
 }
-#: Marks of copies and versions at the end of a stem.
-VERSION_MARKS = r"(?i)(?:[\s_\-]*(?:copy|副本|final|draft|v[0-9]+(?:\.[0-9]+)*|\([0-9]+\)|[0-9]{8}))+$"
+#: Marks of copies and versions that may end a stem.
+VERSION_MARKS = (r"\s*[\(（]\d+[\)）]\s*", r"\s*[-_ ]?(?:copy|副本)\s*\d*\s*", r"\s*[-_ ]?(?:final|最终版?|修订版?|最新版)\s*", r"\s*[-_ ]?v\d+(?:\.\d+)*\s*")
 
 
 def suffix(path: Column) -> Column:
@@ -26,34 +27,61 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def container_type(path: Column) -> Column:
-    out = F.lit("other")
+def container_type(path: Column, publish_date: Column | None = None) -> Column:
+    """What kind of thing a file is, by its suffix and, for texts, whether a publishing date is known."""
+    out = F.lit("file")
     for name, suffixes in CONTAINERS.items():
-        out = F.when(suffix(path).isin(*suffixes), F.lit(name)).otherwise(out)
+        label = F.lit(name)
+        if name == "text_document" and publish_date is not None:
+            label = F.when(publish_date.isNotNull(), "article_candidate").otherwise(name)
+        out = F.when(suffix(path).isin(*suffixes), label).otherwise(out)
     return out
 
 
+def stem(path: Column) -> Column:
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+$", "")
+
+
 def family_stem(path: Column) -> Column:
-    """The name without suffix, copy and version marks, in lower case."""
-    stem = F.regexp_replace(file_name(path), r"\.[A-Za-z0-9]+$", "")
-    return F.lower(F.trim(F.regexp_replace(stem, VERSION_MARKS, "")))
+    """The normalised name without suffix and without the marks of copies and versions at its end, however many; never empty for them."""
+    whole = strip(stem(path))
+    least = F.regexp_extract(whole, f"(?i)^(\\S.*?)(?:{'|'.join(VERSION_MARKS)})+$", 1)
+    kept = normalize_title(F.when(least != "", strip(least)).otherwise(whole))
+    return F.when(kept != "", kept).otherwise(normalize_title(stem(path)))
 
 
 def sibling_key(path: Column) -> Column:
-    """Folder and stem: formats of one document share it."""
-    return F.concat(F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), F.lit("|"), F.lower(F.regexp_replace(file_name(path), r"\.[A-Za-z0-9]+$", "")))
+    """Folder and normalised name, which the formats of one text share; any other file is alone."""
+    folder = F.lower(F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
+    return F.when(suffix(path).isin(*FORMAT_PRIORITY), F.concat(folder, F.lit("|"), normalize_title(stem(path)))).otherwise(F.lower(path))
 
 
 def top_folder(path: Column) -> Column:
     return F.when(path.contains("/"), F.get(F.split(path, "/"), F.lit(0))).otherwise("(root)")
 
 
+def _dated(part: Column) -> Column:
+    """The date that one folder or file name bears: YYYY-MM-DD, or --MM-DD without a year."""
+
+    def found(pattern: str, year: bool) -> Column:
+        number = lambda k: F.regexp_extract(part, pattern, k).try_cast("int")
+        month, day = (number(k + year) for k in (1, 2))
+        head = F.concat(F.regexp_extract(part, pattern, 1), F.lit("-")) if year else F.lit("--")
+        text = F.concat(head, F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0"))
+        return F.when(month.between(1, 12) & day.between(1, 31), text)
+
+    return F.coalesce(
+        found(r"(?<!\d)(20\d{2})[-_.年/](\d{1,2})[-_.月/](\d{1,2})日?(?!\d)", True),
+        found(r"(?<!\d)(\d{1,2})月(\d{1,2})日(?!\d)", False),
+        found(r"^(\d{2})(\d{2})$", False),
+        found(r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", True),
+    )
+
+
 def collection_date(path: Column) -> Column:
-    """The innermost YYYY-MM-DD or YYYYMMDD in the path's parts; --MM-DD for a month and day alone."""
-    parts = F.reverse(F.split(path, "/"))
-    full = F.filter(F.transform(parts, lambda p: F.try_to_date(F.regexp_replace(F.regexp_extract(p, r"((?:19|20)[0-9]{2}[-_.]?[0-9]{2}[-_.]?[0-9]{2})", 1), "[-_.]", ""), "yyyyMMdd").cast("string")), lambda d: d.isNotNull())
-    short = F.regexp_extract(path, r"(?:^|[^0-9])([01][0-9])[-_.]([0-3][0-9])(?:[^0-9]|$)", 0)
-    return F.coalesce(F.get(full, F.lit(0)), F.when(short != "", F.concat(F.lit("--"), F.regexp_replace(F.regexp_extract(short, r"([01][0-9][-_.][0-3][0-9])", 1), "[_.]", "-"))))
+    """The date in the file's stem or, the innermost first, in one of the three folders around it."""
+    folders = F.slice(F.reverse(F.split(path, "/")), 2, 3)
+    return F.coalesce(_dated(strip(stem(path))), *(_dated(strip(F.get(folders, F.lit(k)))) for k in range(3)))
 
 
 def priority(path: Column) -> Column:

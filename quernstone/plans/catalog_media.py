@@ -103,7 +103,7 @@ def article_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return media.article_bodies(table(spark, sf, "documents"), "doc_id", ". ", "\n")
 
 
-@query(f"""SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" for n, p in ft.CUES.items())}) AS cues FROM conversations""")
+@query(f"""SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(trim(text), '(?i){p}') THEN '{n}' END" for n, p in ft.CUES.items())}) AS cues FROM conversations""")
 def cue_tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(ft.cue_tags(F.col("text")), ",").alias("cues"))
 
@@ -116,7 +116,7 @@ def markdown_figures(spark: SparkSession, sf: str) -> DataFrame:
 _PATH = "source || '/2024-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) || '/Plan' || (doc_id % 40) || CASE doc_id % 4 WHEN 0 THEN '_v2' WHEN 1 THEN ' copy' WHEN 2 THEN ' (3)' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.PNG' ELSE '.md' END"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'image' ELSE 'document' END AS container, 'plan' || (doc_id % 40) AS family, split_part(path, '/', 1) AS top_folder,
+@query(f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'image' ELSE 'text_document' END AS container, 'plan' || (doc_id % 40) AS family, split_part(path, '/', 1) AS top_folder,
     '2024-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) AS collected, 'src-' || left(sha256(path), 12) AS container_id FROM p""")
 def path_functions(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")

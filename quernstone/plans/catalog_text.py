@@ -21,9 +21,9 @@ QUERY_TEXT = "the thing of and tion re the in erly anor ther onhe"
 
 @query(f"""
     WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS tok FROM documents), q AS (SELECT unnest(regexp_extract_all('{QUERY_TEXT}', '[a-z0-9_]+')) AS tok),
-    h AS (SELECT doc_id, CAST('0x' || left(sha256(tok), 8) AS BIGINT) % 384 AS dim, sum(CASE WHEN CAST('0x' || substring(sha256(tok), 9, 2) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS w FROM t GROUP BY ALL),
+    h AS (SELECT doc_id, CAST('0x' || left(sha256(tok), 8) AS BIGINT) % 384 AS dim, sum(CASE WHEN CAST('0x' || substring(sha256(tok), 9, 2) AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS w FROM t GROUP BY ALL),
     hn AS (SELECT doc_id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM h WHERE w <> 0),
-    g AS (SELECT CAST('0x' || left(sha256(tok), 8) AS BIGINT) % 384 AS dim, sum(CASE WHEN CAST('0x' || substring(sha256(tok), 9, 2) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS w FROM q GROUP BY ALL),
+    g AS (SELECT CAST('0x' || left(sha256(tok), 8) AS BIGINT) % 384 AS dim, sum(CASE WHEN CAST('0x' || substring(sha256(tok), 9, 2) AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS w FROM q GROUP BY ALL),
     gn AS (SELECT dim, w / sqrt(sum(w * w) OVER ()) AS w FROM g WHERE w <> 0)
     SELECT doc_id, round(sum(hn.w * gn.w), 9) AS score FROM hn JOIN gn ON hn.dim = gn.dim GROUP BY doc_id HAVING round(sum(hn.w * gn.w), 9) > 0 ORDER BY score DESC, doc_id LIMIT 20
 """)
@@ -39,7 +39,7 @@ def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return ot.chunks(table(spark, sf, "documents"), "doc_id").select("doc_id", "char_start", "char_end", F.length("excerpt").alias("chars"))
 
 
-_CUES_SQL = ", ".join(f"count(*) FILTER (length(trim(text)) >= 4 AND regexp_matches(text, '(?i){p}')) AS cue_{n}" for n, p in ft.CUES.items())
+_CUES_SQL = ", ".join(f"count(*) FILTER (length(trim(text)) >= 4 AND regexp_matches(trim(text), '(?i){p}')) AS cue_{n}" for n, p in ft.CUES.items())
 
 
 @query(f"""SELECT conv_id, count(*) AS turns, count(*) FILTER (length(trim(text)) >= 4) AS content_turns, count(DISTINCT text) AS distinct_texts, count(text) - count(DISTINCT text) AS repeated_texts,
@@ -74,7 +74,7 @@ def chat_strata(spark: SparkSession, sf: str) -> DataFrame:
     return ot.time_strata(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-_TAGS_SQL = " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in ft.CUES.values())
+_TAGS_SQL = " + ".join(f"regexp_matches(trim(text), '(?i){p}')::INT" for p in ft.CUES.values())
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, text, CASE least(2, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 3) // count(*) OVER (PARTITION BY conv_id)) WHEN 0 THEN 'early' WHEN 1 THEN 'middle' ELSE 'late' END AS stratum FROM conversations),
@@ -84,8 +84,19 @@ def chat_review_sample(spark: SparkSession, sf: str) -> DataFrame:
     return ot.review_sample(table(spark, sf, "conversations"), "conv_id", "turn", 1, "review")
 
 
-_SENSITIVE_SQL = " UNION ALL ".join(f"SELECT doc_id, line, '{n}' AS kind, '{s}' AS severity, unnest(regexp_extract_all(body, '({p.replace(chr(39), chr(39) * 2)})')) AS m FROM l" for n, (s, p) in ft.SENSITIVE.items())
-_FOUND_SQL = f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), f AS ({_SENSITIVE_SQL})"
+#: DuckDB's patterns look neither ahead nor behind: there the numbers are taken between separators, each of which is doubled first.
+_NUMBERS_SQL = {"mainland_phone": "(?:^|[^0-9])(1[3-9][0-9]{9})(?:$|[^0-9])", "mainland_id": "(?:^|[^0-9])([0-9]{17}[0-9Xx])(?:$|[^0-9])"}
+
+
+def _matches_sql(name: str, pattern: str) -> str:
+    if name in _NUMBERS_SQL:
+        return f"regexp_extract_all(regexp_replace(body, '([^0-9Xx])', '\\1\\1', 'g'), '{_NUMBERS_SQL[name]}', 1)"
+    return f"regexp_extract_all(body, '({pattern})')"
+
+
+_LINES_SQL = f"string_split_regex(text, '{ft.LINE_ENDS}')"
+_SENSITIVE_SQL = " UNION ALL ".join(f"SELECT doc_id, line, '{n}' AS kind, '{s}' AS severity, unnest({_matches_sql(n, p)}) AS m FROM l" for n, (s, p) in ft.SENSITIVE.items())
+_FOUND_SQL = f"WITH l AS (SELECT doc_id, unnest({_LINES_SQL}) AS body, generate_subscripts({_LINES_SQL}, 1) AS line FROM documents), f AS ({_SENSITIVE_SQL})"
 
 
 @query(f"{_FOUND_SQL} SELECT doc_id, line, kind, severity, left(sha256(m), 16) AS fingerprint FROM f")
@@ -301,7 +312,8 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FILES_SQL = """f AS (SELECT source || '/note' || CAST(floor(doc_id / 6) AS BIGINT) || CASE WHEN doc_id % 2 = 0 THEN '_v2' ELSE '' END || '.' || ['md', 'txt', 'pdf'][doc_id % 3 + 1] AS path, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, doc_id AS modified FROM documents),
-    k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(path, '\\.[a-z]+$', '') ORDER BY CASE regexp_extract(path, '([a-z]+)$', 1) WHEN 'md' THEN 1 WHEN 'txt' THEN 2 ELSE 5 END, lower(path), path) = 1 AS canonical FROM f),
+    k AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN path LIKE '%.pdf' THEN path ELSE split_part(path, '/', 1) || '|' || regexp_replace(regexp_replace(split_part(path, '/', 2), '\\.[a-z]+$', ''), '[^a-z0-9]', '', 'g') END
+        ORDER BY CASE regexp_extract(path, '([a-z]+)$', 1) WHEN 'md' THEN 1 WHEN 'txt' THEN 2 ELSE 99 END, lower(path), path) = 1 AS canonical FROM f),
     m AS (SELECT *, CASE WHEN canonical AND first_value(path) OVER w <> path THEN first_value(path) OVER w END AS duplicate_of FROM k WINDOW w AS (PARTITION BY sha256, canonical ORDER BY lower(path), path))"""
 
 
@@ -316,7 +328,7 @@ def version_families(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.family_representatives(corpus.mark_canonical(_files(spark, sf))).select("path", "modified", "bytes")
 
 
-@query(f"""WITH {_FILES_SQL}, s AS (SELECT 'document' AS container, regexp_extract(path, '([a-z]+)$', 1) AS suffix, * FROM m)
+@query(f"""WITH {_FILES_SQL}, s AS (SELECT CASE WHEN path LIKE '%.pdf' THEN 'document' ELSE 'text_document' END AS container, regexp_extract(path, '([a-z]+)$', 1) AS suffix, * FROM m)
     SELECT container, suffix, CAST(grouping(container, suffix) AS BIGINT) AS level, count(*) AS files, count(*) FILTER (canonical) AS canonical_files, count(duplicate_of) AS duplicates FROM s GROUP BY GROUPING SETS ((container), (suffix), ())""")
 def inventory_summary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.inventory_summary(corpus.mark_canonical(_files(spark, sf))).withColumn("level", F.col("level").cast("long"))

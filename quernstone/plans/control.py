@@ -16,16 +16,28 @@ from ..functions.predicates import SpecError
 LAYERS = ("measurement", "descriptive", "temporal", "heterogeneity", "mechanism", "causal", "predictive", "decision")
 OBJECTIVES = ("describe", "compare", "diagnose", "explain", "predict", "estimate_effect", "choose_action")
 
-#: What each identification strategy needs before a causal layer is ready.
+#: What each identification strategy has to declare, and the checks that have to be supported by evidence.
 CAUSAL_CHECKS = {
-    "randomized": ("assignment_recorded", "attrition_checked"),
-    "backdoor": ("confounders_measured", "overlap_checked", "temporal_order"),
-    "difference_in_differences": ("parallel_trends", "no_anticipation", "stable_composition"),
-    "interrupted_time_series": ("pre_periods", "no_concurrent_shock"),
-    "regression_discontinuity": ("cutoff_rule", "no_manipulation"),
-    "instrumental_variable": ("relevance", "exclusion"),
-    "front_door": ("mediator_measured", "no_direct_path"),
+    "randomized": {"declared": (), "supported": ("assignment_integrity",)},
+    "backdoor": {"declared": ("adjustment_set",), "supported": ()},
+    "difference_in_differences": {"declared": (), "supported": ("parallel_trends", "no_anticipation")},
+    "interrupted_time_series": {"declared": ("intervention_time",), "supported": ("stable_pretrend",)},
+    "regression_discontinuity": {"declared": ("running_variable", "cutoff"), "supported": ("continuity",)},
+    "instrumental_variable": {"declared": ("instrument",), "supported": ("instrument_relevance", "exclusion_restriction")},
+    "frontdoor": {"declared": ("mediator",), "supported": ("frontdoor_criteria",)},
 }
+#: The states of a check, of positivity and of consistency.
+READINESS = ("supported", "uncertain", "violated")
+#: Layers by the rule that asks for them; each rule looks at (objective, has time, has a prediction design, basis of the decision).
+LAYER_RULES = (
+    (lambda o, t, p, d: True, ("measurement", "descriptive")),
+    (lambda o, t, p, d: t or o in ("predict", "estimate_effect") or d == "prediction", ("temporal",)),
+    (lambda o, t, p, d: o in ("diagnose", "explain", "estimate_effect") or d == "causal_effect", ("heterogeneity", "mechanism")),
+    (lambda o, t, p, d: o in ("compare", "choose_action"), ("heterogeneity",)),
+    (lambda o, t, p, d: o == "estimate_effect" or d == "causal_effect", ("causal",)),
+    (lambda o, t, p, d: o == "predict" or p or d == "prediction", ("predictive",)),
+    (lambda o, t, p, d: o == "choose_action", ("decision",)),
+)
 
 
 def canonical(value: Any) -> str:
@@ -34,19 +46,37 @@ def canonical(value: Any) -> str:
 
 def required_layers(objective: str, has_time: bool = False, has_prediction_design: bool = False, decision_basis: str = "") -> list[str]:
     """What a question must cover, in order."""
-    needed = {"measurement", "descriptive"}
-    causal = objective == "estimate_effect" or decision_basis == "causal_effect"
-    predictive = objective == "predict" or has_prediction_design or decision_basis == "prediction"
-    if has_time or objective in ("predict", "estimate_effect") or decision_basis == "prediction":
-        needed.add("temporal")
-    if causal or objective in ("diagnose", "explain"):
-        needed |= {"heterogeneity", "mechanism"}
-    if objective in ("compare", "choose_action"):
-        needed.add("heterogeneity")
-    needed |= {"causal"} if causal else set()
-    needed |= {"predictive"} if predictive else set()
-    needed |= {"decision"} if objective == "choose_action" else set()
-    return [x for x in LAYERS if x in needed]
+    asked = {layer for rule, layers in LAYER_RULES if rule(objective, has_time, has_prediction_design, decision_basis) for layer in layers}
+    return [x for x in LAYERS if x in asked]
+
+
+def causal_gaps(spec: dict[str, Any]) -> tuple[list[str], bool]:
+    """What a causal design lacks, and whether something that it rests on is violated."""
+    design = spec.get("causal_design") or {}
+    strategy, checks = design.get("identification_strategy"), design.get("identification_checks") or {}
+    if strategy not in CAUSAL_CHECKS:
+        return ["a known identification strategy"], False
+    missing = [name for name in CAUSAL_CHECKS[strategy]["declared"] if not checks.get(name)]
+    violated = False
+    if strategy == "randomized" and not (spec.get("readiness") or {}).get("comparison_groups"):
+        missing, violated = ["comparison_groups"], True
+    for name in CAUSAL_CHECKS[strategy]["supported"]:
+        check = checks.get(name) if isinstance(checks.get(name), dict) else {}
+        if check.get("status") != "supported":
+            missing.append(name)
+        elif not check.get("evidence_refs"):
+            missing.append(f"evidence of {name}")
+        violated |= check.get("status") == "violated"
+    for name in ("positivity", "consistency"):
+        state = design.get(name)
+        if state != "supported":
+            missing.append(name)
+        violated |= state == "violated"
+    for x in design.get("assumptions") or []:
+        if x.get("status") != "supported":
+            missing.append(f"assumption {x.get('name')}")
+        violated |= x.get("status") == "violated"
+    return missing, violated
 
 
 def compile_question(spec: dict[str, Any]) -> dict[str, Any]:
@@ -66,26 +96,28 @@ def compile_question(spec: dict[str, Any]) -> dict[str, Any]:
         "predictive": [k for k in ("time_field", "prediction_design", "baseline_model") if not spec.get(k)],
         "decision": [k for k in ("actions", "utility", "fallback_action") if not spec.get(k)],
     }
-    strategy = spec.get("identification")
-    done = set(spec.get("checks") or [])
-    lacks["causal"] = ["a known identification strategy"] if strategy not in CAUSAL_CHECKS else [c for c in CAUSAL_CHECKS[strategy] if c not in done]
+    lacks["causal"], violated = causal_gaps(spec)
     layers = {}
     for layer in LAYERS:
         missing = lacks[layer]
-        partial = layer == "causal" and strategy in CAUSAL_CHECKS and any(c in done for c in CAUSAL_CHECKS[strategy])
+        partial = layer == "causal" and not violated
         layers[layer] = {"status": "not_requested" if layer not in needed else "ready" if not missing else "conditional" if partial else "blocked", "missing": missing if layer in needed else []}
     permitted = {"descriptive": layers["descriptive"]["status"] == "ready" and not lacks["measurement"]}
     permitted |= {claim: layers[claim]["status"] == "ready" for claim in ("causal", "predictive", "decision")}
     return {"status": "compiled", "errors": [], "required_layers": needed, "layers": layers, "claim_permissions": permitted, "fingerprint": hashlib.sha256(canonical(spec).encode()).hexdigest()[:16]}
 
 
+#: Containers that count together when a route is chosen.
+ROUTE_KINDS = {
+    "document": ("document", "text_document", "article_candidate"), "table": ("table", "workbook"), "image": ("image",), "media": ("media", "recording"), "archive": ("archive",), "data": ("data", "file"),
+}
 #: Routes by what an inventory mostly holds, in the order they are tried.
 ROUTES = (
-    ("repeated_operational_tables", lambda s: s.get("table", 0) >= 3 and s.get("repeated_exports", 0) >= 2),
-    ("conversation_corpus", lambda s: s.get("conversations", 0) > 0),
-    ("text_corpus", lambda s: s.get("document", 0) > max(s.get("table", 0), s.get("image", 0) + s.get("media", 0))),
-    ("multimodal_evidence", lambda s: s.get("image", 0) + s.get("media", 0) > s.get("table", 0)),
-    ("single_table", lambda s: s.get("table", 0) > 0),
+    ("repeated_operational_tables", lambda s: s["table"] >= 3 and s["repeated_exports"] >= 2),
+    ("conversation_corpus", lambda s: s["conversations"] > 0),
+    ("text_corpus", lambda s: s["document"] > max(s["table"], s["image"] + s["media"])),
+    ("multimodal_evidence", lambda s: s["image"] + s["media"] > s["table"]),
+    ("single_table", lambda s: s["table"] > 0),
 )
 
 
@@ -101,9 +133,10 @@ def recognize_dimensions(goal: str, patterns: dict[str, list[str]]) -> list[str]
 
 def route(goal: str, summary: dict[str, int], research: bool = False) -> dict[str, Any]:
     """The route for a one-row inventory summary, and the smallest sufficient tier."""
-    name = next((n for n, fits in ROUTES if fits(summary)), "mixed_corpus")
-    kinds = sum(summary.get(k, 0) > 0 for k in ("document", "table", "image", "media", "archive"))
-    files = sum(summary.get(k, 0) for k in ("document", "table", "image", "media", "archive", "data"))
+    held = {kind: sum(summary.get(c, 0) for c in containers) for kind, containers in ROUTE_KINDS.items()}
+    name = next((n for n, fits in ROUTES if fits(held | {k: summary.get(k, 0) for k in ("repeated_exports", "conversations")})), "mixed_corpus")
+    kinds = sum(n > 0 for kind, n in held.items() if kind != "data")
+    files = sum(held.values())
     tier = "research" if research else "evidence" if files > 20 or kinds >= 2 or name in ("repeated_operational_tables", "multimodal_evidence") else "default"
     return {"route": name, "tier": tier, "fingerprint": hashlib.sha256(f"{goal}|{name}|{tier}".encode()).hexdigest()[:12]}
 

@@ -191,10 +191,15 @@ def test_rules_roots_and_intervals(spark):
 
 def test_corpus_functions(spark):
     f = lambda c, v: spark.range(1).select(c(F.lit(v))).first()[0]
-    assert f(corpus.family_stem, "x/Plan_v2 (1).docx") == "plan"
-    assert f(corpus.container_type, "a.PNG") == "image"
-    assert f(corpus.collection_date, "2024-03-05/export_20240401.csv") == "2024-04-01"
-    assert f(corpus.collection_date, "export 03-09.csv") == "--03-09"
+    stems = {"x/Plan_v2 (1).docx": "plan", "copy.md": "copy", "v2 final.md": "v2", "预算 最终版.xlsx": "预算", "报告（2） 副本3.csv": "报告", "sales_20240105.csv": "sales20240105", "Deck-Final v1.2.pptx": "deck", "!!.md": ""}
+    assert {p: f(corpus.family_stem, p) for p in stems} == stems
+    containers = {"a.PNG": "image", "a.md": "text_document", "a.xlsx": "workbook", "a.tsv": "table", "a.pdf": "document", "a.mkv": "recording", "a.zip": "file", "a": "file"}
+    assert {p: f(corpus.container_type, p) for p in containers} == containers
+    dates = {
+        "2024-03-05/export_20240401.csv": "2024-04-01", "2024-3-5/x.csv": "2024-03-05", "2024年3月5日/x.csv": "2024-03-05", "3月15日/x.csv": "--03-15", "0315/x.csv": "--03-15", "a/b/c/1301.csv": None,
+        "2024.13.05/20240102.csv": "2024-01-02", "2024-01-01/a/b/c/x.csv": None, "x 120240102.csv": None,
+    }
+    assert {p: f(corpus.collection_date, p) for p in dates} == dates
     assert f(corpus.top_folder, "a.txt") == "(root)"
 
 

@@ -63,12 +63,18 @@ def test_analysis_layers(spark):
 
 def test_question_layers():
     assert control.required_layers("describe") == ["measurement", "descriptive"]
-    spec = {"question": "q", "objective": "estimate_effect", "outcome_field": "v", "unit": "u", "metric_definition": "m", "identification": "difference_in_differences", "checks": ["parallel_trends"], "time_field": "t"}
+    design = {"identification_strategy": "difference_in_differences", "positivity": "supported", "consistency": "supported", "identification_checks": {"parallel_trends": {"status": "supported", "evidence_refs": ["E1"]}}}
+    spec = {"question": "q", "objective": "estimate_effect", "outcome_field": "v", "unit": "u", "metric_definition": "m", "time_field": "t", "causal_design": design}
     out = control.compile_question(spec)
-    assert out["layers"]["causal"] == {"status": "conditional", "missing": ["no_anticipation", "stable_composition"]} and out["layers"]["predictive"]["status"] == "not_requested"
+    assert out["layers"]["causal"] == {"status": "conditional", "missing": ["no_anticipation"]} and out["layers"]["predictive"]["status"] == "not_requested"
     assert not out["claim_permissions"]["causal"]
-    out = control.compile_question(spec | {"checks": list(control.CAUSAL_CHECKS["difference_in_differences"])})
-    assert out["claim_permissions"]["causal"]
+    for state, refs, status in (("supported", ["E2"], "ready"), ("supported", [], "conditional"), ("uncertain", ["E2"], "conditional"), ("violated", ["E2"], "blocked")):
+        checks = design["identification_checks"] | {"no_anticipation": {"status": state, "evidence_refs": refs}}
+        out = control.compile_question(spec | {"causal_design": design | {"identification_checks": checks}})
+        assert out["layers"]["causal"]["status"] == status and out["claim_permissions"]["causal"] == (status == "ready")
+    alone = {"positivity": "supported", "consistency": "supported", "identification_strategy": "randomized", "identification_checks": {"assignment_integrity": {"status": "supported", "evidence_refs": ["E"]}}}
+    assert control.causal_gaps({"causal_design": alone}) == (["comparison_groups"], True)
+    assert control.causal_gaps({"causal_design": alone, "readiness": {"comparison_groups": True}}) == ([], False)
     assert control.compile_question({})["status"] == "invalid_spec"
 
 
