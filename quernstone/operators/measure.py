@@ -132,7 +132,7 @@ def _groups(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
 def _did(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     """Every pre observation must precede every post observation."""
     if m["treated_value"] == m["control_value"] or m["pre_value"] == m["post_value"]:
-        raise SpecError("difference_in_differences requires distinct groups and periods")
+        raise SpecError("two groups and two periods are needed")
     pre, post = (F.col(m["period_field"]) == F.lit(m[p]) for p in ("pre_value", "post_value"))
     cells = rows.withColumn("_bad", is_invalid_number(F.col(m["field"]))).withColumn("_v", strict_number(F.col(m["field"])))
     mean = lambda g, p: F.avg(F.when((F.col(m["group_field"]) == F.lit(m[g])) & p, F.col("_v")))
@@ -162,7 +162,7 @@ def _pearson(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     """x against y some rows later; a constant series or under three pairs is unverifiable."""
     lag = int(m.get("lag", 0))
     if lag < 0:
-        raise SpecError("lag must be zero or positive")
+        raise SpecError("a lag is 0 or more")
     cells = rows.withColumn("_x", strict_number(F.col(m["x_field"]))).withColumn("_y", strict_number(F.col(m["y_field"])))
     if lag:
         cells = with_ordinal(cells, ["_at", *m.get("order", [])], day_bucket(F.col("_at")), "_i")
@@ -194,7 +194,7 @@ def _naive(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     """The value some usable observations later against the value at each origin; times must be unique."""
     history, horizon = int(m.get("minimum_history", 3)), int(m.get("horizon", 1))
     if history < 2 or horizon < 1:
-        raise SpecError("rolling_origin_naive_mae requires minimum_history >= 2 and horizon >= 1")
+        raise SpecError("a history of 2 or more and a horizon of 1 or more are needed")
     cells, sound = _numbers(rows, m["field"])
     numbered = with_ordinal(cells.select("_at", "_v", "_bad"), ["_at"], day_bucket(F.col("_at")), "_i")
     gate = cells.agg((sound & (F.count_distinct("_at") == F.count(F.lit(1)))).alias("sound"))
@@ -207,7 +207,7 @@ def measure(df: DataFrame, measurement: dict[str, Any], time: str, start: str |
     """One row: kind, value, text (for times), n, status."""
     name = measurement.get("kind")
     if name not in KINDS:
-        raise SpecError(f"unsupported measurement kind: {name!r}")
+        raise SpecError(f"no such measurement: {name!r}")
     return KINDS[name](window_rows(df, time, start, end), measurement)
 
 

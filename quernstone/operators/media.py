@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TSV_FIELDS = ("level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text")
 WORD_LEVEL = 5
@@ -169,10 +170,12 @@ def map_images(refs: DataFrame, images: DataFrame, tolerance: float = 0.02) -> D
     return both.select("article", "position", "number", status.alias("status"))
 
 
-def spread_order(length: int) -> list[int]:
-    """Middles of ever smaller halves, breadth first: any prefix is spread over the whole."""
+def spread_order(length: int, most: int | None = None) -> list[int]:
+    """Middles of ever smaller halves, breadth first, up to most of them: any prefix is spread over the whole."""
     out, queue = [], [(0, length - 1)]
     for a, b in queue:
+        if len(out) == most:
+            break
         if a <= b:
             m = (a + b) // 2
             out.append(m)
@@ -181,15 +184,17 @@ def spread_order(length: int) -> list[int]:
 
 
 def spread_sample(df: DataFrame, groups: list[str], order: list[str], count: int) -> DataFrame:
-    """count rows in turns over groups, inside each in spread order; the order depends on the groups' sizes alone."""
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
-    kinds = [r["_size"] for r in sizes.select("_size").distinct().collect()]
-    turns = [(n, i, t) for n in kinds for t, i in enumerate(spread_order(n)[:count])]
-    table = df.sparkSession.createDataFrame(turns, "_size long, _at int, _turn int")
-    rank = F.dense_rank().over(Window.orderBy(*groups))
+    """count rows in turns over groups, inside each in spread order; the order depends on the groups' sizes alone.
+
+    Only the first count groups can have a turn, so the plan has at most count squared rows.
+    """
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")).orderBy(*groups).limit(count).collect()
+    turns = [(*(r[g] for g in groups), at, turn, number) for number, r in enumerate(sizes) for turn, at in enumerate(spread_order(r["_size"], count))]
+    schema = T.StructType([*(df.schema[g] for g in groups), T.StructField("_at", T.IntegerType()), T.StructField("_turn", T.IntegerType()), T.StructField("_group", T.IntegerType())])
+    table = df.sparkSession.createDataFrame(turns, schema)
     at = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
-    rows = df.withColumn("_at", at).join(sizes.withColumn("_group", rank), groups).join(F.broadcast(table), ["_size", "_at"])
-    return rows.orderBy("_turn", "_group").limit(count).drop("_turn", "_group", "_size", "_at")
+    rows = df.withColumn("_at", at).join(F.broadcast(table), [*groups, "_at"])
+    return rows.orderBy("_turn", "_group").limit(count).drop("_turn", "_group", "_at")
 
 
 def sheet_blocks(cells: DataFrame, headers: dict[str, list[str]], head_rows: int = 40, gap: int = 20) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .series import order_bucket, with_ordinal
+
 
 def evenly_spaced(df: DataFrame, order: list[str], count: int) -> DataFrame:
     """count rows at round(i * (n - 1) / (count - 1)), half to even; the middle one for a count of 1."""
     n = df.count()
     picks = [n // 2] if count == 1 else [round(i * (n - 1) / (count - 1)) for i in range(count)] if n > count else list(range(n))
-    # the row number over a total order: Spark sorts by range in parallel, and only the picked numbers are kept
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = with_ordinal(df, order, order_bucket(df, order[0]), "_i")
     return numbered.filter(F.col("_i").isin(sorted(set(picks)))).drop("_i")
 
 
@@ -61,16 +62,22 @@ def balanced(df: DataFrame, topic: list[str], order: list[str], count: int) -> D
 
 
 def contrast(df: DataFrame, score: str, tie: list[str], count: int) -> DataFrame:
-    """The top and bottom halves of count by score, and the middle row if count is odd, each with its band."""
-    half = count // 2
-    top = df.orderBy(F.desc(score), *tie).limit(half).withColumn("band", F.lit("top"))
-    bottom = df.orderBy(F.asc(score), *(F.desc(t) for t in tie)).limit(half).withColumn("band", F.lit("bottom"))
-    out = top.unionByName(bottom)
-    if count % 2:
-        n = df.count()
-        middle = df.orderBy(F.desc(score), *tie).limit(n // 2 + 1).orderBy(F.asc(score), *(F.desc(t) for t in tie)).limit(1)
-        out = out.unionByName(middle.withColumn("band", F.lit("middle")))
-    return out
+    """The high and low halves of count by score, and the middle row if count is odd, each with its band.
+
+    Where count is not below the number of rows, every row comes once, in the band of its side of the middle.
+    """
+    n = df.count()
+    rising = [F.asc(score), *(F.desc(t) for t in tie)]
+    if count < n:
+        half = count // 2
+        out = df.orderBy(F.desc(score), *tie).limit(half).withColumn("band", F.lit("high")).unionByName(df.orderBy(*rising).limit(half).withColumn("band", F.lit("low")))
+        if count % 2 == 0:
+            return out
+    ranked = with_ordinal(df, rising, order_bucket(df, score), "_i")
+    if count < n:
+        return out.unionByName(ranked.filter(F.col("_i") == n - 1 - n // 2).drop("_i").withColumn("band", F.lit("middle")))
+    side = F.col("_i") * 2 - (n - 1)
+    return ranked.withColumn("band", F.when(side > 0, "high").when(side < 0, "low").otherwise("middle")).drop("_i")
 
 
 def recommended_count(n: int) -> int:
@@ -99,7 +106,8 @@ def round_robin_references(cards: DataFrame, owner: str, refs: str) -> DataFrame
     """(ref, owner, position, rank): references taken in turns over owners, each at its first place only."""
     spread = cards.select(owner, F.posexplode(refs).alias("position", "ref"))
     first = first_occurrences(spread, ["ref"], ["position", owner])
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("position", owner)))
+    bucket = F.struct("position", order_bucket(first, owner).alias("owner"))
+    return with_ordinal(first, ["position", owner], bucket, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def greedy_budget(cards: list[tuple[str, int]], most_cards: int, most_chars: int) -> list[str]:

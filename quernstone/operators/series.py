@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def day_bucket(time: Column) -> Column:
@@ -46,3 +47,47 @@ def shifted(df: DataFrame, ordinal: str, by: int, columns: dict[str, str]) -> Da
     """df joined with the rows by places later (earlier if negative): {new name: column}; inner."""
     later = df.select((F.col(ordinal) - by).alias(ordinal), *(F.col(c).alias(n) for n, c in columns.items()))
     return df.join(later, ordinal)
+
+
+def order_bucket(df: DataFrame, column: str) -> Column:
+    """A bucket that rises with a column, nulls first: ranges of whole numbers, days of times, leading characters of texts."""
+    kind = df.schema[column].dataType
+    c = F.col(column)
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(F.floor(c.cast("double") / (4096 if isinstance(kind, T.IntegralType) else 1)), F.lit(-(1 << 63)))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.to_date(c), F.lit("0001-01-01").cast("date"))
+    return F.coalesce(F.left(c.cast("string"), F.lit(3)), F.lit(""))
+
+
+#: Cuts of the distinct values of a group, between which its quantiles are looked for.
+CUTS = 64
+
+
+def exact_quantiles(values: DataFrame, keys: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
+    """keys and the named quantiles, by linear interpolation, of distinct values with weights; no task holds a group's values.
+
+    Approximate quantiles cut each group into ranges, whose weights tell which of
+    them hold the wanted ranks; only those ranges are then sorted. Groups are few
+    (columns, say): their cuts are broadcast. values is read three times.
+    """
+    real = values.filter(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_one"), F.col(value).alias("_v"), F.col(weight).alias("_n"))
+    by = [*keys, "_one"]
+    cuts = real.groupBy(*by).agg(F.percentile_approx("_v", [k / CUTS for k in range(1, CUTS)], 1000).alias("_cuts"), F.sum("_n").alias("_total"))
+    cut = real.join(F.broadcast(cuts), by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    sizes = cut.groupBy(*by, "_range", "_total").agg(F.sum("_n").alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range"))
+    place = lambda p: F.lit(p) * (F.col("_total") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in shares.values()))))
+    held = sizes.withColumn("_upto", upto).select(*by, "_range", (F.col("_upto") - F.col("_size")).alias("_before"), "_upto", ranks.alias("_ranks"))
+    held = held.filter(F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_upto")))).select(*by, "_range", "_before")
+    through = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v"))
+    sorted_ = cut.join(F.broadcast(held), [*by, "_range"]).withColumn("_through", through)
+    at = lambda rank: F.max(F.when((rank < F.col("_through")) & (rank >= F.col("_through") - F.col("_n")), F.col("_v")))
+    picked = sorted_.groupBy(*by, "_total").agg(*(x for k, p in enumerate(shares.values()) for x in (at(F.floor(place(p))).alias(f"_l{k}"), at(F.ceil(place(p))).alias(f"_h{k}"))))
+
+    def between(k: int, p: float) -> Column:
+        low, high = F.col(f"_l{k}"), F.col(f"_h{k}")
+        return F.when(low == high, low).otherwise((F.ceil(place(p)) - place(p)) * low + (place(p) - F.floor(place(p))) * high)
+
+    return picked.select(*keys, *(between(k, p).alias(name) for k, (name, p) in enumerate(shares.items())))

@@ -34,7 +34,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # table methods
 
-PROFILE_COLUMNS = ["l_quantity", "l_discount", "l_returnflag", "l_extendedprice"]
+PROFILE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
 
 
 @query("UNION ALL".join(f"""

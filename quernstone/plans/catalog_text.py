@@ -185,7 +185,7 @@ def sample_even(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i, count(*) OVER () AS n FROM orders)
-    SELECT o_orderkey, o_totalprice, CASE WHEN i <= 10 THEN 'top' WHEN i > n - 10 THEN 'bottom' ELSE 'middle' END AS band FROM r WHERE i <= 10 OR i > n - 10 OR i = n // 2 + 1""")
+    SELECT o_orderkey, o_totalprice, CASE WHEN i <= 10 THEN 'high' WHEN i > n - 10 THEN 'low' ELSE 'middle' END AS band FROM r WHERE i <= 10 OR i > n - 10 OR i = n // 2 + 1""")
 def sample_contrast(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.contrast(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], 21)
 

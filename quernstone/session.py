@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder for name that all executors share, below spark.checkpoint.dir."""
+    """A folder for name that all executors share, below spark.checkpoint.dir; a local session without one, as in tests, gets one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/quernstone-checkpoints"  # a single-machine session, as in tests
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/quernstone-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: later passes read it, and lost executors don't undo it."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

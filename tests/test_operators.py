@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,19 @@ def test_policy_and_conclusion_ladders():
     assert inference.conclusion(rows, "base", 0.1, 20)[0] == "insufficient_origins"
 
 
+def test_exact_quantiles(spark):
+    random.seed(3)
+    groups = {"even": [float(i) for i in range(1000)], "hot": [5.0] * 900 + [float(i) for i in range(300)], "one": [2.5], "two": [1.0, 2.0], "wide": [random.lognormvariate(0, 4) for _ in range(5000)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None)]
+    counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r.g: [r[s] for s in shares] for r in series.exact_quantiles(counts, ["g"], "v", "n", shares).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose(got[g], np.quantile(vs, list(shares.values())), rtol=1e-12)
+    assert table.exact_median(spark.createDataFrame([], "v double"), F.col("v")) is None
+
+
 def test_sampling(spark):
     df = spark.createDataFrame([(i, "abc"[min(i // 5, 2)]) for i in range(18)], "i int, g string")
     assert [r.i for r in sampling.evenly_spaced(df, ["i"], 1).collect()] == [9]
@@ -166,7 +180,9 @@ def test_sampling(spark):
     assert sorted(r.i for r in sampling.stratified(df, ["g"], ["i"], 4).collect()) == [0, 5, 10, 11]
     assert sampling.cursor_reset_order([3, 1, 2], 6) == [0, 1, 0, 2, 0, 2]
     assert sampling.balanced(df, ["g"], ["i"], 7).count() == 7
-    assert {r.band for r in sampling.contrast(df, "i", ["g"], 5).collect()} == {"top", "middle", "bottom"}
+    assert {r.band for r in sampling.contrast(df, "i", ["g"], 5).collect()} == {"high", "middle", "low"}
+    every = sampling.contrast(df, "i", ["g"], 99).collect()
+    assert len(every) == df.count() and {r.i: r.band for r in every} == {i: "high" if i > 8.5 else "low" for i in range(18)}
     assert [sampling.recommended_count(n) for n in (10, 40, 41, 10_000)] == [10, 40, 26, 60]
     assert sampling.greedy_budget([("a", 5), ("b", 9), ("c", 4)], 5, 10) == ["a", "c"]
 

@@ -17,7 +17,7 @@ def part(**more):
 
 
 def run(spark, *parts):
-    return experiments.run_experiment(spark, {"mode": "atomic", "data_source": SOURCE, "components": list(parts)})
+    return experiments.run_experiment(spark, {"mode": "atomic_claims", "data_source": SOURCE, "components": list(parts)})
 
 
 def test_atomic_claims(spark):
@@ -31,20 +31,26 @@ def test_data_problems_are_results(spark):
     out = run(spark, part(measurement={"kind": "mean", "field": "g"}))
     assert out["execution_status"] == "completed" and out["summary"]["status_counts"] == {"unverifiable": 1}
     assert run(spark, part(measurement={"kind": "mode"}))["execution_status"] == "invalid_spec"
-    assert experiments.run_experiment(spark, {"mode": "atomic", "data_source": {"time_field": "t", "granularity": "daily"}, "components": [part()]})["execution_status"] == "invalid_spec"
+    assert experiments.run_experiment(spark, {"mode": "atomic_claims", "data_source": {"time_field": "t", "granularity": "daily"}, "components": [part()]})["execution_status"] == "invalid_spec"
 
 
 def test_comparison(spark):
     spec = {
-        "mode": "comparison", "data_source": SOURCE, "required_granularity": "daily", "measurement": {"kind": "mean", "field": "v"}, "mechanism_variable": "m", "changed_variable": "m", "baseline_id": "e0", "candidate_id": "e1",
-        "hypotheses": [{"hypothesis_id": "e0", "prediction": {"operator": "lt", "value": 5}}, {"hypothesis_id": "e1", "prediction": {"operator": "gte", "value": 5}}],
+        "mode": "hypothesis_comparison", "data_source": SOURCE, "required_granularity": "daily", "measurement": {"kind": "mean", "field": "v"}, "mechanism_variable": "Unit Price", "changed_or_isolated_variable": "unit-price",
+        "candidate_core_mechanism": "价格 Ｘ", "target_mechanism": "价格x", "baseline_hypothesis_id": "e0", "candidate_hypothesis_id": "e1", "candidate_id": "c", "measurement_window_claim": "w", "distinguishing_observation": "d",
+        "data_evidence_refs": ["E1"],
+        "hypotheses": [{"hypothesis_id": "e0", "statement": "s", "prediction": {"operator": "lt", "value": 5}}, {"hypothesis_id": "e1", "statement": "s", "prediction": {"operator": "gte", "value": 5}}],
     }
-    assert experiments.run_experiment(spark, spec)["evidence_direction"] == "supports_candidate"
-    assert experiments.run_experiment(spark, spec | {"changed_variable": "other"})["execution_status"] == "rejected_misaligned"
-    assert experiments.run_experiment(spark, spec | {"required_granularity": "1m"})["execution_status"] == "unverifiable"
+    run = lambda **changed: experiments.run_experiment(spark, spec | changed)
+    assert run()["evidence_direction"] == "supports_e1" and run()["supported_hypothesis_ids"] == ["e1"]
+    assert run(baseline_hypothesis_id="e1", candidate_hypothesis_id="e0")["evidence_direction"] == "supports_e0"
+    assert run(changed_or_isolated_variable="other")["execution_status"] == run(target_mechanism="y")["execution_status"] == "rejected_misaligned"
+    assert run(required_granularity="1m")["execution_status"] == "unverifiable"
+    assert run(data_source={"path": "/nowhere/x.csv", "time_field": "t", "granularity": "daily"})["execution_status"] == "unverifiable"
     same = [h | {"prediction": spec["hypotheses"][0]["prediction"]} for h in spec["hypotheses"]]
-    assert experiments.run_experiment(spark, spec | {"hypotheses": same})["execution_status"] == "invalid_spec"
-    assert experiments.run_analysis(spark, spec | {"layer": "mechanism"})["evidence_direction"] == "supports_candidate"
+    for wrong in ({"hypotheses": same}, {"hypotheses": same[:1]}, {"data_evidence_refs": []}, {"candidate_hypothesis_id": "e9"}, {"mode": "atomic"}, {"distinguishing_observation": " "}):
+        assert run(**wrong)["execution_status"] == "invalid_spec"
+    assert experiments.run_analysis(spark, spec | {"layer": "mechanism"})["evidence_direction"] == "supports_e1"
 
 
 def test_analysis_layers(spark):
