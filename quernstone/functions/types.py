@@ -32,20 +32,20 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | (text(c) == "")
 
 
-def _finite(c: Column) -> Column:
+def finite(c: Column) -> Column:
     return F.when((F.abs(c) < F.lit(float("inf"))) & ~F.isnan(c), c)
 
 
 def lenient_number(c: Column) -> Column:
     """The number in a text with thousands commas; null if there is none."""
     plain = F.regexp_replace(text(c), ",", "")
-    return _finite(F.when(plain.rlike(NUMBER), plain.try_cast("double")))
+    return finite(F.when(plain.rlike(NUMBER), plain.try_cast("double")))
 
 
 def strict_number(c: Column) -> Column:
     """As lenient_number, and a trailing percent sign is dropped."""
     plain = F.regexp_replace(F.regexp_replace(text(c), ",", ""), "%$", "")
-    return _finite(F.when(plain.rlike(NUMBER), plain.try_cast("double")))
+    return finite(F.when(plain.rlike(NUMBER), plain.try_cast("double")))
 
 
 def is_invalid_number(c: Column) -> Column:
