@@ -55,21 +55,11 @@ def _mapped_images(o: DataFrame) -> DataFrame:
     return media.map_images(refs, images).withColumn("position", F.col("position").cast("long")).na.fill(-1, ["number"])
 
 
-@query("""WITH r AS (SELECT o_custkey AS article, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS ratio FROM orders WHERE o_custkey < 300),
-    i AS (SELECT o_custkey AS article, o_orderkey AS number, 100 AS width, CASE WHEN o_orderkey % 2 = 0 THEN 50 ELSE 200 END AS height FROM orders WHERE o_custkey < 300 AND o_orderkey % 10 <> 0),
-    n AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY number) AS position, count(*) OVER (PARTITION BY article) AS k FROM i), m AS (SELECT article, max(k) AS k FROM n GROUP BY 1), w AS (SELECT article, count(*) AS refs FROM r GROUP BY 1)
-    SELECT r.article, r.position, coalesce(n.number, -1) AS number, CASE WHEN n.number IS NULL THEN 'missing_local' WHEN m.k <> refs THEN 'count_mismatch' WHEN abs(height / width - ratio) <= 0.02 THEN 'order_and_ratio' ELSE 'ratio_conflict' END AS status
-    FROM r LEFT JOIN n ON n.article = r.article AND n.position = r.position LEFT JOIN m ON m.article = r.article JOIN w ON w.article = r.article""")
-def image_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    return _mapped_images(table(spark, sf, "orders").filter("o_custkey < 300"))
-
-
 @query("""WITH r AS (SELECT o_custkey AS article, row_number() OVER w AS position, count(*) OVER (PARTITION BY o_custkey) AS refs, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS ratio FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
     i AS (SELECT o_custkey AS article, o_orderkey AS number, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS shape, row_number() OVER w AS position, count(*) OVER (PARTITION BY o_custkey) AS images FROM orders WHERE o_orderkey % 10 <> 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
     SELECT r.article, r.position, coalesce(number, -1) AS number, CASE WHEN number IS NULL THEN 'missing_local' WHEN images <> refs THEN 'count_mismatch' WHEN abs(shape - ratio) <= 0.02 THEN 'order_and_ratio' ELSE 'ratio_conflict' END AS status
     FROM r LEFT JOIN i ON i.article = r.article AND i.position = r.position""")
-def image_mapping_all(spark: SparkSession, sf: str) -> DataFrame:
-    """image_mapping over every customer."""
+def image_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped_images(table(spark, sf, "orders"))
 
 
@@ -146,16 +136,10 @@ def _order_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 2).alias("e"))
 
 
-@query("""WITH i AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 2 AS e FROM orders WHERE o_custkey = 7 OR o_custkey = 11),
-    d AS (SELECT k, unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS day FROM i) SELECT day, min(k) AS first, list_sort(list(DISTINCT k))[2] AS second FROM d GROUP BY 1 HAVING count(DISTINCT k) > 1""")
-def interval_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.overlapping_intervals(_order_intervals(spark, sf).filter("o_custkey in (7, 11)"), "k", "s", "e")
-
-
 @query("""WITH d AS (SELECT o_custkey, o_orderkey AS k, unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 2, INTERVAL 1 DAY))::DATE AS day FROM orders)
     SELECT a.o_custkey, a.day, max(a.k) AS first, b.k AS second FROM d a JOIN d b ON a.o_custkey = b.o_custkey AND a.day = b.day AND a.k < b.k GROUP BY a.o_custkey, a.day, b.k""")
-def interval_overlaps_all(spark: SparkSession, sf: str) -> DataFrame:
-    """interval_overlaps over every order, inside each customer."""
+def interval_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer whose three days meet."""
     return matching.overlapping_intervals(_order_intervals(spark, sf), "k", "s", "e", ("o_custkey",))
 
 

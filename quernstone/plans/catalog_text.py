@@ -143,14 +143,8 @@ def message_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", key.alias("message_key"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(left(text, 60)), '[^a-z0-9一-鿿]+', '', 'g') AS title FROM documents")
-def compact_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", ft.compact_title(F.left("text", F.lit(60))).alias("title"))
-
-
 @query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9一-鿿]+', '', 'g') AS title FROM documents")
-def compact_titles_all(spark: SparkSession, sf: str) -> DataFrame:
-    """compact_titles of whole texts."""
+def compact_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", ft.compact_title(F.col("text")).alias("title"))
 
 
@@ -258,23 +252,12 @@ def rule_join_parts(spark: SparkSession, sf: str) -> DataFrame:
     return matching.rule_join(table(spark, sf, "part"), "p_partkey", "p_name", _SHEET_RULES)
 
 
-def _checked_references(spark: SparkSession, sf: str, owner: str, which: str) -> DataFrame:
-    wanted = table(spark, sf, "orders").filter(which).select(owner, (F.col("o_custkey") + 100).alias("ref"))
-    evidence = table(spark, sf, "customer").select(F.col("c_custkey").alias("ref"), F.when(F.col("c_acctbal") > 0, "verified").otherwise("open").alias("state"))
-    return matching.reference_check(wanted, owner, "ref", evidence, "state")
-
-
-@query("""SELECT DISTINCT o_orderpriority, r.ref, CASE WHEN c_custkey IS NULL THEN 'unknown_reference' ELSE 'unverified_reference' END AS problem
-    FROM (SELECT o_orderpriority, o_custkey + 100 AS ref FROM orders WHERE o_orderkey < 500) r LEFT JOIN customer ON c_custkey = r.ref WHERE c_custkey IS NULL OR c_acctbal <= 0""")
-def reference_check(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked_references(spark, sf, "o_orderpriority", "o_orderkey < 500")
-
-
 @query("""SELECT o_orderkey, ref, CASE WHEN c_custkey IS NULL THEN 'unknown_reference' ELSE 'unverified_reference' END AS problem
     FROM (SELECT DISTINCT o_orderkey, o_custkey + 100 AS ref FROM orders) LEFT JOIN customer ON c_custkey = ref WHERE c_custkey IS NULL OR c_acctbal <= 0""")
-def reference_check_all(spark: SparkSession, sf: str) -> DataFrame:
-    """reference_check over every order, which is the owner."""
-    return _checked_references(spark, sf, "o_orderkey", "true")
+def reference_check(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") + 100).alias("ref"))
+    evidence = table(spark, sf, "customer").select(F.col("c_custkey").alias("ref"), F.when(F.col("c_acctbal") > 0, "verified").otherwise("open").alias("state"))
+    return matching.reference_check(wanted, "o_orderkey", "ref", evidence, "state")
 
 
 @query("SELECT l_partkey AS key FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45")

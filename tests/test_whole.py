@@ -22,13 +22,13 @@ def test_every_interval_of_a_day(spark):
 def test_references_of_every_order(spark, tmp_path):
     spark.createDataFrame([(1, 1, "1-URGENT"), (2, 2, "1-URGENT"), (500, 1, "1-URGENT"), (9000, 2, "2-HIGH"), (9001, 3, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(101, 5.0), (102, -5.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
-    got = {(r.o_orderkey, r.ref, r.problem) for r in catalog_text.reference_check_all(spark, str(tmp_path)).collect()}
+    got = {(r.o_orderkey, r.ref, r.problem) for r in catalog_text.reference_check(spark, str(tmp_path)).collect()}
     assert got == {(2, 102, "unverified_reference"), (9000, 102, "unverified_reference"), (9001, 103, "unknown_reference")}
 
 
 def test_images_of_every_customer(spark, tmp_path):
     spark.createDataFrame([(3, 299), (4, 300), (6, 300), (10, 5000), (11, 5000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {(r.article, r.position, r.number, r.status) for r in catalog_media.image_mapping_all(spark, str(tmp_path)).collect()}
+    got = {(r.article, r.position, r.number, r.status) for r in catalog_media.image_mapping(spark, str(tmp_path)).collect()}
     assert got == {(299, 1, 3, "ratio_conflict"), (300, 1, 4, "ratio_conflict"), (300, 2, 6, "order_and_ratio"), (5000, 1, 11, "count_mismatch"), (5000, 2, -1, "missing_local")}
 
 
@@ -58,4 +58,4 @@ def test_whole_turns_are_compared(spark, tmp_path):
 
 def test_whole_titles(spark, tmp_path):
     spark.createDataFrame([(1, "A b. " * 40 + "End")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert catalog_text.compact_titles_all(spark, str(tmp_path)).first().title == "ab" * 40 + "end"
+    assert catalog_text.compact_titles(spark, str(tmp_path)).first().title == "ab" * 40 + "end"
