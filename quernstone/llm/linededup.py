@@ -40,13 +40,15 @@ WINDOW = 12
 BUCKETS = 1 << 17
 #: Bits of the filter by which documents without candidates are left out of a shuffle; full, it lets all pass.
 FILTER_BITS = 1 << 20
+#: Up to so many parts, each bound is looked up among the hashes; beyond, the bounds are read off in one pass.
+LOOKED_UP = 16
 #: Sizes that are dealt into the same number of parts: each class ends where its first size grows by half.
 CLASS_GROWTH = 1.5
 
 _NO_ID = -(1 << 63)
 _LINE = ["doc", "version", "line"]
-#: Bits of a word's hash, and place of the class of sizes, in the numbers that parts are made of.
-_WORD_BITS, _CLASS_SHIFT = 34, 57
+#: Range bounds are twice a number from minus this on, so that none overflows on the way.
+_HALF = 1 << 62
 
 
 def _spaced(text: Column) -> Column:
@@ -105,43 +107,50 @@ def _classes() -> list[tuple[int, int]]:
     return out
 
 
-def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """df with value as a generated column, which isn't made again for each use of it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_part_hashes(lines: DataFrame) -> DataFrame:
     """lines (with words and n) with parts: hashes of the parts, dealt as for the line's own class of sizes and, if another, for that of its least match.
 
     Matching sets meet in the class of the smaller one: they differ in fewer words
     than that class has parts. need_own and need_other say how many parts, at the
     least, are equal then; the first count_other of parts are of the other class.
-    Sets that match no other have no parts. A part is a run of the sorted numbers
-    of class, part and word; it begins with that of no word.
+    Sets that match no other have no parts. A part is a range of the words' hashes:
+    a run of the sorted hashes and range bounds, from its lower bound on. In a class
+    of many parts, a word that falls on a bound opens a part of its own, which leaves
+    no fewer parts equal.
     """
     bounds = _classes()
-    in_class = lambda size: F.coalesce(*(F.when(size < end, F.lit(k)) for k, (end, _) in enumerate(bounds)))
-    of_class = lambda place, k: F.get(F.array(*(F.lit(x[place]) for x in bounds)), k)
-    low = (1 << _WORD_BITS) - 1
+    ends, counts = [end for end, _ in bounds], [parts for _, parts in bounds]
+    in_class = lambda size: F.coalesce(*(F.when(size < end, F.lit(k)) for k, end in enumerate(ends)))
+    of_class = lambda values, k: F.get(F.array(*(F.lit(x) for x in values)), k)
     n = F.col("n")
     least = F.greatest(_least(n), F.lit(-(-PERCENT // (100 - PERCENT))))
-    found = _once(lines, F.struct(in_class(n).alias("own"), in_class(least).alias("other")), "of")
-    found = _once(found, F.struct(of_class(1, F.col("of.own")).alias("own"), of_class(1, F.col("of.other")).alias("other"), (F.col("of.own") != F.col("of.other")).alias("both"), of_class(0, F.col("of.other")).alias("end")), "count")
-
-    def dealt(which: str) -> Column:
-        base, parts = F.shiftleft(F.col(f"of.{which}").cast("long"), _CLASS_SHIFT), F.col(f"count.{which}")
-        own = F.transform("words", lambda w: base.bitwiseOR(F.shiftleft(F.pmod(w, parts.cast("long")), _WORD_BITS)).bitwiseOR(w.bitwiseAND(low).bitwiseOR(F.lit(1))))
-        return F.concat(own, F.transform(F.sequence(F.lit(0), parts - 1), lambda p: base.bitwiseOR(F.shiftleft(p.cast("long"), _WORD_BITS))))
-
-    none = F.array().cast("array<long>")
-    numbers = F.concat(dealt("own"), F.when(F.col("count.both"), dealt("other")).otherwise(none))
-    found = _once(found, F.sort_array(F.when(_matches_others(n), numbers).otherwise(none)), "numbers")
-    found = _once(found, F.array_compact(F.transform("numbers", lambda v, i: F.when(v.bitwiseAND(low) == 0, i + 1))), "begins")
-    part = lambda at, k: F.xxhash64(F.slice("numbers", at, F.coalesce(F.get("begins", k + 1), F.size("numbers") + 1) - at))
     apart = lambda total: F.floor(total * (100 - PERCENT) / (100 + PERCENT)).cast("int")  # noqa: E731  words that differ, at most, of two sets
+    none = F.array().cast("array<long>")
+    kinds = ("own", "other")
+    wanted = {"own": F.col("can"), "other": F.col("can") & (F.col("own") != F.col("other"))}
+
+    def ranges(kind: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(f"{kind}_count") - 1), lambda p: F.shiftleft(p.cast("long") * F.col(f"{kind}_step") - _HALF, 1))
+
+    def begins(kind: str) -> Column:
+        numbers, step = F.col(f"{kind}_numbers"), F.col(f"{kind}_step")
+        on_bound = lambda v: (v.bitwiseAND(F.lit(1).cast("long")) == 0) & (F.pmod(F.shiftright(v, 1) + _HALF, step) == 0)
+        looked_up = F.transform(ranges(kind), lambda x: F.array_position(numbers, x).cast("int"))
+        read_off = F.array_compact(F.transform(numbers, lambda v, i: F.when(on_bound(v), i + 1)))
+        return F.when(F.size(numbers) == 0, F.array().cast("array<int>")).when(F.col(f"{kind}_count") <= LOOKED_UP, looked_up).otherwise(read_off)
+
+    def hashes(kind: str) -> Column:
+        numbers, begin = F.col(f"{kind}_numbers"), F.col(f"{kind}_begins")
+        return F.transform(begin, lambda at, i: F.xxhash64(kind, F.slice(numbers, at, F.coalesce(F.get(begin, i + 1), F.size(numbers) + 1) - at)))
+
+    # in projections, each of whose columns the next one uses twice: so they aren't merged, and sorting is compiled
+    found = lines.select("*", in_class(n).alias("own"), in_class(least).alias("other"), _matches_others(n).alias("can"))
+    found = found.select("*", *(of_class(counts, F.col(k)).alias(f"{k}_count") for k in kinds), *(of_class([((1 << 63) - 1) // parts for parts in counts], F.col(k)).alias(f"{k}_step") for k in kinds), of_class(ends, F.col("other")).alias("end"))
+    found = found.select("*", *(F.when(wanted[k], F.sort_array(F.concat("words", ranges(k)))).otherwise(none).alias(f"{k}_numbers") for k in kinds))
+    found = found.select("*", *(begins(k).alias(f"{k}_begins") for k in kinds))
     return found.select(
-        *lines.columns, F.transform("begins", part).alias("parts"), F.when(F.col("count.both"), F.col("count.other")).otherwise(0).alias("count_other"),
-        (F.col("count.own") - apart(n + F.floor(n * 100 / PERCENT))).alias("need_own"), (F.col("count.other") - apart(n + F.col("count.end") - 1)).alias("need_other"),
+        *lines.columns, F.concat(hashes("other"), hashes("own")).alias("parts"), F.size("other_begins").alias("count_other"),
+        (F.col("own_count") - apart(n + F.floor(n * 100 / PERCENT))).alias("need_own"), (F.col("other_count") - apart(n + F.col("end") - 1)).alias("need_other"),
     )
 
 
@@ -175,10 +184,11 @@ def _may_be_in(ids: DataFrame) -> Column:
 def _first_lines(texts: DataFrame) -> DataFrame:
     """The first line of each set: its place and the hashes of its parts."""
     lines = texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = _once(lines, word_hashes(F.col("body")), "words").select(*_LINE, "words", F.size("words").alias("n")).filter("n > 0")
-    ordered = F.sort_array("words")
+    # the words as a projection, not from a generator: so that they are told apart and sorted in compiled code
+    lines = lines.filter(F.trim("body") != "").select(*_LINE, F.sort_array(word_hashes(F.col("body"))).alias("words"))
+    lines = lines.select(*_LINE, "words", F.size("words").alias("n"))
     dealt = ["parts", "count_other", "need_own", "need_other"]
-    keyed = with_part_hashes(lines).select(*_LINE, F.xxhash64(ordered).alias("same"), F.xxhash64(F.lit(1), ordered).alias("check"), *dealt)
+    keyed = with_part_hashes(lines).select(*_LINE, F.xxhash64("words").alias("same"), F.xxhash64(F.lit(1), "words").alias("check"), *dealt)
     rank = F.row_number().over(Window.partitionBy("same", "check").orderBy(*_LINE))
     return keyed.withColumn("rank", rank).filter("rank = 1").select(*_LINE, *dealt)
 
@@ -211,7 +221,7 @@ def _prefixes(sets: DataFrame, rarity: str) -> DataFrame:
     n = F.size("words")
     size = (n - _least(n) + 1).cast("int")
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(63)).cast("int"))
-    lines = _once(sets.select(*_LINE, n.alias("n"), size.alias("size"), "words"), by_rarity(F.col("words"), rarity), "ordered")
+    lines = sets.select(*_LINE, n.alias("n"), size.alias("size"), by_rarity(F.col("words"), rarity).alias("ordered"))
     window = F.slice("ordered", F.lit(1), F.col("size") + WINDOW)
     bits = F.aggregate(window, F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(bit(w)))
     last = F.get("ordered", F.least(F.col("size") + WINDOW, F.col("n")) - 1)

@@ -113,8 +113,9 @@ def test_matching_sets_have_a_part_in_common(spark):
     for n in [*range(9, 60), 200, 2000]:
         for m in {n, n * 100 // linededup.PERCENT}:
             shared = -(-(n + m) * linededup.PERCENT // (100 + linededup.PERCENT))
-            a = random.sample(range(1 << 56), n)
-            rows.append((n, m, a, a[:shared] + random.sample(range(1 << 56), m - shared)))
+            a = [random.randrange(-1 << 63, 1 << 63) for _ in range(n)]
+            a[:2] = [-1 << 63, 0]  # on bounds of parts
+            rows.append((n, m, a, a[:shared] + [random.randrange(-1 << 63, 1 << 63) for _ in range(m - shared)]))
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, size int, larger int, a array<long>, b array<long>")
     found = {c: {r.i: r for r in linededup.with_part_hashes(df.select("i", F.col(c).alias("words"), F.size(c).alias("n"))).collect()} for c in "ab"}
     for i in range(len(rows)):
