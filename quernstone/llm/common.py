@@ -21,6 +21,16 @@ from pyspark.sql import functions as F
 #: Most text bytes that one numpy step looks at; a longer single text is one step.
 SLICE_BYTES = 1 << 20
 
+#: Most bytes of a batch sent to Python, where the session leaves Spark's default: a batch is held several times on its way.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches for Python small in a session that doesn't set their size itself; results don't depend on it."""
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in spark.checkpoint.dir; a local session without one, as in tests, gets one."""
@@ -50,6 +60,7 @@ def scratch_scope() -> Iterator[None]:
 def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

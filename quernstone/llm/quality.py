@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix, per_row
+from .common import bound_batches, byte_slices, mix, per_row
 
 #: Largest share of word characters inside repeated n-grams, by n-gram length.
 NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -143,6 +143,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repetition_report(docs: DataFrame) -> DataFrame:
     """One row per input row: the figures, the base rule and the verdict."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_report, REPORT_SCHEMA)
 
@@ -156,4 +157,5 @@ def _verdicts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The input rows whose text is kept, all columns unchanged; one pass, no shuffle, and only texts leave the JVM."""
+    bound_batches(docs.sparkSession)
     return docs.filter(F.arrow_udf(_verdicts, "boolean")(F.col("text").cast("binary")))
