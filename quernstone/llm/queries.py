@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorization, langid, linededup, mixing, packing, ppm, quality, sharding, shingles, topk
+from . import factorization, langid, linededup, mixing, packing, ppm, quality, sharding, shingles, topk, txlog, urlfilter, variants
 from .common import id_remainder, scratch_dir, table
 
 
@@ -92,6 +92,44 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
 
 
+#: One in so many runs, by its crc32, loses a letter.
+DAMAGE = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.word_counts(table(spark, sf_dir, "documents"), damage=DAMAGE))
+
+
+LOG_KEYS = 300
+COMMITS_PER_EPOCH = 4
+
+
+def document_log(docs: DataFrame) -> DataFrame:
+    """Documents read as log records: (seq, source, kind, key, value)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    bounds = {"commit": 1, "abort": 2, "savepoint": 4, "rollback": 6, "change": 22}
+    kind = F.coalesce(*(F.when(h % 23 <= last, F.lit(name)) for name, last in bounds.items()))
+    return docs.select(F.col("doc_id").alias("seq"), "source", kind.alias("kind"), (F.floor(h / 100) % LOG_KEYS).alias("key"), F.col("text").alias("value"))
+
+
+def op12_transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("seq"))
+    found = txlog.reassemble(document_log(table(spark, sf_dir, "documents")), COMMITS_PER_EPOCH, deletions=toxic)
+    stored = F.crc32(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("value")).cast("binary"))
+    states = txlog.store_after_epochs(found, stored)
+    states = states.select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), F.col("keys").alias("n"), F.col("total").alias("value"))
+    return states.unionByName(found.undone.select(F.col("reason").alias("kind"), F.col("seq").alias("id"), F.col("undone_by").alias("n"), F.col("key").alias("value")))
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, URL_RULES))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -103,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_size_tiered_shards": op8_size_tiered_shards,
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_transaction_log": op12_transaction_log,
+    "op13_url_filters": op13_url_filters,
 }
 
 def _mix_sql() -> str:
@@ -133,8 +174,23 @@ def _mix_sql() -> str:
     """
 
 
+def _url_sql() -> str:
+    """Op13 in SQL: every rule is tried on every url, the longest fitting one wins."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    return f"""
+        WITH u AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT k, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+            FROM (SELECT k, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u)),
+        r(verdict, host, path) AS (VALUES {rules}),
+        f AS (SELECT k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+            FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY k)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (k)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": _mix_sql(),
+    "op13_url_filters": _url_sql(),
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS x
