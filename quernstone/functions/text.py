@@ -43,8 +43,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normalisation. Spark has no built-in; for pure ASCII it is the identity (see normalize_title)."""
-    return _nfkc(c)
+    """Compatibility normalisation. Spark has no built-in; pure ASCII, for which it is the identity, isn't sent to Python."""
+    other = F.when(F.octet_length(c) != F.char_length(c), c)
+    return F.coalesce(_nfkc(other), c)
 
 
 def normalize_title(c: Column, compatibility: bool = True) -> Column:
@@ -122,9 +123,12 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Digit runs padded with zeros, so that text order is natural order; runs longer than width stay as they are."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda t: F.when(t.rlike("^[0-9]") & (F.length(t) < width), F.lpad(t, width, "0")).otherwise(t)), "")
+def natural_key(c: Column) -> Column:
+    """Digit runs without leading zeros, each behind its length, so that text order is natural order for runs of any length."""
+    plain = lambda t: F.regexp_replace(t, "^0+", "")
+    numbered = lambda t: F.concat(F.lpad(F.length(plain(t)).cast("string"), 10, "0"), plain(t))
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike("^[0-9]"), numbered(t)).otherwise(t)), "")
 
 
 def markdown_figures(c: Column) -> list[Column]:

@@ -96,17 +96,28 @@ def _matches_sql(name: str, pattern: str) -> str:
 
 _LINES_SQL = f"string_split_regex(text, '{ft.LINE_ENDS}')"
 _SENSITIVE_SQL = " UNION ALL ".join(f"SELECT doc_id, line, '{n}' AS kind, '{s}' AS severity, unnest({_matches_sql(n, p)}) AS m FROM l" for n, (s, p) in ft.SENSITIVE.items())
-_FOUND_SQL = f"WITH l AS (SELECT doc_id, unnest({_LINES_SQL}) AS body, generate_subscripts({_LINES_SQL}, 1) AS line FROM documents), f AS ({_SENSITIVE_SQL})"
+_NOTES_SQL = """SELECT c_custkey AS doc_id, c_name || ': 13' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || chr(13) || chr(10) || CASE WHEN c_acctbal < 0 THEN 'password: ' || c_name ELSE 'open' END || chr(10)
+    || CASE WHEN c_nationkey % 5 = 0 THEN 'key sk-' || left(sha256(c_name), 20) ELSE 'id 1101011990' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS text FROM customer"""
+_FOUND_SQL = f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL {_NOTES_SQL}), l AS (SELECT doc_id, unnest({_LINES_SQL}) AS body, generate_subscripts({_LINES_SQL}, 1) AS line FROM d), f AS ({_SENSITIVE_SQL})"
+
+
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, which hold nothing that the patterns look for, and notes on customers with numbers, passwords and keys of theirs."""
+    key = F.col("c_custkey").cast("string")
+    secret = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("password: "), "c_name")).otherwise("open")
+    token = F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("key sk-"), F.left(F.sha2("c_name", 256), F.lit(20)))).otherwise(F.concat(F.lit("id 1101011990"), F.lpad(key, 8, "0")))
+    notes = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat("c_name", F.lit(": 13"), F.lpad(key, 9, "0"), F.lit("\r\n"), secret, F.lit("\n"), token).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(notes)
 
 
 @query(f"{_FOUND_SQL} SELECT doc_id, line, kind, severity, left(sha256(m), 16) AS fingerprint FROM f")
 def sensitive_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return ot.sensitive_findings(table(spark, sf, "documents"), "doc_id")
+    return ot.sensitive_findings(_notes(spark, sf), "doc_id")
 
 
 @query(f"{_FOUND_SQL} SELECT severity, count(*) AS findings, count(DISTINCT left(sha256(m), 16)) AS fingerprints FROM f GROUP BY 1")
 def sensitive_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return ot.severity_summary(ot.sensitive_findings(table(spark, sf, "documents"), "doc_id"))
+    return ot.severity_summary(ot.sensitive_findings(_notes(spark, sf), "doc_id"))
 
 
 @query("""WITH r AS (SELECT lang, source, length(text) AS c, row_number() OVER (PARTITION BY lang, source ORDER BY length(text) DESC) AS k FROM documents)
@@ -236,9 +247,10 @@ def lookup_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return matching.last_row_wins(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def unmatched_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.unmatched(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), "key")
+    large = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("key"))
+    return matching.unmatched(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), large, "key")
 
 
 _SHEET_RULES = [("r_red", 2, "red"), ("r_blue", 2, "blue"), ("r_ring", 2, "ring"), ("r_any_small", 1, "small")]
@@ -266,9 +278,9 @@ def set_intersection_parts(spark: SparkSession, sf: str) -> DataFrame:
     return matching.set_intersection(lines.filter("l_returnflag = 'R'"), lines.filter("l_linestatus = 'F' and l_quantity > 45"), "key")
 
 
-@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def set_difference_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.set_difference(table(spark, sf, "part").withColumn("key", F.col("p_partkey")), table(spark, sf, "lineitem").filter("l_quantity > 30").withColumn("key", F.col("l_partkey")), "key")
+    return matching.set_difference(table(spark, sf, "part").withColumn("key", F.col("p_partkey")), table(spark, sf, "lineitem").filter("l_quantity > 49").withColumn("key", F.col("l_partkey")), "key")
 
 
 @query("SELECT event_type AS key FROM events WHERE value > 5 EXCEPT ALL SELECT event_type FROM events WHERE value > 20")

@@ -50,37 +50,83 @@ def required_layers(objective: str, has_time: bool = False, has_prediction_desig
     return [x for x in LAYERS if x in asked]
 
 
-def causal_gaps(spec: dict[str, Any]) -> tuple[list[str], bool]:
-    """What a causal design lacks, and whether something that it rests on is violated."""
-    design = spec.get("causal_design") or {}
-    strategy, checks = design.get("identification_strategy"), design.get("identification_checks") or {}
-    if strategy not in CAUSAL_CHECKS:
-        return ["a known identification strategy"], False
-    missing = [name for name in CAUSAL_CHECKS[strategy]["declared"] if not checks.get(name)]
-    violated = False
-    if strategy == "randomized" and not (spec.get("readiness") or {}).get("comparison_groups"):
-        missing, violated = ["comparison_groups"], True
-    for name in CAUSAL_CHECKS[strategy]["supported"]:
-        check = checks.get(name) if isinstance(checks.get(name), dict) else {}
-        if check.get("status") != "supported":
-            missing.append(name)
-        elif not check.get("evidence_refs"):
-            missing.append(f"evidence of {name}")
-        violated |= check.get("status") == "violated"
+#: What a causal design declares, besides the values of its two groups.
+CAUSAL_FIELDS = ("intervention", "comparator", "group_field", "time_zero", "followup_end", "estimand", "estimator")
+#: How units came by their treatment; the second group isn't randomised.
+ASSIGNMENTS = ("randomized", "as_if_random", "observational", "unknown")
+UNRANDOMIZED = ("as_if_random", "observational")
+#: Estimators that answer a strategy's question.
+ESTIMATORS = {"randomized": ("group_mean_difference", "group_median_difference", "group_rate_difference"), "difference_in_differences": ("difference_in_differences",)}
+#: Lanes of evidence for a design and for a check.
+DESIGN_LANES = ("experiment_design", "identification_design")
+CHECK_LANE = "identification_check"
+#: What the data must hold for a strategy: names in readiness, and time_field of the spec.
+STRATEGY_DATA = {"randomized": ("comparison_groups",), "difference_in_differences": ("repeated_units", "pre_post_periods", "comparison_groups"), "interrupted_time_series": ("time_field", "pre_post_periods")}
+
+
+def _sound(refs: list[str], evidence: dict[str, dict[str, Any]], lanes: tuple[str, ...] = (), binding: dict[str, Any] | None = None) -> bool:
+    """Whether there are references, all to verified evidence of these lanes, bound to this very check."""
+    cards = [evidence.get(r) or {} for r in refs]
+    return bool(cards) and all(c.get("verified") is True and (not lanes or c.get("lane") in lanes) and (binding is None or c.get("identification_check_binding") == binding) for c in cards)
+
+
+def causal_gaps(spec: dict[str, Any], evidence: dict[str, dict[str, Any]], unready: tuple[str, ...] = ()) -> tuple[list[str], bool]:
+    """What a causal design lacks, and whether something that it rests on is violated.
+
+    evidence: cards by id, with verified, lane and identification_check_binding;
+    unready: layers below this one that are not ready.
+    """
+    design, readiness, process = (spec.get(k) or {} for k in ("causal_design", "readiness", "data_generating_process"))
+    strategy, assignment, estimator = (design.get(k) for k in ("identification_strategy", "assignment_mechanism", "estimator"))
+    checks, assumptions, confounders = design.get("identification_checks") or {}, design.get("assumptions") or [], design.get("known_confounders") or []
+    gaps: list[tuple[str, bool, bool]] = []  # what is missing, whether it is, whether that violates the design
+    lack = lambda what, missing, violates=False: gaps.append((what, bool(missing), violates))
+
+    for layer in ("measurement", "temporal"):
+        lack(f"a ready {layer} layer", layer in unready, violates=True)
+    for name in CAUSAL_FIELDS:
+        lack(name, not design.get(name))
+    for name in ("intervention_value", "comparator_value"):
+        lack(name, design.get(name) in (None, ""))
+    lack("observed assignment", not readiness.get("exposure_observed"), violates=True)
+    lack("known temporal order", not readiness.get("temporal_order_known"))
+    lack("a known assignment mechanism", assignment not in ASSIGNMENTS)
+    lack("a known identification strategy", strategy not in CAUSAL_CHECKS)
+    lack("an estimator that fits the strategy", strategy in ESTIMATORS and estimator not in ESTIMATORS[strategy], violates=True)
+    lack("a strategy that uses the randomisation", assignment == "randomized" and strategy not in ("randomized", "none", None), violates=True)
+    lack("a strategy that fits unrandomised assignment", assignment in UNRANDOMIZED and strategy == "randomized", violates=True)
+    for name in STRATEGY_DATA.get(strategy, ()):
+        lack(name, not (spec.get(name) if name == "time_field" else readiness.get(name)), violates=True)
+
+    lack("identifying assumptions", assignment in UNRANDOMIZED and not assumptions)
+    for x in assumptions:
+        lack(f"assumption {x.get('name')}", x.get("status") != "supported", violates=x.get("status") == "violated")
+        lack(f"evidence of assumption {x.get('name')}", x.get("status") == "supported" and not _sound(x.get("evidence_refs") or [], evidence))
     for name in ("positivity", "consistency"):
-        state = design.get(name)
-        if state != "supported":
-            missing.append(name)
-        violated |= state == "violated"
-    for x in design.get("assumptions") or []:
-        if x.get("status") != "supported":
-            missing.append(f"assumption {x.get('name')}")
-        violated |= x.get("status") == "violated"
-    return missing, violated
-
-
-def compile_question(spec: dict[str, Any]) -> dict[str, Any]:
-    """Each layer ready, conditional, blocked or not_requested, with what it lacks; no overall score."""
+        lack(name, design.get(name) != "supported", violates=design.get(name) == "violated")
+    lack("a completed review of confounders", assignment == "observational" and design.get("confounder_review_status") != "complete")
+    for x in confounders:
+        lack(f"confounder {x.get('name')}", assignment != "randomized" and x.get("status") != "measured", violates=True)
+    lack("mechanism edges", not process.get("mechanism_edges"))
+    lack("evidence of mechanism edges", not all(_sound(e.get("evidence_refs") or [], evidence) for e in process.get("mechanism_edges") or []))
+    lack("the selection process", not process.get("selection_process"))
+
+    for name in CAUSAL_CHECKS.get(strategy, {}).get("declared", ()):
+        lack(name, not checks.get(name))
+    for name in CAUSAL_CHECKS.get(strategy, {}).get("supported", ()):
+        check = checks.get(name) if isinstance(checks.get(name), dict) else {}
+        lack(name, check.get("status") != "supported", violates=check.get("status") == "violated")
+        bound = {"check_name": name, "status": "supported"}
+        lack(f"evidence of {name}", check.get("status") == "supported" and not _sound(check.get("evidence_refs") or [], evidence, (CHECK_LANE,), bound))
+    lack("evidence of the design", not _sound(design.get("design_evidence_refs") or [], evidence, DESIGN_LANES))
+    return [what for what, missing, _ in gaps if missing], any(missing and violates for _, missing, violates in gaps)
+
+
+def compile_question(spec: dict[str, Any], evidence: dict[str, dict[str, Any]] | None = None) -> dict[str, Any]:
+    """Each layer ready, conditional, blocked or not_requested, with what it lacks; no overall score.
+
+    Without evidence (cards by id), nothing that needs any is ready.
+    """
     errors = [f"{k} is required" for k in ("question", "objective", "outcome_field", "unit") if not spec.get(k)]
     if spec.get("objective") and spec["objective"] not in OBJECTIVES:
         errors.append("objective is unknown")
@@ -96,7 +142,7 @@ def compile_question(spec: dict[str, Any]) -> dict[str, Any]:
         "predictive": [k for k in ("time_field", "prediction_design", "baseline_model") if not spec.get(k)],
         "decision": [k for k in ("actions", "utility", "fallback_action") if not spec.get(k)],
     }
-    lacks["causal"], violated = causal_gaps(spec)
+    lacks["causal"], violated = causal_gaps(spec, evidence or {}, tuple(x for x in ("measurement", "temporal") if lacks[x]))
     layers = {}
     for layer in LAYERS:
         missing = lacks[layer]

@@ -69,6 +69,8 @@ def test_tokens_and_titles(spark):
     assert spark.range(1).select(date, title).first()[:] == (datetime.date(2024, 1, 2), "A title")
     assert one(spark, "1.2万 reads", ft.numeric_count) == 12000.0
     assert one(spark, "a10b2", ft.natural_key) < one(spark, "a10b10", ft.natural_key)
+    assert one(spark, "a999999999999", ft.natural_key) < one(spark, "a1234567890123", ft.natural_key) < one(spark, "a" + "9" * 40, ft.natural_key)
+    assert one(spark, "a007", ft.natural_key) == one(spark, "A7", ft.natural_key) < one(spark, "a8", ft.natural_key)
     assert one(spark, "x\r\n\r\n\r\ny  z", ft.clean_text) == "x\n\ny z"
 
 
@@ -82,3 +84,13 @@ def test_message_key(spark):
 @pytest.mark.parametrize("value,want", [(None, "empty_or_negligible"), ("short", "empty_or_negligible"), ("plain readable words go here", "usable_candidate"), ("#$%&/()=?*+~^|<>@!{}[]", "garbled_candidate"), ("readable words but also \ue000\ue001 \ue002", "garbled_candidate")])
 def test_text_state(spark, value, want):
     assert one(spark, value, ft.text_state) == want
+
+
+def test_strip_is_linear_in_inner_white_space(spark):
+    inner = "x" + "\u3000 " * 200_000 + "y"
+    assert one(spark, "\u2028\t " + inner + "\x1f\xa0\n", ty.strip) == inner
+    assert one(spark, " \u3000\x85", ty.strip) == ""
+
+
+def test_nfkc_sends_only_other_scripts_to_python(spark):
+    assert one(spark, "Ａ１ Plain", ft.nfkc) == "A1 Plain" and one(spark, "Plain", ft.nfkc) == "Plain" and one(spark, None, ft.nfkc) is None

@@ -67,23 +67,87 @@ def test_analysis_layers(spark):
     assert experiments.run_analysis(spark, {"layer": "decision", "data_source": SOURCE, "binding": {}})["execution_status"] == "invalid_spec"
 
 
+DESIGN = {
+    "identification_strategy": "difference_in_differences", "assignment_mechanism": "observational", "estimator": "difference_in_differences", "intervention": "i", "comparator": "c", "group_field": "g",
+    "time_zero": "t0", "followup_end": "t1", "estimand": "ATT", "intervention_value": 1, "comparator_value": 0, "positivity": "supported", "consistency": "supported", "confounder_review_status": "complete",
+    "assumptions": [{"name": "a", "status": "supported", "evidence_refs": ["A"]}], "known_confounders": [{"name": "k", "status": "measured"}], "design_evidence_refs": ["D"],
+    "identification_checks": {n: {"status": "supported", "evidence_refs": [n]} for n in ("parallel_trends", "no_anticipation")},
+}
+QUESTION = {
+    "question": "q", "objective": "estimate_effect", "outcome_field": "v", "unit": "u", "metric_definition": "m", "time_field": "t", "causal_design": DESIGN,
+    "readiness": dict.fromkeys(("exposure_observed", "temporal_order_known", "comparison_groups", "repeated_units", "pre_post_periods"), True),
+    "data_generating_process": {"selection_process": "s", "mechanism_edges": [{"source": "x", "target": "y", "relation": "causes", "evidence_refs": ["A"]}]},
+}
+CARDS = {"A": {"verified": True}, "D": {"verified": True, "lane": "identification_design"}} | {
+    n: {"verified": True, "lane": "identification_check", "identification_check_binding": {"check_name": n, "status": "supported"}} for n in ("parallel_trends", "no_anticipation", "assignment_integrity")
+}
+
+
+def causal(cards=CARDS, question=None, **design):
+    out = control.compile_question(QUESTION | (question or {}) | {"causal_design": DESIGN | design}, cards)
+    return out["layers"]["causal"], out["claim_permissions"]["causal"]
+
+
 def test_question_layers():
     assert control.required_layers("describe") == ["measurement", "descriptive"]
-    design = {"identification_strategy": "difference_in_differences", "positivity": "supported", "consistency": "supported", "identification_checks": {"parallel_trends": {"status": "supported", "evidence_refs": ["E1"]}}}
-    spec = {"question": "q", "objective": "estimate_effect", "outcome_field": "v", "unit": "u", "metric_definition": "m", "time_field": "t", "causal_design": design}
-    out = control.compile_question(spec)
-    assert out["layers"]["causal"] == {"status": "conditional", "missing": ["no_anticipation"]} and out["layers"]["predictive"]["status"] == "not_requested"
-    assert not out["claim_permissions"]["causal"]
-    for state, refs, status in (("supported", ["E2"], "ready"), ("supported", [], "conditional"), ("uncertain", ["E2"], "conditional"), ("violated", ["E2"], "blocked")):
-        checks = design["identification_checks"] | {"no_anticipation": {"status": state, "evidence_refs": refs}}
-        out = control.compile_question(spec | {"causal_design": design | {"identification_checks": checks}})
-        assert out["layers"]["causal"]["status"] == status and out["claim_permissions"]["causal"] == (status == "ready")
-    alone = {"positivity": "supported", "consistency": "supported", "identification_strategy": "randomized", "identification_checks": {"assignment_integrity": {"status": "supported", "evidence_refs": ["E"]}}}
-    assert control.causal_gaps({"causal_design": alone}) == (["comparison_groups"], True)
-    assert control.causal_gaps({"causal_design": alone, "readiness": {"comparison_groups": True}}) == ([], False)
+    assert causal() == ({"status": "ready", "missing": []}, True)
+    assert control.compile_question(QUESTION, CARDS)["layers"]["predictive"]["status"] == "not_requested"
     assert control.compile_question({})["status"] == "invalid_spec"
 
 
+CHECKS = DESIGN["identification_checks"]
+RANDOM = {"identification_strategy": "randomized", "estimator": "group_mean_difference", "identification_checks": {"assignment_integrity": {"status": "supported", "evidence_refs": ["assignment_integrity"]}}}
+
+
+@pytest.mark.parametrize(("status", "missing", "change"), [
+    *(("conditional", name, {name: None}) for name in ("intervention", "comparator", "group_field", "time_zero", "followup_end", "estimand", "intervention_value", "comparator_value")),
+    ("blocked", "an estimator that fits the strategy", {"estimator": None}),
+    ("blocked", "an estimator that fits the strategy", {"estimator": "group_mean_difference"}),
+    ("blocked", "a strategy that fits unrandomised assignment", RANDOM),
+    ("blocked", "a strategy that uses the randomisation", {"assignment_mechanism": "randomized"}),
+    ("conditional", "a known assignment mechanism", {"assignment_mechanism": "chosen", "known_confounders": []}),
+    ("conditional", "a known identification strategy", {"identification_strategy": "none"}),
+    ("conditional", "identifying assumptions", {"assumptions": []}),
+    ("conditional", "assumption a", {"assumptions": [{"name": "a", "status": "untested"}]}),
+    ("blocked", "assumption a", {"assumptions": [{"name": "a", "status": "violated"}]}),
+    ("conditional", "evidence of assumption a", {"assumptions": [{"name": "a", "status": "supported", "evidence_refs": []}]}),
+    ("conditional", "evidence of assumption a", {"assumptions": [{"name": "a", "status": "supported", "evidence_refs": ["nobody"]}]}),
+    ("conditional", "positivity", {"positivity": "uncertain"}),
+    ("blocked", "consistency", {"consistency": "violated"}),
+    ("conditional", "a completed review of confounders", {"confounder_review_status": "open"}),
+    ("blocked", "confounder k", {"known_confounders": [{"name": "k", "status": "unmeasured"}]}),
+    ("conditional", "evidence of the design", {"design_evidence_refs": ["A"]}),
+    ("conditional", "no_anticipation", {"identification_checks": CHECKS | {"no_anticipation": {"status": "uncertain", "evidence_refs": ["no_anticipation"]}}}),
+    ("blocked", "no_anticipation", {"identification_checks": CHECKS | {"no_anticipation": {"status": "violated", "evidence_refs": ["no_anticipation"]}}}),
+    ("conditional", "evidence of no_anticipation", {"identification_checks": CHECKS | {"no_anticipation": {"status": "supported", "evidence_refs": ["parallel_trends"]}}}),
+])
+def test_causal_design_gates(status, missing, change):
+    layer, permitted = causal(**change)
+    assert layer["status"] == status and missing in layer["missing"] and not permitted
+
+
+@pytest.mark.parametrize(("status", "missing", "change"), [
+    ("blocked", "a ready measurement layer", {"metric_definition": None}),
+    ("blocked", "a ready temporal layer", {"time_field": None}),
+    *(("blocked", name, {"readiness": {**QUESTION["readiness"], name: False}}) for name in ("comparison_groups", "repeated_units", "pre_post_periods")),
+    ("blocked", "observed assignment", {"readiness": {**QUESTION["readiness"], "exposure_observed": False}}),
+    ("conditional", "known temporal order", {"readiness": {**QUESTION["readiness"], "temporal_order_known": False}}),
+    ("conditional", "mechanism edges", {"data_generating_process": {"selection_process": "s"}}),
+    ("conditional", "the selection process", {"data_generating_process": {"mechanism_edges": QUESTION["data_generating_process"]["mechanism_edges"]}}),
+])
+def test_causal_question_gates(status, missing, change):
+    layer, permitted = causal(question=change)
+    assert layer["status"] == status and missing in layer["missing"] and not permitted
+
+
+def test_causal_evidence_must_be_verified():
+    for name in CARDS.keys() - {"assignment_integrity"}:
+        assert not causal(cards=CARDS | {name: CARDS[name] | {"verified": False}})[1]
+    assert not causal(cards={})[1]
+    layer, permitted = causal(**RANDOM, assignment_mechanism="randomized", assumptions=[], known_confounders=[{"name": "k", "status": "unmeasured"}])
+    assert (layer, permitted) == ({"status": "ready", "missing": []}, True)
+
+
 def test_routes():
     assert control.route("g", {"table": 4, "repeated_exports": 3})["route"] == "repeated_operational_tables"
     assert control.route("g", {"document": 3})["tier"] == "default" and control.route("g", {"document": 30})["tier"] == "evidence"
