@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_title
-from ..operators import prefixes, verification
+from ..functions.text import LINE_ENDS, compact_title
+from ..operators import evidence, increments, prefixes, verification
 from ..session import table
 from .catalog import query
 
@@ -107,3 +107,67 @@ def baseline_coverage(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "clients").select("client_id", F.col("email").alias("source_locator"), F.col("city").alias("baseline_text"))
     baseline = table(spark, sf, "client_changes").filter("balance > 4000").select(F.col("city").alias("text"))
     return prefixes.coverage_review(items, baseline).select("client_id", "problem")
+
+
+@query(f"""WITH d AS (SELECT 'L' || doc_id AS evidence_id, text, doc_id, string_split_regex(text, '{LINE_ENDS}') AS s FROM documents),
+    l AS (SELECT evidence_id, doc_id, CASE WHEN s[len(s)] = '' THEN s[1:len(s) - 1] ELSE s END AS s FROM d),
+    le AS (SELECT evidence_id, CASE WHEN 1 + doc_id % 3 > len(s) THEN 'locator_line_range_invalid' WHEN NOT contains(regexp_replace(array_to_string(s[1:1 + doc_id % 3], ''), '\\s+', '', 'g'),
+        CASE WHEN doc_id % 2 = 0 THEN regexp_replace(left(s[1], 20), '\\s+', '', 'g') ELSE 'nowhereatall' END) THEN 'locator_quote_mismatch' END AS error FROM l),
+    c AS (SELECT 'J' || click_id AS evidence_id, max(props) AS props, click_id FROM clicks WHERE click_id IS NOT NULL GROUP BY click_id),
+    j AS (SELECT evidence_id, CASE WHEN json_valid(props) THEN CAST(json_extract(props, '/device/os') AS VARCHAR) END AS v, props FROM c)
+    SELECT * FROM le WHERE error IS NOT NULL
+    UNION ALL SELECT 'L' || doc_id, 'source_sha256_mismatch' FROM documents WHERE doc_id % 5 = 0
+    UNION ALL SELECT 'L' || doc_id, 'directness_invalid' FROM documents WHERE lang = 'de'
+    UNION ALL SELECT evidence_id, CASE WHEN props IS NULL THEN 'source_file_missing' WHEN v IS NULL THEN 'locator_unresolvable' ELSE 'locator_expected_mismatch' END FROM j WHERE props IS NULL OR v IS NULL OR v <> '"android"'""")
+def evidence_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A card on the first lines of every document, and one on a JSON node of every click's properties."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").cast("binary").alias("content"), "text")
+    clicks = table(spark, sf, "clicks").filter("click_id IS NOT NULL").groupBy("click_id").agg(F.max("props").alias("props")).withColumn("content", F.col("props").cast("binary"))
+    said = [F.lit("seen").alias(c) for c in ("claim", "unit_id", "independence_group", "family_id", "lane")] + [F.lit(True).alias("verified")]
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    first = F.get(F.split("text", LINE_ENDS), F.lit(0))
+    lines = docs.select(
+        name("L", "doc_id").alias("evidence_id"), name("doc", "doc_id").alias("source"), *said, F.when(F.col("lang") == "de", "hearsay").otherwise("direct").alias("directness"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("content", 256)).alias("source_sha256"), F.lit("line_range").alias("kind"), *none("string", "pointer", "expected"),
+        F.lit(1).cast("long").alias("first"), (F.col("doc_id") % 3 + 1).alias("last"), F.when(F.col("doc_id") % 2 == 0, F.left(first, F.lit(20))).otherwise("nowhere at all").alias("quote"), *none("long", "row"),
+    )
+    nodes = clicks.select(
+        name("J", "click_id").alias("evidence_id"), name("click", "click_id").alias("source"), *said, F.lit("derived").alias("directness"), F.sha2("content", 256).alias("source_sha256"),
+        F.lit("json_pointer").alias("kind"), F.lit("/device/os").alias("pointer"), F.lit('"android"').alias("expected"), *none("long", "first", "last"), *none("string", "quote"), *none("long", "row"),
+    )
+    sources = docs.select(name("doc", "doc_id").alias("source"), "content").unionByName(clicks.select(name("click", "click_id").alias("source"), "content"))
+    return evidence.card_errors(lines.unionByName(nodes), sources)
+
+
+#: Three versions of clients' segments, by what happens to each id.
+_VERSIONS_SQL = """WITH RECURSIVE b AS (SELECT DISTINCT client_id AS key, coalesce(segment, '') || client_id % 3 AS v FROM (SELECT client_id, max(segment) AS segment FROM clients GROUP BY 1)),
+    o AS (SELECT key, CASE WHEN key % 7 = 0 THEN v || 'o' WHEN key % 17 = 0 THEN v || 's' ELSE v END AS v FROM b WHERE key % 11 <> 0), t AS (SELECT key, CASE WHEN key % 5 = 0 THEN v || 't' WHEN key % 17 = 0 THEN v || 's' ELSE v END AS v FROM b WHERE key % 13 <> 0),
+    n AS (SELECT * FROM o UNION ALL SELECT DISTINCT -1 - key, 'new' FROM b WHERE key % 29 = 0), j AS (SELECT key, b.v AS bv, n.v AS ov, t.v AS tv FROM b FULL JOIN n USING (key) FULL JOIN t USING (key)),
+    m AS (SELECT key, CASE WHEN bv IS NULL THEN 'added' WHEN ov IS NOT DISTINCT FROM bv AND tv IS NOT DISTINCT FROM bv THEN 'unchanged' WHEN ov IS NOT DISTINCT FROM tv THEN CASE WHEN ov IS NULL THEN 'removed' ELSE 'both' END
+        WHEN tv IS NOT DISTINCT FROM bv THEN CASE WHEN ov IS NULL THEN 'removed' ELSE 'ours' END WHEN ov IS NOT DISTINCT FROM bv THEN CASE WHEN tv IS NULL THEN 'removed' ELSE 'theirs' END ELSE 'conflict' END AS state, bv, ov, tv FROM j)"""
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    key, v = F.col("key"), F.col("v")
+    base = table(spark, sf, "clients").groupBy(F.col("client_id").alias("key")).agg(F.max("segment").alias("v")).select("key", F.concat(F.coalesce("v", F.lit("")), (key % 3).cast("string")).alias("v"))
+    changed = lambda n, mark: F.when(key % n == 0, F.concat(v, F.lit(mark))).when(key % 17 == 0, F.concat(v, F.lit("s"))).otherwise(v).alias("v")
+    ours = base.filter("key % 11 <> 0").select("key", changed(7, "o")).unionByName(base.filter("key % 29 = 0").select((-1 - key).alias("key"), F.lit("new").alias("v")))
+    return base, ours, base.filter("key % 13 <> 0").select("key", changed(5, "t"))
+
+
+@query(f"{_VERSIONS_SQL} SELECT key, state, CASE WHEN state IN ('conflict', 'removed') THEN NULL WHEN state = 'theirs' THEN tv ELSE coalesce(ov, tv) END AS v FROM m")
+def ledger_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return increments.merge_versions(*_versions(spark, sf), "key", ["v"])
+
+
+@query(f"""{_VERSIONS_SQL}, g AS (SELECT item_id, CASE WHEN state IS NULL OR state = 'removed' THEN 2 WHEN state IN ('ours', 'theirs', 'both', 'conflict') THEN 1 ELSE 0 END AS grade FROM (SELECT DISTINCT item_id FROM items) LEFT JOIN m ON key = item_id * 3 % 1000),
+    a AS (SELECT item_id, item_id AS up FROM g UNION ALL SELECT item_id, up // 4 FROM a WHERE up >= 100)
+    SELECT CAST(a.item_id AS VARCHAR) AS increment_id, CASE max(coalesce(g.grade, 2)) WHEN 2 THEN 'dropped' WHEN 1 THEN 'reopened' ELSE 'kept' END AS outcome FROM a LEFT JOIN g ON g.item_id = a.up GROUP BY 1""")
+def increment_rebase(spark: SparkSession, sf: str) -> DataFrame:
+    """Items as increments: each rests on a client's entry, and from 100 on also on the item of a fourth of its number."""
+    merged = increments.merge_versions(*_versions(spark, sf), "key", ["v"]).select(F.col("key").cast("string").alias("key"), "state")
+    items = table(spark, sf, "items").select("item_id").distinct()
+    own = items.select(F.col("item_id").cast("string").alias("increment_id"), (F.col("item_id") * 3 % 1000).cast("string").alias("on"), F.lit(False).alias("is_increment"))
+    up = items.filter("item_id >= 100").select(F.col("item_id").cast("string").alias("increment_id"), F.floor(F.col("item_id") / 4).cast("string").alias("on"), F.lit(True).alias("is_increment"))
+    return increments.rebase(own.select("increment_id"), own.unionByName(up), merged).select("increment_id", "outcome")

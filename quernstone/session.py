@@ -39,4 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: later passes read it, and lost executors don't undo it."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

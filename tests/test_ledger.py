@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions.predicates import SpecError
-from quernstone.operators import prefixes, verification
+from quernstone.operators import evidence, increments, prefixes, verification
 from quernstone.operators.measure import KINDS, measure
 
 DAY = datetime.date(2024, 1, 1)
@@ -150,3 +151,91 @@ def test_coverage_review(spark):
     items = spark.createDataFrame([(1, "l", " a "), (2, "", "a"), (3, "l", None), (4, "l", "zz")], "position int, source_locator string, baseline_text string")
     got = {r.position: r.problem for r in prefixes.coverage_review(items, spark.createDataFrame([("a",), (None,), ("",)], "text string")).collect()}
     assert got == {1: None, 2: "incomplete_item", 3: "incomplete_item", 4: "absent_from_baseline"}
+
+
+SOURCES = {
+    "j": '\ufeff{"a": {"b/c": [1, {"d": "x"}], "~": null}, "n": 1.5}', "t": "one\r\ntwo  words\nthree\n", "c": 'x,y\r\n1,"a\nb"\r\n2,c\r\n', "bad": "{", "empty": "",
+}
+CARD = {"claim": "c", "unit_id": "u", "independence_group": "g", "family_id": "f", "lane": "l", "directness": "direct", "verified": True, "pointer": None, "expected": None, "first": None, "last": None, "quote": None, "row": None}
+KINDS_OF_CARD = "evidence_id string, source string, source_sha256 string, kind string, claim string, unit_id string, independence_group string, family_id string, lane string, directness string, verified boolean, pointer string, expected string, first long, last long, quote string, row long"
+PLACES = [
+    ("j", {"kind": "json_pointer", "pointer": "/a/b~1c/1/d", "expected": '"x"'}, []), ("j", {"kind": "json_pointer", "pointer": "/a/b~1c/0"}, []), ("j", {"kind": "json_pointer", "pointer": "/a/~0", "expected": "null"}, []),
+    ("j", {"kind": "json_pointer", "pointer": "/a/b~1c/2"}, ["locator_unresolvable"]), ("j", {"kind": "json_pointer", "pointer": "/n", "expected": "2"}, ["locator_expected_mismatch"]), ("j", {"kind": "json_pointer"}, []),
+    ("bad", {"kind": "json_pointer", "pointer": ""}, ["locator_unresolvable"]), ("t", {"kind": "line_range", "first": 1, "last": 3, "quote": "one two words"}, []), ("t", {"kind": "line_range", "first": 2, "last": 2, "quote": "three"}, ["locator_quote_mismatch"]),
+    ("t", {"kind": "line_range", "first": 2, "last": 4}, ["locator_line_range_invalid"]), ("t", {"kind": "line_range", "first": 0, "last": 1}, ["locator_line_range_invalid"]), ("t", {"kind": "line_range", "first": 1}, ["locator_unresolvable"]),
+    ("t", {"kind": "line_range", "first": 3, "last": 3}, []), ("empty", {"kind": "line_range", "first": 1, "last": 1}, ["locator_line_range_invalid"]), ("c", {"kind": "csv_row", "row": 2}, []), ("c", {"kind": "csv_row", "row": 3}, ["locator_csv_row_invalid"]),
+    ("c", {"kind": "csv_row"}, ["locator_unresolvable"]), ("bytes", {"kind": "csv_row", "row": 1}, ["locator_unresolvable"]), ("bytes", {"kind": "image"}, []), ("t", {"kind": None}, ["locator_missing"]), ("t", {"kind": "page"}, ["locator_type_invalid"]),
+    ("gone", {"kind": "image"}, ["source_file_missing"]), ("t", {"kind": "image", "claim": " ", "directness": "rumour"}, ["claim_missing", "directness_invalid"]), ("t", {"kind": "image", "source_sha256": "ab"}, ["source_sha256_missing_or_invalid"]),
+    ("t", {"kind": "image", "source_sha256": "AB" * 32}, ["source_sha256_mismatch"]), ("t", {"kind": "page", "verified": False}, []),
+]
+
+
+def test_cards_against_sources(spark):
+    contents = {k: v.encode() for k, v in SOURCES.items()} | {"bytes": b"\xff\xfe\x00"}
+    cards = [CARD | {"evidence_id": f"e{k}", "source": s, "source_sha256": hashlib.sha256(contents.get(s, b"")).hexdigest()} | place for k, (s, place, _) in enumerate(PLACES)]
+    cards += [cards[0] | {"evidence_id": "twice"}] * 2 + [cards[0] | {"evidence_id": None}]
+    frame = spark.createDataFrame([tuple(c[n.split()[0]] for n in KINDS_OF_CARD.split(", ")) for c in cards], KINDS_OF_CARD)
+    got = sorted((r.evidence_id or "", r.error) for r in evidence.card_errors(frame, spark.createDataFrame(list(contents.items()), "source string, content binary")).collect())
+    assert got == sorted([(f"e{k}", e) for k, (_, _, errors) in enumerate(PLACES) for e in errors] + [("twice", "id_duplicated"), ("", "id_missing")])
+
+
+def test_bindings_against_the_plan(spark):
+    plan = {"target": '"t"', "outcome_field": '"v"', "planned_method": '"m"', "validation": "1"}
+    targets = spark.createDataFrame([("predictive", k, v) for k, v in plan.items()], "layer string, field string, value string")
+    stated = {"target": '"t"', "outcome_field": '"w"', "method": '"m"', "validation_design": "2", "horizon": "3"}
+    values = spark.createDataFrame([("e", k, v) for k, v in stated.items()], "evidence_id string, field string, value string")
+    bindings = spark.createDataFrame([("e", "predictive"), ("x", "causal"), ("y", "predictive")], "evidence_id string, layer string")
+    got = {tuple(r) for r in evidence.binding_mismatches(bindings, values, targets).collect()}
+    assert got == {("e", "outcome_field"), ("e", "validation_design"), ("e", "horizon"), ("x", "analysis_target"), *(("y", f) for f in ("target", "outcome_field", "method", "validation_design"))}
+
+
+def test_adequacy_and_shared_evidence(spark):
+    whole = [("b", k, "r1" if k == "evidence_ref" else "text") for k in increments.CAPABILITIES]
+    entries = spark.createDataFrame([*whole, *(("c", k, "r2" if k == "evidence_ref" else v) for _, k, v in whole), ("d", "decision", " ")], "baseline_id string, kind string, value string")
+    cards = spark.createDataFrame([("r1", True), ("r2", False)], "ref string, verified boolean")
+    got = {r.baseline_id: (r.adequate, r.mode, r.evidence_present, r.decision_present) for r in increments.adequacy(entries, cards).collect()}
+    assert got == {"b": (True, "adversarial_augmentation", True, True), "c": (False, "full_discovery", False, True), "d": (False, "full_discovery", False, False)}
+    references = spark.createDataFrame([("x", "generation", "g1"), ("x", "holdout", "h1"), ("y", "holdout", "h2"), ("z", "holdout", "b1"), ("z", "generation", "h2")], "candidate_id string, role string, ref string")
+    known = spark.createDataFrame([("g1", "G", "u1", None, None), ("h1", "G", "u2", "AA", "{}"), ("h2", None, "", "aa", "{}"), ("b1", "B", "u9", "aa", "{}")], "ref string, independence_group string, unit_id string, source_sha256 string, locator string")
+    shared = increments.shared_evidence(references, spark.createDataFrame([("b1",)], "ref string"), known)
+    place = "aa:{}"
+    assert {tuple(r) for r in shared.collect()} == {("x", "group", "G"), ("x", "place", place), ("y", "place", place), ("z", "evidence", "b1"), ("z", "group", "B"), ("z", "unit", "u9"), ("z", "place", place)}
+
+
+def brute_merge(b, o, t):
+    if b is None and (o is None or t is None):
+        return "added", o or t
+    if o == t:
+        return ("unchanged" if o == b else "removed" if o is None else "added" if b is None else "both"), o
+    if t == b or o == b:
+        side, name = (o, "ours") if t == b else (t, "theirs")
+        return ("removed" if side is None else name), side
+    return "conflict", None
+
+
+def test_merge_and_rebase(spark):
+    values = [None, "p", "q", "r"]
+    cases = [(f"{b}{o}{t}", b, o, t) for b in values for o in values for t in values if b or o or t]
+    version = lambda k: spark.createDataFrame([(c[0], c[k]) for c in cases if c[k]], "key string, v string")
+    merged = increments.merge_versions(version(1), version(2), version(3), "key", ["v"])
+    assert {r.key: (r.state, r.v) for r in merged.collect()} == {k: brute_merge(b, o, t) for k, b, o, t in cases}
+    state = {"same": "unchanged", "new": "added", "gone": "removed", "mine": "ours", "fight": "conflict"}
+    merged = spark.createDataFrame(list(state.items()), "key string, state string")
+    rests = [("a", "same", False), ("b", "gone", False), ("c", "a", True), ("c", "new", False), ("d", "b", True), ("e", "d", True), ("f", "mine", False), ("g", "f", True), ("h", "g", True), ("h", "e", True), ("i", "nothing", False), ("j", "nobody", True), ("k", "l", True), ("l", "k", True), ("l", "fight", False)]
+    ids = spark.createDataFrame([(x,) for x in "abcdefghijklm"], "increment_id string")
+    got = {r.increment_id: r.outcome for r in increments.rebase(ids, spark.createDataFrame(rests, "increment_id string, on string, is_increment boolean"), merged).collect()}
+    assert got == dict.fromkeys("acm", "kept") | dict.fromkeys("fgkl", "reopened") | dict.fromkeys("bdehij", "dropped")
+
+
+def test_assess(spark):
+    good = {"reviewer_pass": "r", "rationale": "because", "structure_status": "distinct", "prediction_status": "divergent", "novelty_status": "new_to_e0", "mechanism_test_status": "direct", "holdout_status": "supports_e1", "decision_status": "changes"}
+    reviews = {
+        "valid": [good], "test": [good | {"holdout_status": "mixed"}], "none": [], "twice": [good, good], "own": [good | {"reviewer_pass": "gen"}], "odd": [good | {"novelty_status": "novel"}], "mute": [good | {"rationale": " "}],
+        "same": [good | {"structure_status": "same"}], "flat": [good | {"decision_status": "no_change"}], "lost": [good | {"holdout_status": "supports_e0"}], "said": [good], "told": [good], "bare": [good],
+    }
+    candidates = [(k, k != "bare", "gen", "Known: Claim" if k == "said" else k, "known prediction!" if k == "told" else k) for k in reviews]
+    rows = [(k, *r.values()) for k, rs in reviews.items() for r in rs]
+    baseline = spark.createDataFrame([("claim", "known claim"), ("prediction", "Known ＰＲＥＤＩＣＴＩＯＮ"), ("claim", None)], "kind string, text string")
+    got = increments.assess(spark.createDataFrame(candidates, "candidate_id string, eligible boolean, generation_pass string, claim string, e1_prediction string"), spark.createDataFrame(rows, "candidate_id string, " + ", ".join(f"{k} string" for k in good)), baseline)
+    want = {"valid": "validated_increment", "test": "testable_increment", "none": "pending_review", "bare": "rejected_mechanical"} | dict.fromkeys(("twice", "own", "odd", "mute"), "invalid_review") | dict.fromkeys(("same", "flat", "lost", "said", "told"), "no_increment")
+    assert {r.candidate_id: r.outcome for r in got.collect()} == want
