@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, whole_row
 
 PERCENT = 90
 #: Words beyond the prefix whose presence in the other line is looked at before verification.
@@ -141,7 +141,7 @@ def with_part_hashes(lines: DataFrame) -> DataFrame:
 
     def hashes(kind: str) -> Column:
         numbers, begin = F.col(f"{kind}_numbers"), F.col(f"{kind}_begins")
-        return F.transform(begin, lambda at, i: F.xxhash64(kind, F.slice(numbers, at, F.coalesce(F.get(begin, i + 1), F.size(numbers) + 1) - at)))
+        return F.transform(begin, lambda at, i: F.xxhash64(F.col(kind), F.slice(numbers, at, F.coalesce(F.get(begin, i + 1), F.size(numbers) + 1) - at)))
 
     # in projections, each of whose columns the next one uses twice: so they aren't merged, and sorting is compiled
     found = lines.select("*", in_class(n).alias("own"), in_class(least).alias("other"), _matches_others(n).alias("can"))
@@ -275,7 +275,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with the text of the lines that stay; rows that had words and have none left go."""
     kept = kept_lines(docs).groupBy("doc", "version").agg(F.collect_list("line").alias("kept"))
-    keyed = _versions(docs, F.struct(*docs.columns).alias("row")).join(kept, ["doc", "version"], "left")
+    keyed = _versions(docs, whole_row(docs).alias("row")).join(kept, ["doc", "version"], "left")
     worded = lambda c: F.coalesce(c, F.lit("")).rlike("[^ \\t-\\r]")
     stays = F.filter(F.split("row.text", "\n"), lambda x, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | ~worded(x))
     # from a generator, so that the lines are judged once

@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 OTHER = "(other)"
 #: Hexadecimal digits of the hash by which sums are taken before the exact cut.
 DIGITS = 3
@@ -105,7 +107,7 @@ def mix_sources(docs: DataFrame, tree: MixTree, budget_share: float, max_epochs:
     budget_share of all tokens.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *tree.leaf(F.col("lang"), F.col("source")), n_words(F.col("text")).cast("long").alias("n_tokens"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *tree.leaf(F.col("lang"), F.col("source")), n_words(F.col("text")).cast("long").alias("n_tokens"))
     narrow = rows.select("doc_id", *LEAF, "n_tokens")
     totals = {(r["domain"], r["language"], r["origin"]): r["n"] for r in narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("n")).collect()}
     budgets = leaf_budgets(totals, tree, budget_share * sum(totals.values()), max_epochs)

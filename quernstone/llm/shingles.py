@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, materialize, mix
+from .common import byte_slices, discard, materialize, mix, whole_row
 from .components import connected_components
 
 WORDS = 5
@@ -301,8 +301,8 @@ def _cells(survivors: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return one.unionByName(many).select("cell", "i", "j", "unit", "node", "n", "grp", "prefix", "shingles", "side", "across"), [weights, shingles]
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """k (-2^63 for null ids), version (hash of the text), n, component_id and lone of every row of docs; lone: the least version of a component of rows without an id."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
     marks = materialize(rows.mapInArrow(_summaries, "k long, version long, n long, node long, check long"), "shingle-sets")
     real = F.when(F.col("k") != _NO_ID, F.col("k"))
@@ -322,23 +322,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     joined = connected_components(links)
     for used in (survivors, *behind):
         discard(used)
-    own = nodes.join(joined, "node", "left").select("node", "check", "id", F.coalesce("component", "node").alias("root"))
-    least = own.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = own.join(least, "root").select("node", "check", "component_id")
-    worded = marks.filter("n > 0").join(labels, ["node", "check"], "left").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    return worded.unionByName(marks.filter("n = 0").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), real.alias("component_id")))
+    own = nodes.join(joined, "node", "left").select("node", "check", "id", "version", F.coalesce("component", "node").alias("root"))
+    least = own.groupBy("root").agg(F.min("id").alias("component_id"), F.min("version").alias("lone"))
+    labels = own.select("node", "check", "root").join(least, "root").select("node", "check", "component_id", "lone")
+    worded = marks.filter("n > 0").join(labels, ["node", "check"], "left").select("k", "version", "n", "component_id", "lone")
+    return worded.unionByName(marks.filter("n = 0").select("k", "version", "n", real.alias("component_id"), F.col("version").alias("lone")))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    return _labelled(docs).select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that of its least id.
+    """One row of docs for each component, that of its least id; if no row has an id, one of them.
 
-    Rows that repeat an id and text count as one; rows without shingles and rows
-    without an id, which nothing could name, all stay.
+    Rows that repeat an id and text count as one, and so do rows without an id that
+    repeat a text; rows without shingles all stay.
     """
-    found = jaccard_components(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    takes_part = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
-    rest = docs.filter(takes_part).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_k"), F.xxhash64("text").alias("_t")).join(gone, "_k", "left_anti")
+    found = _labelled(docs)
+    gone = found.filter(F.col("k") != F.coalesce("component_id", F.lit(_NO_ID))).filter(F.col("k") != _NO_ID).select(F.col("k").alias("_k")).distinct()
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
+    keyed = lambda rows: rows.select(whole_row(rows).alias("row"), F.col("doc_id").cast("long").alias("_k"), F.xxhash64("text").alias("_t"))
     copy = F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_t"))
-    kept = rest.withColumn("_copy", copy).filter("_copy = 1").select("row.*")
-    return docs.filter(~takes_part).unionByName(kept)
+    kept = keyed(docs.filter(worded & F.col("doc_id").isNotNull())).join(gone, "_k", "left_anti").withColumn("_copy", copy).filter("_copy = 1").select("row.*")
+    # without an id: those of components without any, which their least version stands for; copies meet before the shuffle
+    alone = found.filter((F.col("k") == _NO_ID) & F.col("component_id").isNull() & (F.col("version") == F.col("lone"))).select(F.col("version").alias("_t")).distinct()
+    nameless = keyed(docs.filter(worded & F.col("doc_id").isNull())).join(alone, "_t", "left_semi").groupBy("_t").agg(F.first("row").alias("row")).select("row.*")
+    return docs.filter(~worded).unionByName(kept).unionByName(nameless)

@@ -57,6 +57,18 @@ def test_held_out_languages(spark, sf):
     assert out.filter("lang = lang_pred").count() >= 0.95 * out.count()
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_languages_of_rows_that_share_an_id(spark, doc_id):
+    """Draws tell texts apart, bound the sample and leave no language without a row."""
+    text = lambda lang, k: " ".join(f"{lang}{'abcdefghij'[int(c)]}" for c in str(k + 1000))
+    rows = [(doc_id, text(lang, k), lang) for lang in ("xu", "yo") for k in range(900)] + [(doc_id, "zizi zaza zuzu", "za")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, learn_rows=200, calibrate_rows=50)
+    assert model.languages == ["xu", "yo", "za"]
+    out = langid.identify(docs, model, F.lit(False)).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in out} == {"xu": 900, "yo": 900, "za": 500}
+
+
 def test_awkward_languages(spark):
     docs = helpers.awkward(spark)
     out = langid.identify(docs, langid.train(docs.filter(~held())), held()).collect()
@@ -205,6 +217,17 @@ def test_empty_vectors_take_part(spark):
     assert got == [(0, 1, 1, 0), (0, 2, 50, 0), (0, 3, 2, -65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
 
 
+def test_search_large_components_and_long_vectors(spark):
+    big = spark.createDataFrame([(50, [1e9, 1.0]), (1, [1e9, 2.0])], "vec_id long, embedding array<double>")
+    for value in (1e9, 1e300):
+        with pytest.raises(OverflowError, match="64 bits"):
+            topk.top_k(big.withColumn("embedding", F.array(F.lit(value), F.lit(1.0))), F.col("vec_id") % 50 == 0)
+    rows = [(50, [0.0] * 200_000 + [3.0])] + [(k, [float(k), -1.0]) for k in range(1, 40)] + [(100, [2.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 100] == [(k, 2 * k * 256 * 256) for k in range(39, 34, -1)]
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 50] == [(k, 0) for k in range(1, 6)]
+
+
 def test_search_small_tables(spark):
     asks = F.col("vec_id") % 50 == 0
     schema = "vec_id long, embedding array<float>"
@@ -255,4 +278,4 @@ def test_every_operator_has_one_query():
     by = defaultdict(list)
     for name in queries.QUERIES:
         by[name.split("_")[0]].append(name)
-    assert sorted(by, key=lambda x: int(x[2:])) == [f"op{n}" for n in range(1, 11)] and all(len(v) == 1 for v in by.values())
+    assert sorted(by, key=lambda x: int(x[2:])) == [f"op{n}" for n in range(1, 14)] and all(len(v) == 1 for v in by.values())

@@ -45,5 +45,23 @@ def test_stages_take_awkward_rows(spark, sf):
     assert shingles.keep_representatives(docs).count() < docs.count()
 
 
+def test_stages_take_dotted_names_and_unnamed_copies(spark, sf):
+    docs = helpers.awkward(spark).withColumnRenamed("n", "a.b").withColumnRenamed("kept", "c`d.e")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() > 0, name
+    line = helpers.words(40, 3000)
+    rows = [(None, line, "en", "src0")] * 3 + [(None, line + " more", "en", "src0"), (None, helpers.words(40, 4000), "en", "src0"), (7, helpers.words(40, 4000), "en", "src0"), (None, None, "en", "src0"), (None, None, "en", "src0")]
+    left = shingles.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in left) == [(0, ""), (0, ""), (0, "w3000"), (7, "w4000")]
+
+
+def test_all_stages_on_awkward_rows(spark, sf):
+    docs = helpers.awkward(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), "awkward-" + name.replace(" ", "-"))
+    assert "sequence_id" in docs.columns
+
+
 def test_stage_list():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
