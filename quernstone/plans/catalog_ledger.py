@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_ENDS, compact_title
-from ..operators import evidence, increments, prefixes, verification
+from ..operators import evidence, increments, prefixes, smooth, verification
 from ..session import table
 from .catalog import query
 
@@ -171,3 +171,23 @@ def increment_rebase(spark: SparkSession, sf: str) -> DataFrame:
     own = items.select(F.col("item_id").cast("string").alias("increment_id"), (F.col("item_id") * 3 % 1000).cast("string").alias("on"), F.lit(False).alias("is_increment"))
     up = items.filter("item_id >= 100").select(F.col("item_id").cast("string").alias("increment_id"), F.floor(F.col("item_id") / 4).cast("string").alias("on"), F.lit(True).alias("is_increment"))
     return increments.rebase(own.select("increment_id"), own.unionByName(up), merged).select("increment_id", "outcome")
+
+
+@query("""WITH s AS (SELECT epoch(date_trunc('day', o_orderdate)) / 86400 AS d, CAST(sum(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY 1), n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS k FROM s),
+    r AS (SELECT *, row_number() OVER (ORDER BY d) AS i FROM s), l AS (SELECT regr_slope(value, d) AS b, regr_intercept(value, d) AS a FROM r, n WHERE i <= k)
+    SELECT 'succeeded' AS status, n AS observed_rows, k AS training_rows, n - k AS holdout_rows, round(b, 4) AS slope, (SELECT round(avg(abs(value - a - b * d)), 2) FROM r, n, l WHERE i > k) AS linear_mae,
+        (SELECT round(sqrt(avg(pow(value - a - b * d, 2))), 2) FROM r, n, l WHERE i > k) AS linear_rmse FROM n, l""")
+def trend_line(spark: SparkSession, sf: str) -> DataFrame:
+    """The straight line's side of the competition on daily sales; the curve's side is held against a dense fit in tests."""
+    found = smooth.trend_competition(_daily_sales(spark, sf), "day", "value")
+    return found.select("status", "observed_rows", "training_rows", "holdout_rows", F.round("slope", 4).alias("slope"), F.round("linear_mae", 2).alias("linear_mae"), F.round("linear_rmse", 2).alias("linear_rmse"))
+
+
+@query()
+def trend_competition(spark: SparkSession, sf: str) -> DataFrame:
+    """Line against penalised spline; the penalty's choice is beyond SQL."""
+    return smooth.trend_competition(_daily_sales(spark, sf), "day", "value")
+
+
+def _daily_sales(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("value"))
