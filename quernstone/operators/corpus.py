@@ -170,3 +170,49 @@ def project_roots(paths: DataFrame, path: str, strong: list[str], weak: list[str
     loose = found.filter("not strong").select("root")
     covered = above(loose).join(outermost.select(F.col("root").alias("up")), "up").select("root").distinct()
     return outermost.withColumn("marker", F.lit("strong")).unionByName(loose.join(covered, "root", "left_anti").withColumn("marker", F.lit("weak")))
+
+
+#: What a numbered page ends in, how a screenshot names its moment, and what exports add to their names.
+PAGE_END = r"(?i)(?:[-_ ]?(?:page|p|截图|第)[-_ ]*\p{Nd}+\s*(?:页)?|[\(（]\p{Nd}+[\)）])$"
+CAPTURE = r"(?i)(?:screenshot|screen[_ -]?shot|截图)[_ -]?([0-9]{4}[-_][0-9]{2}[-_][0-9]{2})[_ -]?([0-9]{2})[0-9]{4}"
+EXPORT_MARKS = (
+    r"(?<!\d)20\d{2}[-_.年/]?\d{1,2}[-_.月/]?\d{1,2}(?:日)?(?!\d)", r"(?<!\d)\d{1,2}月\d{1,2}日(?!\d)", r"(?<!\d)20\d{6}(?!\d)", r"(?<!\d)\d{10,}(?!\d)", r"(?i)(?:^|[-_ ])(?:export|download|data)[-_ ]*\d+(?=$|[-_ ])",
+)
+
+
+def _parent(path: Column) -> Column:
+    return F.lower(F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(""))
+
+
+def export_stem(path: Column) -> Column:
+    """The file's name without dates, long numbers and export marks: a hint of a repeated export."""
+    value = stem(path)
+    for mark in EXPORT_MARKS:
+        value = F.regexp_replace(value, mark, " ")
+    return F.coalesce(F.nullif(normalize_title(value), F.lit("")), F.lit("unnamed_export"))
+
+
+def sequence_stem(path: Column) -> Column:
+    """The name before a page number at its end; null for names without one."""
+    whole = strip(stem(path))
+    head = strip(F.regexp_replace(whole, PAGE_END, ""))
+    return F.when((head != whole) & (head != ""), F.nullif(normalize_title(head), F.lit("")))
+
+
+def capture_session(path: Column) -> Column:
+    """Folder, day and hour of a screenshot whose name tells its moment; else null."""
+    day = F.regexp_extract(stem(path), CAPTURE, 1)
+    return F.when(day != "", F.concat_ws("|", _parent(path), F.replace(day, F.lit("_"), F.lit("-")), F.regexp_extract(stem(path), CAPTURE, 2)))
+
+
+def capture_units(images: DataFrame, path: str = "path") -> DataFrame:
+    """path, unit (its first path in order) and members: screenshots of one hour and folder, and numbered pages of one name and folder, are one unit each; other images are units of their own.
+
+    A unit's members stay rows: none is gathered into an array, however many there are.
+    """
+    file = F.col(path)
+    numbered = F.when(sequence_stem(file).isNotNull(), F.concat_ws("|", _parent(file), F.lit("page"), sequence_stem(file)))
+    key = F.coalesce(capture_session(file), numbered)
+    keyed = images.select(path).distinct().withColumn("_key", F.coalesce(key, F.concat(F.lit("\0"), file)))
+    units = keyed.groupBy("_key").agg(F.min(F.struct(F.lower(path).alias("low"), file.alias("first"))).alias("u"), F.count(F.lit(1)).alias("members"))
+    return keyed.join(units, "_key").select(path, F.col("u.first").alias("unit"), "members")

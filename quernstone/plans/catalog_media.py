@@ -152,3 +152,17 @@ def ordered_distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
 def removed_files(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id")
     return corpus.removed_files(d.filter("doc_id % 10 <> 3"), d)
+
+
+@query("""WITH f AS (SELECT 'shots/c' || client_id % 40 || '/Screenshot_' || strftime(sold_at, '%Y-%m-%d_%H%M%S') || '.png' AS path, 'shots/c' || client_id % 40 || '|' || strftime(sold_at, '%Y-%m-%d|%H') AS k FROM sales WHERE sold_at IS NOT NULL AND client_id IS NOT NULL
+    UNION SELECT 'Scans/' || source || '/Notes ' || stamp_id % 7 || '-page ' || stamp_id || '.jpg', 'scans/' || source || '|page|notes' || stamp_id % 7 FROM stamps WHERE source IS NOT NULL UNION SELECT 'cover/' || source || stamp_id % 90 || '.png', 'cover' || source || stamp_id % 90 FROM stamps WHERE source IS NOT NULL),
+    u AS (SELECT k, arg_min(path, (lower(path), path)) AS unit, count(*) AS members FROM f GROUP BY k) SELECT path, unit, members FROM f JOIN u USING (k)""")
+def capture_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Screenshots named by the moments of sales, numbered scans and covers, as units."""
+    sales = table(spark, sf, "sales").filter("sold_at IS NOT NULL AND client_id IS NOT NULL")
+    stamps = table(spark, sf, "stamps").filter("source IS NOT NULL")
+    word = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    shots = sales.select(F.concat(F.lit("shots/c"), word(F.col("client_id") % 40), F.lit("/Screenshot_"), F.date_format("sold_at", "yyyy-MM-dd_HHmmss"), F.lit(".png")).alias("path"))
+    pages = stamps.select(F.concat(F.lit("Scans/"), "source", F.lit("/Notes "), word(F.col("stamp_id") % 7), F.lit("-page "), word("stamp_id"), F.lit(".jpg")).alias("path"))
+    covers = stamps.select(F.concat(F.lit("cover/"), "source", word(F.col("stamp_id") % 90), F.lit(".png")).alias("path"))
+    return corpus.capture_units(shots.unionByName(pages).unionByName(covers))

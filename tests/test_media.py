@@ -3,8 +3,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from quernstone.operators import media
+from quernstone.operators import corpus, media
 
 
 def test_ocr(spark):
@@ -67,3 +68,16 @@ def test_blocks_exports_and_bodies(spark):
     assert {r.path: r.status for r in media.discover_exports(files, ["meta", "messages"]).collect()} == {"a": "recognized", "b": "ignored", "c": "failed"}
     docs = spark.createDataFrame([(1, "x<<body>>y"), (2, "x<<tail"), (3, "plain")], "k int, text string")
     assert {r.k: (r.body, r.status) for r in media.article_bodies(docs, "k", "<<", ">>").collect()} == {1: ("body", "bounded"), 2: ("tail", "no_end"), 3: ("plain", "no_start")}
+
+
+def test_capture_units(spark):
+    paths = {
+        "A/Screenshot_2024-01-05_101112.png": 2, "a/screen-shot 2024_01_05 105959.png": 2, "a/截图2024-01-05-110000.png": 1, "b/Screenshot_2024-01-05_101112.png": 1, "b/Report page 1.png": 3, "b/report_P2.png": 3, "B/Report（3）.png": 3,
+        "b/report.png": 1, "c/Report page 1.png": 1, "page 3.png": 1, "b/第1页.png": 1,
+    }
+    got = {r.path: (r.unit, r.members) for r in corpus.capture_units(spark.createDataFrame([(p,) for p in [*paths, "b/report.png"]], "path string")).collect()}
+    assert {p: n for p, (_, n) in got.items()} == paths
+    assert got["a/screen-shot 2024_01_05 105959.png"][0] == "a/screen-shot 2024_01_05 105959.png" and got["b/report_P2.png"][0] == "b/Report page 1.png"
+    exports = {"x/sales_2024-01-05.csv": "sales", "sales export_12.csv": "sales", "20240105.csv": "unnamed_export", "订单1月5日.csv": "订单", "sales1234567890.csv": "sales"}
+    for path, want in exports.items():
+        assert spark.createDataFrame([(path,)], "p string").select(corpus.export_stem(F.col("p"))).first()[0] == want, path
