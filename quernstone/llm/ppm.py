@@ -17,7 +17,10 @@ needs, besides the counts of the orders below.
 
 The unigram base scores words against counts of the whole corpus. Each chunk of
 texts sends the hashes of its different words, in ranges, to the task that sums
-that range, and gets the sums back in the same order.
+that range, and gets the sums back in the same order. A chunk deals by DEAL_BITS
+of the hash at most, so rows are chunks times 2^DEAL_BITS; where that leaves
+ranges too large for a task, chunks of one range are summed to larger ones, which
+deal by the next bits, and the sums go back the same way.
 
 Defined cases: a null text is empty and scores its end alone; without training
 texts all symbols are equally likely; repeated rows are scored each; rows with a
@@ -51,6 +54,10 @@ HELD_PAIRS = 2_000_000
 CHUNK_BYTES = 8 << 20
 #: Different words, about, whose sums one task makes at a time.
 RANGE_WORDS = 1_000_000
+#: Bits of the hash that one exchange deals by.
+DEAL_BITS = 10
+#: Chunks, about, that one range's part of an exchange is put together to.
+PART_CHUNKS = 16
 
 
 def pair_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +326,7 @@ def _chunk_rows(chunk: int, bits: int, doc_ids: list, held: np.ndarray, texts: l
     cuts = np.searchsorted(of, np.arange((1 << bits) + 1))
     for r in np.flatnonzero(np.diff(cuts)).tolist():
         s = slice(cuts[r], cuts[r + 1])
-        yield [chunk, r, _pack(hashes[s]), _pack(learnt[s]), None, None, None, None, None, None]
+        yield [chunk, r, _pack(hashes[s]), _pack(learnt[s].astype(np.uint64)), None, None, None, None, None, None]
     nothing = np.iinfo(np.int64).min
     known = np.array([nothing if x is None else x for x in doc_ids], np.int64)
     steps = np.diff(places, prepend=0).astype(np.int32)
@@ -353,7 +360,7 @@ def _requests(rows: DataFrame, bits: int, tries: list[tuple[int, int, Broadcast]
 def _sum_range(part: pa.Table) -> pa.Table:
     """Counts of every word of one range over all chunks, back to each chunk in its order; chunk -1 gets the totals."""
     words = [_unpack(x, np.uint64) for x in part.column("words").to_pylist()]
-    counts = [_unpack(x, np.uint32) for x in part.column("counts").to_pylist()]
+    counts = [_unpack(x, np.uint64) for x in part.column("counts").to_pylist()]
     found, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
     cuts = np.cumsum([len(w) for w in words])[:-1]
@@ -365,16 +372,87 @@ def _sum_range(part: pa.Table) -> pa.Table:
     })
 
 
+_WORDS = "chunk long, range int, words binary, counts binary, chunks binary, sizes binary, places binary"
+
+
+def _dealt_again(bits: int, seen: int):
+    """Rows of one range after another, summed to larger chunks and dealt by bits more; seen bits are dealt by.
+
+    A chunk's row of range -1 keeps what it was made of: chunks, their numbers of
+    words (sizes) and each word's place.
+    """
+
+    def chunk_rows(number: int, r: int, chunks: list[int], words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        found, places = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(places, weights=np.concatenate(counts), minlength=len(found)).astype(np.uint64)
+        ranges = (found >> np.uint64(64 - seen - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = [(number, -1, None, _pack(np.array([r], np.int64)), _pack(np.array(chunks, np.int64)), _pack(sizes), _pack(places.astype(np.uint32)))]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out.append((number, int(ranges[a]), _pack(found[a:b]), _pack(total[a:b]), None, None, None))
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "range", "words", "counts", "chunks", "sizes", "places"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at, chunks, words, counts, size = TaskContext.get().partitionId() << 32, None, [], [], [], 0
+        for batch in batches:
+            for chunk, r, w, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "range", "words", "counts")), strict=True):
+                if chunks and (r != at or size >= CHUNK_BYTES):
+                    yield chunk_rows(number, at, chunks, words, counts)
+                    number, chunks, words, counts, size = number + 1, [], [], [], 0
+                at = r
+                chunks.append(chunk)
+                words.append(_unpack(w, np.uint64))
+                counts.append(_unpack(n, np.uint64))
+                size += len(words[-1]) * 8
+        if chunks:
+            yield chunk_rows(number, at, chunks, words, counts)
+
+    return deal
+
+
+def _taken_apart(part: pa.Table) -> pa.Table:
+    """Sums for a chunk that was put together, as sums for the chunks that it was made of."""
+    part = part.sort_by("range")  # -1 first
+    get = lambda c, kind: _unpack(part.column(c)[0].as_py(), kind)
+    chunks, sizes, places, r = get("chunks", np.int64), get("sizes", np.int64), get("places", np.uint32), int(get("counts", np.int64)[0])
+    total = np.concatenate([_unpack(x, np.int64) for x in part.column("counts").to_pylist()[1:]])
+    replies = [_pack(x) for x in np.split(total[places], np.cumsum(sizes)[:-1])]
+    nothing = pa.array([0] * len(chunks), pa.int64())
+    return pa.table({"chunk": pa.array(chunks), "range": pa.array([r] * len(chunks), pa.int32()), "counts": pa.array(replies, pa.binary()), "tokens": nothing, "kinds": nothing})
+
+
+_SUMS = "chunk long, range int, counts binary, tokens long, kinds long"
+
+
+def _word_sums(sent: DataFrame, seen: int, left: int, behind: list[DataFrame]) -> DataFrame:
+    """The sums of the words of every row of sent, which is dealt by seen bits, and rows of chunk -1 with totals; left bits are to come."""
+    if not left:
+        return sent.groupBy("range").applyInArrow(_sum_range, _SUMS)
+    bits = min(left, DEAL_BITS)
+    parts = 1 << max(0, left - PART_CHUNKS.bit_length() + 1)  # a range's rows go to several tasks
+    placed = sent.repartition(F.col("range"), F.pmod(F.xxhash64("chunk"), F.lit(parts))).sortWithinPartitions("range")
+    again = materialize(placed.mapInArrow(_dealt_again(bits, seen), _WORDS), "ppm-ranges")
+    behind.append(again)
+    inner = materialize(_word_sums(again.filter("range >= 0").select("chunk", "range", "words", "counts"), seen + bits, left - bits, behind), "ppm-range-sums")
+    behind.append(inner)
+    whole = again.filter("range = -1").select("chunk", "range", "counts", "chunks", "sizes", "places")
+    replies = inner.filter("chunk >= 0").select("chunk", "range", "counts", *(F.lit(None).cast("binary").alias(c) for c in ("chunks", "sizes", "places")))
+    return inner.filter("chunk = -1").unionByName(whole.unionByName(replies).groupBy("chunk").applyInArrow(_taken_apart, _SUMS))
+
+
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     size, learnt = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     tries = train(rows.filter("not held_out"))
     bits = max(4, (size // (4 * RANGE_WORDS)).bit_length())  # if a fourth of all bytes were words new to their chunk
-    chunks = materialize(_requests(rows, bits, tries), "ppm-chunks")
-    sums = materialize(
-        chunks.filter("range >= 0").select("chunk", "range", "words", "counts").groupBy("range").applyInArrow(_sum_range, "chunk long, range int, counts binary, tokens long, kinds long"), "ppm-sums"
-    )
+    first, behind = min(bits, DEAL_BITS), []
+    chunks = materialize(_requests(rows, first, tries), "ppm-chunks")
+    sums = materialize(_word_sums(chunks.filter("range >= 0").select("chunk", "range", "words", "counts"), first, bits - first, behind), "ppm-sums")
+    for used in behind:
+        discard(used)
     tokens, kinds = sums.filter("chunk = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     total, vocabulary = tokens + learnt, kinds + (learnt > 0)
     base = float(np.log10(total + vocabulary + 1))

@@ -6,7 +6,10 @@ the threshold; documents of one connected component get its least id.
 
 1. Nodes send their shingles, in hash ranges, to tasks that count in how many
    nodes each occurs; only those of two nodes or more come back. A node with too
-   few of them to reach the threshold with anything is finished.
+   few of them to reach the threshold with anything is finished. Chunks of nodes
+   deal by DEAL_BITS of the hash at most: rows are chunks times 2^DEAL_BITS. If
+   that leaves ranges too large for a task, rows of one range are put together to
+   chunks again, which deal by the next bits, and replies go back the same way.
 2. Shingles are ordered by that frequency. Two sets that link share one of the
    first ``n - ceil(t * n) + 1`` of either. Nodes of equal prefix and size form
    a group; groups that share a prefix shingle, directly or by way of others,
@@ -52,6 +55,12 @@ CHUNK_BYTES = 8 << 20
 CHUNK_DOCUMENTS = 60_000
 #: Shingles, about, whose frequency one task counts at a time.
 RANGE_SHINGLES = 1_000_000
+#: Bits of the hash that one exchange deals by.
+DEAL_BITS = 10
+#: Bits of a shingle that are sent; those of its first range come on top.
+SENT_BITS = 48
+#: Chunks, about, that one range's part of an exchange is put together to.
+PART_CHUNKS = 16
 #: Shingles, about, of one cell of verification.
 CELL_SHINGLES = 1 << 18
 #: Blocks up to which a family's blocks meet each other, wherever their groups' shingles lie.
@@ -117,10 +126,8 @@ def _sent(bits: int):
         out = []
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[r], cuts[r + 1])
-            low = (hashes[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            high = (hashes[s] >> np.uint64(32)).astype(np.uint32).astype(np.uint16)
             whole = (_pack(np.array(nodes, np.int64)), _pack(sizes)) if r == first else (None, None)
-            out.append((r, chunk, *whole, _pack(np.bincount(rows[s], minlength=count).astype(np.uint32)), low.tobytes(), high.tobytes()))
+            out.append((r, chunk, *whole, _pack(np.bincount(rows[s], minlength=count).astype(np.uint32)), *_halves(hashes[s])))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["range", "chunk", "nodes", "sizes", "per_node", "low", "high"])
 
@@ -145,29 +152,49 @@ def _sent(bits: int):
     return send
 
 
-def _count_range(bits: int):
-    """For each chunk its shingles that two nodes have or more: node numbers, shingles, frequencies."""
+def _per_node_rows(data: bytes) -> np.ndarray:
+    """Node numbers of shingles that lie node after node, from their number by node."""
+    n = _unpack(data, np.uint32)
+    return np.repeat(np.arange(len(n), dtype=np.uint32), n)
+
+
+def _rising(data: bytes) -> np.ndarray:
+    """Rising numbers from their steps."""
+    return np.cumsum(_unpack(data, np.uint32), dtype=np.uint32)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x.astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32))
+
+
+def _joined(low: bytes, high: bytes) -> np.ndarray:
+    """The SENT_BITS of shingles."""
+    return np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32)
+
+
+def _halves(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (hashes >> np.uint64(32)).astype(np.uint32).astype(np.uint16).tobytes()
+
+
+def _count_range(first: int, later: int, rows_of):
+    """For each chunk its shingles that two nodes have or more: node numbers, shingles, frequencies. A range has first bits, and later ones."""
 
     def count(part: pa.Table) -> pa.Table:
-        low = [np.frombuffer(x, np.uint32) for x in part.column("low").to_pylist()]
-        high = [np.frombuffer(x, np.uint16) for x in part.column("high").to_pylist()]
-        counts = [_unpack(x, np.uint32) for x in part.column("per_node").to_pylist()]
-        r = part.column("range")[0].as_py()
-        top = np.uint64(r << (64 - bits))  # beyond 16 bits it overlaps the 48 that were sent, in equal bits
-        hashes = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
+        sent = [_joined(a, b) for a, b in zip(part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)]
+        top = np.uint64(part.column("range")[0].as_py() >> later << (64 - first))
+        hashes = np.concatenate(sent)
         order = np.argsort(hashes)
         ordered = hashes[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         sizes = np.diff(np.r_[starts, len(ordered)])
         frequency = np.empty(len(hashes), np.uint32)
         frequency[order] = np.repeat(sizes, sizes)
-        cuts = np.cumsum([0, *map(len, low)])
+        cuts = np.cumsum([0, *map(len, sent)])
         out = []
-        for chunk, nodes, sizes, n, a, b in zip(part.column("chunk").to_pylist(), part.column("nodes").to_pylist(), part.column("sizes").to_pylist(), counts, cuts[:-1], cuts[1:], strict=True):
+        for chunk, nodes, sizes, rows, a, b in zip(*(part.column(c).to_pylist() for c in ("chunk", "nodes", "sizes", "per_node")), cuts[:-1], cuts[1:], strict=True):
             keep = frequency[a:b] > 1
             if nodes is not None or keep.any():
-                rows = np.repeat(np.arange(len(n), dtype=np.uint32), n)[keep]
-                out.append((chunk, nodes, sizes, _pack(rows), (hashes[a:b][keep] | top).tobytes(), _pack(frequency[a:b][keep])))
+                out.append((chunk, nodes, sizes, _pack(rows_of(rows)[keep]), (hashes[a:b][keep] | top).tobytes(), _pack(frequency[a:b][keep])))
         kinds = [pa.int64(), *[pa.binary()] * 5]
         columns = zip(*out, strict=True) if out else [[]] * 6
         return pa.table({k: pa.array(c, kind) for k, c, kind in zip(["chunk", "nodes", "sizes", "rows", "shingles", "frequency"], columns, kinds, strict=True)})
@@ -175,6 +202,91 @@ def _count_range(bits: int):
     return count
 
 
+def _dealt_again(bits: int, seen: int, rows_of):
+    """Rows of one range after another, put together to chunks and dealt by bits more; seen of those sent are dealt by.
+
+    A chunk's row of range -1 keeps which chunk (nodes, with their numbers of
+    shingles as sizes) and which node of it (per_node) each shingle came from.
+    """
+
+    def chunk_rows(number: int, r: int, chunks: list[int], rows: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(sets)
+        ranges = (hashes >> np.uint64(SENT_BITS - seen - bits)).astype(np.int64) & ((1 << bits) - 1)
+        order = np.argsort(ranges, kind="stable")
+        cuts = np.searchsorted(ranges[order], np.arange((1 << bits) + 1))
+        out = [(-1, number, _pack(np.array(chunks, np.int64)), _pack(np.fromiter(map(len, sets), np.int64, len(sets))), _pack(np.concatenate(rows)), None, None)]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            places = order[cuts[k] : cuts[k + 1]]
+            out.append((r << bits | k, number, None, None, _steps(places), *_halves(hashes[places])))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["range", "chunk", "nodes", "sizes", "per_node", "low", "high"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at, chunks, rows, sets, size = TaskContext.get().partitionId() << 32, None, [], [], [], 0
+        for batch in batches:
+            for r, chunk, row, low, high in zip(*(batch.column(c).to_pylist() for c in ("range", "chunk", "per_node", "low", "high")), strict=True):
+                if chunks and (r != at or size >= CHUNK_BYTES):
+                    yield chunk_rows(number, at, chunks, rows, sets)
+                    number, chunks, rows, sets, size = number + 1, [], [], [], 0
+                at = r
+                chunks.append(chunk)
+                rows.append(rows_of(row))
+                sets.append(_joined(low, high))
+                size += len(sets[-1]) * 8
+        if chunks:
+            yield chunk_rows(number, at, chunks, rows, sets)
+
+    return deal
+
+
+def _taken_apart(part: pa.Table) -> pa.Table:
+    """Replies to a chunk that was put together, as replies to the chunks that it was made of."""
+    own = part.column("nodes").is_valid().to_pylist().index(True)
+    get = lambda c, kind: _unpack(part.column(c)[own].as_py(), kind)
+    chunks, sizes, rows = get("nodes", np.int64), get("sizes", np.int64), get("rows", np.uint32)
+    replies = [k for k in range(part.num_rows) if k != own]
+    of = lambda c: [part.column(c)[k].as_py() for k in replies]
+    out = []
+    if replies:
+        places = np.concatenate([_unpack(x, np.uint32) for x in of("rows")])
+        order = np.argsort(places)
+        places = places[order]
+        shingles = np.concatenate([np.frombuffer(x, np.int64) for x in of("shingles")])[order]
+        frequency = np.concatenate([_unpack(x, np.uint32) for x in of("frequency")])[order]
+        cuts = np.searchsorted(places, np.r_[0, np.cumsum(sizes)])
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            s = slice(cuts[k], cuts[k + 1])
+            out.append((int(chunks[k]), None, None, _pack(rows[places[s]]), shingles[s].tobytes(), _pack(frequency[s])))
+    kinds = [pa.int64(), *[pa.binary()] * 5]
+    columns = zip(*out, strict=True) if out else [[]] * 6
+    return pa.table({k: pa.array(c, kind) for k, c, kind in zip(["chunk", "nodes", "sizes", "rows", "shingles", "frequency"], columns, kinds, strict=True)})
+
+
+_REPLY = "chunk long, nodes binary, sizes binary, rows binary, shingles binary, frequency binary"
+_SENT = "range int, chunk long, nodes binary, sizes binary, per_node binary, low binary, high binary"
+
+
+def _replies(sent: DataFrame, first: int, seen: int, left: int, behind: list[DataFrame]) -> DataFrame:
+    """Shared shingles of the chunks of sent, which is dealt by first bits and seen more; left bits are to come."""
+    rows_of = _rising if seen else _per_node_rows
+    if not left:
+        return sent.groupBy("range").applyInArrow(_count_range(first, seen, rows_of), _REPLY)
+    bits = min(left, DEAL_BITS)
+    sent = materialize(sent, "shingle-ranges")
+    parts = 1 << max(0, left - PART_CHUNKS.bit_length() + 1)  # a range's rows go to several tasks
+    placed = sent.repartition(F.col("range"), F.pmod(F.xxhash64("chunk"), F.lit(parts))).sortWithinPartitions("range")
+    again = materialize(placed.mapInArrow(_dealt_again(bits, seen, rows_of), _SENT), "shingle-ranges")
+    behind += [sent, again]
+    inner = _replies(again.filter("range >= 0"), first, seen + bits, left - bits, behind)
+    whole = again.filter("range = -1").select("chunk", "nodes", "sizes", F.col("per_node").alias("rows"), *(F.lit(None).cast("binary").alias(c) for c in ("shingles", "frequency")))
+    back = whole.unionByName(inner).groupBy("chunk").applyInArrow(_taken_apart, _REPLY)
+    if seen:
+        return back
+    # a chunk's nodes, which no reply brings along here
+    nothing = [F.lit(_pack(np.zeros(0, np.uint32))).alias("rows"), F.lit(b"").alias("shingles"), F.lit(_pack(np.zeros(0, np.uint32))).alias("frequency")]
+    return sent.filter("nodes is not null").select("chunk", "nodes", "sizes", *nothing).unionByName(back)
+
+
 def _needed(n: int) -> int:
     """The least overlap of a set of n with any set that it links to."""
     return -(-PERCENT * n // 100)
@@ -312,15 +424,14 @@ def _labelled(docs: DataFrame) -> DataFrame:
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, int(total // RANGE_SHINGLES).bit_length())
     texts = rows.join(nodes.select("k", "version", "node"), ["k", "version"]).select("node", "text")
-    schema = "range int, chunk long, nodes binary, sizes binary, per_node binary, low binary, high binary"
-    sent = texts.mapInArrow(_sent(bits), schema)
-    known = sent.groupBy("range").applyInArrow(_count_range(bits), "chunk long, nodes binary, sizes binary, rows binary, shingles binary, frequency binary")
+    first, dealt = min(bits, DEAL_BITS), []
+    known = _replies(texts.mapInArrow(_sent(first), _SENT), first, 0, bits - first, dealt)
     left = known.groupBy("chunk").applyInArrow(_survivors, "node long, n long, grp long, prefix array<long>, shingles binary")
     survivors = materialize(left, "survivors")
     cells, behind = _cells(survivors)
     links = cells.groupBy("cell", "i", "j", "across").applyInArrow(_verify_cell, "u long, v long")
     joined = connected_components(links)
-    for used in (survivors, *behind):
+    for used in (survivors, *behind, *dealt):
         discard(used)
     own = nodes.join(joined, "node", "left").select("node", "check", "id", "version", F.coalesce("component", "node").alias("root"))
     least = own.groupBy("root").agg(F.min("id").alias("component_id"), F.min("version").alias("lone"))

@@ -88,6 +88,26 @@ def test_against_brute_force(spark):
     check(spark, docs, rows(spark, docs))
 
 
+def test_word_ranges_dealt_in_several_exchanges(spark, monkeypatch):
+    """Hash ranges beyond the bits of one exchange: the same figures, and no chunk with more rows than one exchange deals to."""
+    docs = helpers.awkward(spark).unionByName(helpers.awkward(spark).withColumn("doc_id", F.col("doc_id") + 1000)).repartition(5)
+    once = sorted(map(tuple, rows(spark, docs)), key=str)
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(ppm, "DEAL_BITS", 3)
+    monkeypatch.setattr(ppm, "RANGE_WORDS", 100)
+    made = []
+    monkeypatch.setattr(ppm, "materialize", lambda df, name, real=ppm.materialize: made.append((name, real(df, name))) or made[-1][1])
+    monkeypatch.setattr(ppm, "discard", lambda df: None)
+    again = sorted(map(tuple, rows(spark, docs)), key=str)
+    assert len(once) == len(again)
+    for a, b in zip(once, again, strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+    dealt = [df for name, df in made if name == "ppm-ranges"]
+    assert len(dealt) > 2
+    for df in dealt:
+        assert df.filter("range >= 0").groupBy("chunk").count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_only_held_out_rows(spark):
     docs = spark.createDataFrame([(k, "some text") for k in range(60) if held(k)], "doc_id long, text string")
     for r in rows(spark, docs):

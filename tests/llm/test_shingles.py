@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import functions as F
 
 from quernstone.llm import shingles
 from quernstone.llm.components import connected_components
@@ -92,6 +93,26 @@ def test_many_hash_ranges(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_ranges_dealt_in_several_exchanges(spark, monkeypatch):
+    """Hash ranges beyond the bits of one exchange, with many chunks in a unit and many units."""
+    monkeypatch.setattr(shingles, "CHUNK_DOCUMENTS", 7)
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 1500)
+    monkeypatch.setattr(shingles, "DEAL_BITS", 3)
+    monkeypatch.setattr(shingles, "RANGE_SHINGLES", 40)
+    made = []
+    monkeypatch.setattr(shingles, "materialize", lambda df, name, real=shingles.materialize: made.append((name, real(df, name))) or made[-1][1])
+    monkeypatch.setattr(shingles, "discard", lambda df: None)
+    rows = near_copies(7, 3, 30, 60)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+    dealt = [df for name, df in made if name == "shingle-ranges"]
+    assert len(dealt) == 4  # three exchanges: two are dealt again
+    for df in dealt:  # no chunk has more rows than one exchange deals to, and units hold many chunks
+        assert df.filter("range >= 0").groupBy("chunk").count().agg(F.max("count")).first()[0] <= 8
+    assert dealt[1].filter("range = -1").count() > 8
+    docs = helpers.awkward(spark)
+    assert found(docs) == brute(helpers.texts_of(docs))
+
+
 def test_rows_that_share_an_id_are_told_apart(spark):
     rows = [(k, helpers.words(30, 100 * i) + " end") for k in (None, 4) for i in range(3)] + [(None, helpers.words(30, 100)), (9, helpers.words(30, 200) + " end")]
     rows += rows[:4]
