@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import SpecError, predicate
 from ..functions.types import is_invalid_number, is_missing, strict_number, temporal, truthy
-from .series import day_bucket, running, shifted, with_ordinal
+from .series import day_bucket, exact_quantiles, expanding_median, running, shifted, with_ordinal
 
 DIGITS = 10
 KINDS: dict[str, Callable[[DataFrame, dict[str, Any]], DataFrame]] = {}
@@ -71,19 +71,34 @@ def _count(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     return _result(one, m["kind"], F.col("n"), F.col("n"), F.lit(True))
 
 
-@kind("first", "last", "min", "max", "mean", "median", "sum", "period_change", "period_pct_change")
+@kind("first", "last", "min", "max", "mean", "sum", "period_change", "period_pct_change")
 def _simple(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     cells, sound = _numbers(rows, m["field"])
     order = F.struct("_at", *m.get("order", []))
     first, last = F.min_by("_v", order), F.max_by("_v", order)
     value = {
-        "first": first, "last": last, "min": F.min("_v"), "max": F.max("_v"), "mean": F.avg("_v"), "median": F.percentile("_v", 0.5), "sum": F.sum("_v"),
+        "first": first, "last": last, "min": F.min("_v"), "max": F.max("_v"), "mean": F.avg("_v"), "sum": F.sum("_v"),
         "period_change": last - first, "period_pct_change": (F.try_divide(last, first) - 1) * 100,
     }[m["kind"]]
     one = cells.agg(value.alias("v"), F.count("_v").alias("n"), sound.alias("sound"))
     return _result(one, m["kind"], F.col("v"), F.col("n"), F.col("sound"))
 
 
+def _with_medians(one: DataFrame, cells: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """one with the median of _v of each named group of cells; values are counted first, and no task holds a group's values."""
+    for name, holds in groups.items():
+        counts = cells.filter(holds & F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_times")).withColumn("_all", F.lit(0))
+        one = one.withColumn("_all", F.lit(0)).join(exact_quantiles(counts, ["_all"], "_v", "_times", {name: 0.5}), "_all", "left").drop("_all")
+    return one
+
+
+@kind("median")
+def _median(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
+    cells, sound = _numbers(rows, m["field"])
+    one = _with_medians(cells.agg(F.count("_v").alias("n"), sound.alias("sound")), cells, {"v": F.lit(True)})
+    return _result(one, m["kind"], F.col("v"), F.col("n"), F.col("sound"))
+
+
 @kind("date_of_min", "date_of_max", "time_of_min", "time_of_max")
 def _when(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     """Of equal extremes the earliest."""
@@ -119,11 +134,12 @@ def _groups(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     if m["kind"] == "group_rate_difference":
         cells = rows.withColumn("_v", predicate(F.col(m["field"]), m["condition"]).cast("double"))
         sound = F.count("_v") == F.count(F.lit(1))
-        figure = F.avg
     else:
         cells, sound = _numbers(rows, m["field"])
-        figure = F.avg if m["kind"] == "group_mean_difference" else lambda c: F.percentile(c, 0.5)
-    a, b = (figure(F.when(g, F.col("_v"))) for g in in_group)
+    if m["kind"] == "group_median_difference":
+        one = _with_medians(cells.agg(F.count("_v").alias("n"), sound.alias("sound")), cells, {"a": in_group[0], "b": in_group[1]})
+        return _result(one, m["kind"], F.col("a") - F.col("b"), F.col("n"), F.col("sound"))
+    a, b = (F.avg(F.when(g, F.col("_v"))) for g in in_group)
     one = cells.agg((a - b).alias("v"), F.count("_v").alias("n"), sound.alias("sound"))
     return _result(one, m["kind"], F.col("v"), F.col("n"), F.col("sound"))
 
@@ -176,15 +192,15 @@ def _pearson(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
 def _intervals(rows: DataFrame, m: dict[str, Any]) -> DataFrame:
     """Each interval between events, in days, against the median of all before it.
 
-    Events are counted by (date, running number); the expanding median is taken
-    over the counts of the intervals' few distinct lengths.
+    Events are numbered day by day; the expanding median goes block by block over
+    the counts of the intervals' distinct lengths, which are few: all lengths
+    together are the days of the window.
     """
     history = int(m.get("minimum_history", 3))
     events = rows.filter(truthy(F.col(m["event_field"]))).select("_at", *m.get("order", [])).withColumn("_day", F.to_date("_at"))
     numbered = with_ordinal(events, ["_at", *m.get("order", [])], F.col("_day"), "_i")
     gaps = shifted(numbered.select("_i", "_day"), "_i", 1, {"_next": "_day"}).select("_i", F.datediff("_next", "_day").cast("double").alias("gap"))
-    upto = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    judged = gaps.select("_i", "gap", F.percentile("gap", 0.5).over(upto).alias("predicted")).filter(F.col("_i") >= history)
+    judged = expanding_median(gaps, "_i", "gap", "predicted").filter(F.col("_i") >= history)
     one = judged.agg(F.avg(F.abs(F.col("gap") - F.col("predicted"))).alias("v"), F.count(F.lit(1)).alias("n"))
     return _result(one, m["kind"], F.col("v"), F.col("n"), F.col("n") > 0)
 

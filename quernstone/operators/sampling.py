@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .series import order_bucket, with_ordinal
+from .series import numbered
 
 
 def evenly_spaced(df: DataFrame, order: list[str], count: int) -> DataFrame:
     """count rows at round(i * (n - 1) / (count - 1)), half to even; the middle one for a count of 1."""
     n = df.count()
     picks = [n // 2] if count == 1 else [round(i * (n - 1) / (count - 1)) for i in range(count)] if n > count else list(range(n))
-    numbered = with_ordinal(df, order, order_bucket(df, order[0]), "_i")
-    return numbered.filter(F.col("_i").isin(sorted(set(picks)))).drop("_i")
+    return numbered(df, order, "_i").filter(F.col("_i").isin(sorted(set(picks)))).drop("_i")
 
 
 def stratified(df: DataFrame, strata: list[str], order: list[str], count: int) -> DataFrame:
@@ -73,7 +72,7 @@ def contrast(df: DataFrame, score: str, tie: list[str], count: int) -> DataFrame
         out = df.orderBy(F.desc(score), *tie).limit(half).withColumn("band", F.lit("high")).unionByName(df.orderBy(*rising).limit(half).withColumn("band", F.lit("low")))
         if count % 2 == 0:
             return out
-    ranked = with_ordinal(df, rising, order_bucket(df, score), "_i")
+    ranked = numbered(df, rising, "_i")
     if count < n:
         return out.unionByName(ranked.filter(F.col("_i") == n - 1 - n // 2).drop("_i").withColumn("band", F.lit("middle")))
     side = F.col("_i") * 2 - (n - 1)
@@ -106,8 +105,7 @@ def round_robin_references(cards: DataFrame, owner: str, refs: str) -> DataFrame
     """(ref, owner, position, rank): references taken in turns over owners, each at its first place only."""
     spread = cards.select(owner, F.posexplode(refs).alias("position", "ref"))
     first = first_occurrences(spread, ["ref"], ["position", owner])
-    bucket = F.struct("position", order_bucket(first, owner).alias("owner"))
-    return with_ordinal(first, ["position", owner], bucket, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return numbered(first, ["position", owner], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def greedy_budget(cards: list[tuple[str, int]], most_cards: int, most_chars: int) -> list[str]:

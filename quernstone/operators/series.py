@@ -6,16 +6,19 @@ windows run in parallel; across buckets they run over one row for each bucket.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import materialize
 
 
 def day_bucket(time: Column) -> Column:
     return F.to_date(time)
 
 
-def with_ordinal(df: DataFrame, order: list[str], bucket: Column, name: str = "ordinal") -> DataFrame:
+def with_ordinal(df: DataFrame, order: list[str | Column], bucket: Column, name: str = "ordinal") -> DataFrame:
     """df with each row's number from 0 in the given order; bucket must rise with the order's first column."""
     cut = df.withColumn("_bucket", bucket)
     sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -49,15 +52,51 @@ def shifted(df: DataFrame, ordinal: str, by: int, columns: dict[str, str]) -> Da
     return df.join(later, ordinal)
 
 
-def order_bucket(df: DataFrame, column: str) -> Column:
-    """A bucket that rises with a column, nulls first: ranges of whole numbers, days of times, leading characters of texts."""
-    kind = df.schema[column].dataType
-    c = F.col(column)
-    if isinstance(kind, T.NumericType):
-        return F.coalesce(F.floor(c.cast("double") / (4096 if isinstance(kind, T.IntegralType) else 1)), F.lit(-(1 << 63)))
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.to_date(c), F.lit("0001-01-01").cast("date"))
-    return F.coalesce(F.left(c.cast("string"), F.lit(3)), F.lit(""))
+def numbered(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:
+    """df with each row's number from 0 in any total order: buckets are ranges that Spark cuts by a sample of the order's columns.
+
+    Rows with their buckets are written once, as another sample would cut them elsewhere.
+    """
+    cut = materialize(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()), "ordinals")
+    return with_ordinal(cut, order, F.col("_bucket"), name)
+
+
+#: Rows of a block of an expanding median.
+MEDIAN_BLOCK = 4096
+
+
+def expanding_median(rows: DataFrame, ordinal: str, value: str, name: str) -> DataFrame:
+    """ordinal, value and the median of all values of smaller ordinals (null for none), for values with few different ones.
+
+    A block of ordinals gets the counts of the different values before it and adds
+    its own rows one after another. Ordinals are whole numbers from 0, each once.
+    """
+    cut = materialize(rows.select(F.floor(F.col(ordinal) / MEDIAN_BLOCK).alias("block"), F.col(ordinal).alias("at"), F.col(value).cast("double").alias("v")), "median-blocks")
+    last = cut.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    by_value = Window.partitionBy("v").orderBy("block")
+    counts = cut.groupBy("v", "block").agg(F.count(F.lit(1)).alias("n"))
+    # what a value has come to after a block holds until the block in which it comes again
+    since = counts.select("v", "block", F.sum("n").over(by_value).alias("upto"), F.coalesce(F.lead("block").over(by_value), F.lit(last)).alias("until"))
+    before = since.filter("until > block").select(F.explode(F.sequence(F.col("block") + 1, F.col("until"))).alias("block"), F.lit(None).cast("long").alias("at"), "v", "upto")
+    both = cut.select("block", F.col("at").cast("long"), "v", F.lit(None).cast("long").alias("upto")).unionByName(before)
+
+    def medians(part: pd.DataFrame) -> pd.DataFrame:
+        own = part[part["at"].notna()].sort_values("at")
+        values = np.unique(part["v"].to_numpy())
+        times = np.zeros(len(values), np.int64)
+        held = part[part["at"].isna()]
+        times[np.searchsorted(values, held["v"].to_numpy())] = held["upto"].to_numpy().astype(np.int64)
+        found, total = np.full(len(own), np.nan), int(times.sum())
+        for k, place in enumerate(np.searchsorted(values, own["v"].to_numpy())):
+            if total:
+                low, high = np.searchsorted(np.cumsum(times), [(total - 1) // 2, total // 2], side="right")
+                found[k] = (values[low] + values[high]) / 2
+            times[place] += 1
+            total += 1
+        return pd.DataFrame({"at": own["at"].astype("int64"), "v": own["v"], "median": found})
+
+    out = both.groupBy("block").applyInPandas(medians, "at long, v double, median double")
+    return out.select(F.col("at").alias(ordinal), F.col("v").alias(value), F.nanvl("median", F.lit(None)).alias(name))
 
 
 #: Cuts of the distinct values of a group, between which its quantiles are looked for.

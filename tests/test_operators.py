@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -253,3 +254,24 @@ def test_integrity(spark):
     c = spark.createDataFrame([(5, 1.005), (7, 2.0)], "id int, v double")
     assert {(r.id, r.problem) for r in matching.reconcile(b, c, ["id"], "v").collect()} == {(6, "one_side"), (7, "one_side")}
     assert matching.duplicate_keys(a.unionByName(a), ["id"]).count() == 3
+
+
+def test_numbers_of_any_order(spark):
+    """Texts with one prefix, fractions, nulls, falling orders: numbers follow the order, whatever the cuts."""
+    rows = [(f"Customer#{i % 37:09d}" if i % 11 else None, (i * 7919 % 1000) / 1000, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "name string, score double, id int").repartition(6)
+    got = {r.id: r.n for r in series.numbered(df, ["name", F.desc("score"), "id"], "n").collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", -r[1], r[2]))
+    assert [got[r[2]] for r in want] == list(range(500))
+    plan = series.numbered(df, ["score", "id"])
+    assert plan.columns == ["name", "score", "id", "ordinal"] and series.numbered(df.limit(0), ["id"]).count() == 0
+
+
+def test_expanding_median_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(series, "MEDIAN_BLOCK", 8)
+    draw = random.Random(5)
+    values = [float(draw.choice([0, 0, 1, 2, 2, 5, 90 if i > 60 else 3])) for i in range(101)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double").repartition(4)
+    got = {r.i: r.m for r in series.expanding_median(df, "i", "v", "m").collect()}
+    assert got == {i: statistics.median(values[:i]) if i else None for i in range(101)}
+    assert series.expanding_median(df.limit(0), "i", "v", "m").count() == 0
