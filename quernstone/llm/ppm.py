@@ -51,7 +51,7 @@ SHARD_PAIRS = 4_000_000
 #: Different pairs that a task sums up before it sends them on.
 HELD_PAIRS = 2_000_000
 #: Text bytes of one chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Different words, about, whose sums one task makes at a time.
 RANGE_WORDS = 1_000_000
 #: Bits of the hash that one exchange deals by.
