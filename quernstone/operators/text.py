@@ -155,6 +155,20 @@ def conversation_profile(turns: DataFrame, key: str = "conv_id", kind: str | Non
     )
 
 
+def rank_exports(messages: DataFrame, conversation: str, path: str, message: str, size: Column) -> DataFrame:
+    """(conversation, path, unique_messages, messages, size_bytes, rank, canonical_path, status) of every export of a conversation.
+
+    The canonical export has the most different messages, then the most messages, then
+    bytes, then the last path; the others are its variants. size is a message's bytes.
+    Messages are counted before exports meet, so a conversation's window holds a row an export.
+    """
+    once = messages.groupBy(conversation, path, message).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+    exports = once.groupBy(conversation, path).agg(F.count(F.lit(1)).alias("unique_messages"), F.sum("n").alias("messages"), F.coalesce(F.sum("b"), F.lit(0)).alias("size_bytes"))
+    w = Window.partitionBy(conversation).orderBy(F.desc("unique_messages"), F.desc("messages"), F.desc("size_bytes"), F.desc(path))
+    rank = F.row_number().over(w)
+    return exports.select("*", rank.alias("rank"), F.first(path).over(w).alias("canonical_path")).withColumn("status", F.when(F.col("rank") == 1, "canonical").otherwise("variant"))
+
+
 def top_senders(turns: DataFrame, key: str, sender: str, n: int = 8) -> DataFrame:
     """The n most frequent senders of each conversation with their share; ties by name."""
     counts = turns.groupBy(key, sender).agg(F.count(F.lit(1)).alias("messages"))

@@ -10,7 +10,7 @@ from ..functions import types as ty
 from ..operators import corpus, matching, sampling
 from ..operators import text as ot
 from ..session import scratch_dir, table
-from ..sources import files
+from ..sources import bodies, files
 from ..streaming import events as se
 from .catalog import query
 
@@ -48,6 +48,23 @@ def chat_profile(spark: SparkSession, sf: str) -> DataFrame:
     return ot.conversation_profile(table(spark, sf, "conversations"))
 
 
+@query("""WITH m AS (SELECT conv_id // 3 AS conversation, concat('chat/', conv_id, '.json') AS path, md5(concat(role, '|', text)) AS k, strlen(text) AS b FROM conversations),
+    e AS (SELECT conversation, path, count(DISTINCT k) AS unique_messages, count(*) AS messages, CAST(coalesce(sum(b), 0) AS BIGINT) AS size_bytes FROM m GROUP BY 1, 2)
+    SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, first_value(path) OVER w AS canonical_path, CASE WHEN row_number() OVER w = 1 THEN 'canonical' ELSE 'variant' END AS status FROM e
+    WINDOW w AS (PARTITION BY conversation ORDER BY unique_messages DESC, messages DESC, size_bytes DESC, path DESC)""")
+def canonical_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Three neighbouring conversations as exports of one."""
+    c = table(spark, sf, "conversations")
+    m = c.select(F.floor(F.col("conv_id") / 3).alias("conversation"), F.concat(F.lit("chat/"), F.col("conv_id"), F.lit(".json")).alias("path"), F.md5(F.concat_ws("|", "role", "text")).alias("k"), F.octet_length("text").alias("b"))
+    return ot.rank_exports(m, "conversation", "path", "k", F.col("b"))
+
+
+@query()
+def page_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Body, title and authors of every page's article; an HTML parser is beyond SQL."""
+    return bodies.page_bodies(table(spark, sf, "pages"), "page_id", "html", tag="article").drop("images")
+
+
 @query("""WITH p AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (length(trim(text)) >= 4) AS content_turns, count(text) - count(DISTINCT text) AS repeated_texts FROM conversations GROUP BY 1)
     SELECT CASE WHEN turns >= 5 THEN 'long' ELSE 'short' END AS length_class, count(*) AS conversations, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(content_turns) AS BIGINT) AS content_turns,
     CAST(sum(repeated_texts) AS BIGINT) AS repeated_texts, round(sum(content_turns) / sum(turns), 4) AS content_turns_rate, round(sum(repeated_texts) / sum(turns), 4) AS repeated_texts_rate FROM p GROUP BY 1""")
