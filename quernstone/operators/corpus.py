@@ -110,6 +110,28 @@ def inventory_summary(files: DataFrame) -> DataFrame:
     return out
 
 
+#: What files of a role are called until someone looks at them.
+FAMILIES = {
+    "performance_table": "表现数据", "tabular_data": "待筛查表格", "visual_layout": "视觉资产", "audience_voice": "评论与用户声音", "audio_video": "音视频课程或演示", "unclassified": "待识别资料",
+}
+OTHER_TEXTS = "其他正文"
+
+
+def provisional_family(business_role: Column, evidence_role: Column, category: Column) -> Column:
+    """The business role, else a text's category, else the name of the evidence role; empty values count as absent."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    role = F.coalesce(given(evidence_role), F.lit("unclassified"))
+    named = F.when(role == "content_text", F.coalesce(given(category), F.lit(OTHER_TEXTS)))
+    for key, name in FAMILIES.items():
+        named = named.when(role == key, name)
+    return F.coalesce(given(business_role), named.otherwise(role))
+
+
+def canonical_counts(files: DataFrame, label: Column, otherwise: str) -> DataFrame:
+    """(label, files) of the canonical files; a file that doesn't say whether it is canonical is."""
+    return files.filter(F.coalesce("canonical", F.lit(True))).groupBy(F.coalesce(F.nullif(label, F.lit("")), F.lit(otherwise)).alias("label")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def star_edges(rows: DataFrame, key: Column, node: str, kind: str, order: list[str]) -> DataFrame:
     """Edges from the first node of each key to the others: as many as nodes, never a pair for every two."""
     keyed = rows.select(key.alias("_key"), node, *[o for o in order if o != node]).filter("_key is not null")

@@ -346,6 +346,19 @@ def inventory_summary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.inventory_summary(corpus.mark_canonical(_files(spark, sf))).withColumn("level", F.col("level").cast("long"))
 
 
+_ROLES = ("content_text", *corpus.FAMILIES, "archive", "")
+
+
+@query(f"""WITH d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN lang END AS business, {list(_ROLES)}[1 + CAST(doc_id % {len(_ROLES)} AS INTEGER)] AS role, source FROM documents),
+    n AS (SELECT coalesce(nullif(business, ''), CASE WHEN role = 'content_text' THEN coalesce(nullif(source, ''), '{corpus.OTHER_TEXTS}') WHEN role = '' THEN '{corpus.FAMILIES["unclassified"]}'
+        {" ".join(f"WHEN role = '{k}' THEN '{v}'" for k, v in corpus.FAMILIES.items())} ELSE role END) AS label FROM d)
+    SELECT label, count(*) AS files FROM n GROUP BY 1""")
+def family_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files with roles by id, counted by provisional family."""
+    d = table(spark, sf, "documents").withColumn("role", F.get(F.array(*map(F.lit, _ROLES)), (F.col("doc_id") % len(_ROLES)).cast("int"))).withColumn("canonical", F.lit(None).cast("boolean"))
+    return corpus.canonical_counts(d, corpus.provisional_family(F.when(F.col("doc_id") % 5 == 0, F.col("lang")), F.col("role"), F.col("source")), "unclassified")
+
+
 @query("""WITH h AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS source FROM documents)
     SELECT 'edge-' || left(sha256('duplicate|' || source || '|' || doc_id), 16) AS edge_id, source, doc_id AS target, 'duplicate' AS kind FROM h WHERE source <> doc_id""")
 def source_graph_edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import duckdb
 import pytest
 
+from quernstone.operators import corpus
 from quernstone.operators import text as ot
 from quernstone.plans import catalog_text
 from quernstone.sources import bodies, files
@@ -97,3 +98,28 @@ def test_canonical_export_by_every_tie(spark):
     got = {(r.conv, r.path): (r.unique_messages, r.messages, r.rank, r.canonical_path, r.status) for r in ot.rank_exports(spark.createDataFrame(rows, "conv string, path string, m string, b int"), "conv", "path", "m", ot.F.col("b")).collect()}
     assert got["c", "p3"] == (2, 3, 1, "p3", "canonical") and got["c", "p2"] == (2, 2, 2, "p3", "variant") and got["c", "p1"][2] == 3
     assert got["d", "q2"][4] == "canonical" and got["e", "r2"][4] == "canonical" and got[None, "s"][4] == "canonical"
+
+
+def segment(marker, body=b""):
+    return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def test_image_headers(spark):
+    frame = b"\x08" + (20).to_bytes(2, "big") + (30).to_bytes(2, "big") + b"\x01" + b"\0" * 3
+    start = b"\xff\xd8"
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR"
+    data = {
+        "first": (start + segment(0xC0, frame), 30, 20), "later": (start + segment(0xE0, b"JFIF") + segment(0xC4, b"x" * 40) + b"\xff\xff\x01" + segment(0xC2, frame), 30, 20), "pixels": (start + segment(0xDA, b"x" * 9) + segment(0xC0, frame), None, None),
+        "cut": (start + segment(0xE0, b"x" * 50)[:20], None, None), "bare": (start, None, None), "png": (png + (7).to_bytes(4, "big") * 2, 7, 7), "short": (png + b"\0\0", None, None), "none": (None, None, None), "text": (b"hello", None, None),
+        "looped": (start + b"\xff\xe0\0\0" + b"\0" * 20, None, None),
+    }
+    rows = spark.createDataFrame([(k, None if v[0] is None else bytearray(v[0])) for k, v in data.items()], "path string, content binary")
+    got = {r.path: r for r in files.image_profiles(rows).collect()}
+    assert {k: (got[k].width, got[k].height) for k in data} == {k: v[1:] for k, v in data.items()}
+    assert (got["first"].aspect_ratio, got["first"].orientation, got["first"].pixel_status) == (1.5, "landscape", "readable") and got["png"].orientation == "square"
+    assert got["text"].pixel_status == "unreadable" and got["text"].orientation is None
+
+
+def test_canonical_counts(spark):
+    rows = spark.createDataFrame([("a", True), ("a", None), ("a", False), ("", True), (None, True)], "role string, canonical boolean")
+    assert {tuple(r) for r in corpus.canonical_counts(rows, ot.F.col("role"), "file").collect()} == {("a", 2), ("file", 2)}
