@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +15,44 @@ MINIMUM_RATIO = 0.72
 AMBIGUOUS_GAP = 0.03
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        out.append(None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio())
-    return pd.Series(out, dtype="float64")
+#: Titles and characters of a cell, in the mean; cells of a block meet as rows, titles only inside them.
+CELL_TITLES = 512
+CELL_CHARS = 1 << 20
+#: Characters are counted in so many classes for the bound on the ratio; classes that share characters only loosen it.
+CLASSES = 64
+
+
+def _profile(titles: list[str]) -> np.ndarray:
+    out = np.zeros((len(titles), CLASSES), dtype=np.int32)
+    for i, t in enumerate(titles):
+        codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % CLASSES
+        out[i] = np.bincount(codes, minlength=CLASSES)
+    return out
+
+
+def cell_ratios(a: list[str], b: list[str], minimum: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of the pairs that reach minimum: only those whose lengths and common characters let them are compared."""
+    left, right = _profile(a), _profile(b)
+    sizes = left.sum(1)
+    matcher = difflib.SequenceMatcher(None)
+    for j, other in enumerate(b):
+        total = sizes + len(other)
+        common = np.minimum(left, right[j]).sum(1)
+        matcher.set_seq2(other)
+        for i in np.flatnonzero(2 * common >= minimum * total - 1e-9):
+            matcher.set_seq1(a[i])
+            ratio = matcher.ratio()
+            if ratio >= minimum:
+                yield int(i), j, ratio
+
+
+def _cells(rows: DataFrame, block: list[str], key: str, title: str, name: str) -> DataFrame:
+    """(block, name, name_n, name_rows): the different (key, title) of every block, dealt by hash to cells of bounded mean size."""
+    rows = rows.filter(F.col(title).isNotNull()).select(*block, F.col(key).alias("k"), F.col(title).alias("t")).distinct()
+    size = F.greatest(F.count(F.lit(1)) / CELL_TITLES, F.sum(F.length("t")) / CELL_CHARS)
+    counts = rows.groupBy(*block).agg(F.ceil(F.greatest(size, F.lit(1.0))).cast("int").alias(f"{name}_n"))
+    dealt = rows.join(counts, block).withColumn(name, F.pmod(F.xxhash64("k", "t"), F.col(f"{name}_n")).cast("int"))
+    return dealt.groupBy(*block, name, f"{name}_n").agg(F.collect_list(F.struct("k", "t")).alias(f"{name}_rows"))
 
 
 def exact_match(items: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,13 +63,23 @@ def exact_match(items: DataFrame, groups: DataFrame, keys: list[str]) -> DataFra
 def fuzzy_match(items: DataFrame, groups: DataFrame, block: list[str], item_key: str, item_title: str, group_key: str, group_title: str, minimum: float = MINIMUM_RATIO, gap: float = AMBIGUOUS_GAP) -> DataFrame:
     """The best title inside the block, if similar enough; ambiguous if the runner-up is as good and close.
 
-    Blocks are equi-join keys (a date), so candidates are bounded by the block. A
-    bound on the ratio by the lengths drops most pairs before the Python ratio.
+    Blocks are equi-join keys (a date). The titles of a block lie in cells; each cell of
+    items is copied to the block's cells of groups, so a hot block is spread over as
+    many tasks as it has cells, and only pairs that reach minimum become rows. Inside a
+    pair of cells, counts of characters bound the ratio before it is computed.
+    Null titles match nothing, two empty ones match.
     """
-    pairs = items.select(*block, item_key, item_title).join(groups.select(*block, group_key, group_title), block)
-    a, b = F.length(item_title), F.length(group_title)
-    possible = pairs.filter(2 * F.least(a, b) >= minimum * (a + b))
-    scored = possible.withColumn("ratio", _ratio(item_title, group_title)).filter(F.col("ratio") >= minimum)
+    left, right = _cells(items, block, item_key, item_title, "a"), _cells(groups, block, group_key, group_title, "b")
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("ratio", T.DoubleType())])))
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"i": i, "j": j, "ratio": r} for i, j, r in cell_ratios(list(x), list(y), minimum)] for x, y in zip(a, b, strict=True)], dtype="object")
+
+    spread = left.join(right.select(*block, "b_n").distinct(), block).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("b_n") - 1))).drop("b_n")
+    met = spread.join(right.drop("b_n"), [*block, "b"])
+    named = lambda p: F.struct(F.get("a_rows", p["i"])["k"].alias("x"), F.get("b_rows", p["j"])["k"].alias("y"), p["ratio"].alias("ratio"))
+    found = met.withColumn("p", ratios(F.col("a_rows.t"), F.col("b_rows.t"))).select(F.explode(F.transform("p", named)).alias("p"))  # pairs alone are exploded, not their cells
+    scored = found.select(F.col("p.x").alias(item_key), F.col("p.y").alias(group_key), "p.ratio")
     w = Window.partitionBy(item_key).orderBy(F.desc("ratio"), group_key)
     best = scored.select(item_key, group_key, "ratio", F.row_number().over(w).alias("n"), F.lead("ratio").over(w).alias("next")).filter("n = 1")
     status = F.when(F.col("next").isNotNull() & (F.round(F.col("ratio") - F.col("next"), 9) < gap), "ambiguous").otherwise("matched")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import difflib
+import random
 
 from quernstone.operators import matching
 from quernstone.plans import catalog_media, catalog_text
@@ -59,3 +60,23 @@ def test_whole_turns_are_compared(spark, tmp_path):
 def test_whole_titles(spark, tmp_path):
     spark.createDataFrame([(1, "A b. " * 40 + "End")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog_text.compact_titles(spark, str(tmp_path)).first().title == "ab" * 40 + "end"
+
+
+def test_titles_of_a_hot_block_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CELL_TITLES", 4)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcde字") for _ in range(rng.randint(0, 9)))
+    base = [word() for _ in range(12)]
+    side = lambda first: [(first + 2 * i, "hot" if i < 20 else rng.choice(["x", None]), None if i == 7 else rng.choice(base)[: rng.randint(0, 9)] + rng.choice(["", "a"])) for i in range(30)]
+    items, groups = side(0), side(1)
+    groups.append(groups[0])  # a repeated row is no runner-up of itself
+    want = {}
+    for k, block, title in items:
+        ratios = sorted((-difflib.SequenceMatcher(None, title, t).ratio(), g) for g, other, t in set(groups) if block is not None and other == block and title is not None and t is not None)
+        ratios = [(-r, g) for r, g in ratios if -r >= 0.72]
+        status = "none" if not ratios else "ambiguous" if len(ratios) > 1 and round(ratios[0][0] - ratios[1][0], 9) < 0.03 else "matched"
+        want[k] = (status, ratios[0][1] if status == "matched" else None, round(ratios[0][0], 6) if ratios else None)
+    a, b = spark.createDataFrame(items, "id long, day string, title string"), spark.createDataFrame(groups, "g long, day string, other string")
+    found = matching.fuzzy_match(a, b, ["day"], "id", "title", "g", "other")
+    assert {r.id: (r.status, r.g, r.ratio) for r in found.collect()} == want and len({x[0] for x in want.values()}) == 3
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
