@@ -86,6 +86,12 @@ def group_key(c: Column) -> Column:
     return F.coalesce(F.nullif(text(c), F.lit("")), F.lit(MISSING_KEY))
 
 
+def scaled_round(c: Column, digits: int) -> Column:
+    """A double rounded as C does, from the scaled double; F.round goes by its shortest decimal text, which differs where that ends in a 5."""
+    scale = F.lit(10.0**digits)
+    return F.round(c * scale) / scale
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null if either is null or b is zero."""
     return F.try_divide(a, b)

@@ -67,8 +67,9 @@ def image_mapping(spark: SparkSession, sf: str) -> DataFrame:
     SELECT path, event_type AS mode, mean_confidence, characters, round(mean_confidence * least(1.0, characters / 20), 1) AS score FROM r
     QUALIFY row_number() OVER (PARTITION BY path ORDER BY mean_confidence * least(1.0::DOUBLE, characters / 20) DESC, characters DESC, event_type) = 1""")
 def best_ocr_run(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "events").groupBy(F.col("user_id").alias("path"), F.col("event_type").alias("mode")).agg(F.round(F.avg("value"), 3).alias("mean_confidence"), F.count(F.lit(1)).alias("characters"))
-    return media.best_ocr_run(runs).withColumn("score", F.round("score", 1))
+    runs = table(spark, sf, "events").groupBy(F.col("user_id").alias("path"), F.col("event_type").alias("mode")).agg(ty.scaled_round(F.avg("value"), 3).alias("mean_confidence"), F.count(F.lit(1)).alias("characters"))
+    # rounded once: four digits first would lift 0.04996 to 0.1
+    return media.best_ocr_run(runs).withColumn("score", ty.scaled_round(media.ocr_score(), 1))
 
 
 @query()

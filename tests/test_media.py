@@ -81,3 +81,15 @@ def test_capture_units(spark):
     exports = {"x/sales_2024-01-05.csv": "sales", "sales export_12.csv": "sales", "20240105.csv": "unnamed_export", "订单1月5日.csv": "订单", "sales1234567890.csv": "sales"}
     for path, want in exports.items():
         assert spark.createDataFrame([(path,)], "p string").select(corpus.export_stem(F.col("p"))).first()[0] == want, path
+
+
+def test_best_ocr_run_rounds_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(1, "view", v) for v in (64.95, 64.965)] + [(2, "click", 0.04996)] * 25 + [(3, "view", 57.9025)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sql = entry.oracle_sql()["best_ocr_run"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = entry.queries()["best_ocr_run"](spark, str(tmp_path)).select("path", "mode", "mean_confidence", "characters", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
