@@ -92,6 +92,13 @@ def scaled_round(c: Column, digits: int) -> Column:
     return F.round(c * scale) / scale
 
 
+def exact_sum(c: Column) -> Column:
+    """Aggregate: the sum of doubles that are decimals of at most ten places, the same in any order; else their plain sum."""
+    cell = c.try_cast("decimal(28,10)")
+    held = F.count_if(c.isNotNull() & ~F.coalesce(cell.cast("double") == c, F.lit(False))) == 0
+    return F.coalesce(F.when(held, F.try_sum(cell).cast("double")), F.sum(c))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null if either is null or b is zero."""
     return F.try_divide(a, b)

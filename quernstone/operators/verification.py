@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SpecError, predicate
-from ..functions.types import is_invalid_number, is_missing, strict_number, temporal
+from ..functions.types import exact_sum, is_invalid_number, is_missing, strict_number, temporal
 from .measure import DIGITS, KINDS, measure
 
 #: Different measurements of one aggregation; windows and findings may be any number.
@@ -110,7 +110,7 @@ def _figure(scan: _Scan, m: dict[str, Any], inside: Column) -> Figure:
         first, last = F.min_by(value, order), F.max_by(value, order)
         found = {"first": first, "last": last, "period_change": last - first, "period_pct_change": (F.try_divide(last, first) - 1) * 100}[kind]
     else:
-        found = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum, "median": lambda c: F.percentile(c, 0.5)}[kind](own)
+        found = {"min": F.min, "max": F.max, "mean": F.avg, "sum": exact_sum, "median": lambda c: F.percentile(c, 0.5)}[kind](own)
     return found, none, n, sound
 
 

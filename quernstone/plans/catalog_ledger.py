@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_ENDS, compact_title
+from ..functions.types import exact_sum
 from ..operators import evidence, increments, prefixes, smooth, verification
 from ..session import table
 from .catalog import query
@@ -51,7 +52,7 @@ def ledger_reverification(spark: SparkSession, sf: str) -> DataFrame:
     off = F.when(F.right("month", F.lit(2)).cast("int") % 3 == 0, 1).otherwise(0)
     price = F.col("o_totalprice")
     told = within.groupBy("month").agg(
-        F.count(F.lit(1)).alias("count"), F.sum(price).alias("sum"), F.min(price).alias("min"), F.max(price).alias("max"), F.avg(price).alias("mean"), F.avg((price > 150000).cast("double")).alias("proportion"),
+        F.count(F.lit(1)).alias("count"), exact_sum(price).alias("sum"), F.min(price).alias("min"), F.max(price).alias("max"), F.avg(price).alias("mean"), F.avg((price > 150000).cast("double")).alias("proportion"),
         (group("1-URGENT") - group("5-LOW")).alias("group_mean_difference"), F.date_format(F.max_by("o_orderdate", F.struct(price, -F.unix_date(F.to_date("o_orderdate")))), "yyyy-MM-dd").alias("date"),
     ).withColumn("count", F.col("count") + off)
     figures = [k for k in _MONTHLY if k not in ("median", "date_of_max")]
