@@ -80,3 +80,11 @@ def test_titles_of_a_hot_block_in_cells(spark, monkeypatch):
     found = matching.fuzzy_match(a, b, ["day"], "id", "title", "g", "other")
     assert {r.id: (r.status, r.g, r.ratio) for r in found.collect()} == want and len({x[0] for x in want.values()}) == 3
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_customers_of_any_order_are_matched(spark, tmp_path):
+    """An order of any price matches its customer."""
+    spark.createDataFrame([(k,) for k in range(5)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 400_000.0), (3, 20.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog_text.unmatched_customers(spark, str(tmp_path))
+    assert sorted(r.key for r in got.collect()) == [0, 2, 4]
