@@ -32,16 +32,17 @@ def _num(value: Any) -> Column:
     return F.lit(float(str(value).replace(",", "").rstrip("%")))
 
 
-def predicate(observed: Column, spec: dict[str, Any]) -> Column:
+def predicate(observed: Column, spec: dict[str, Any], number: Column | None = None) -> Column:
     """Whether observed satisfies spec {operator, value, tolerance}; null where it is no valid operand.
 
     between is inclusive, and numeric if its bounds are, else temporal with the
     upper bound at the day's end. eq compares numbers, else times, else trimmed text.
+    number is observed's strict_number, where the caller has it.
     """
     operator, value = spec.get("operator"), spec.get("value")
     if operator not in OPERATORS:
         raise SpecError(f"unsupported predicate operator: {operator!r}")
-    number = strict_number(observed)
+    number = strict_number(observed) if number is None else number
     if operator in ("between", "outside"):
         if not isinstance(value, (list, tuple)) or len(value) != 2:
             raise SpecError(f"{operator} requires two values")

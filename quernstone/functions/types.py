@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a number once commas are gone; "nan", "inf" and "1_000" don't.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -48,6 +49,13 @@ def strict_number(c: Column) -> Column:
     return finite(F.when(plain.rlike(NUMBER), plain.try_cast("double")))
 
 
+def strict_number_of(df: DataFrame, column: str) -> Column:
+    """strict_number of a column; one that holds numbers needn't be read as text. Floats are: their text is another double."""
+    if isinstance(df.schema[column].dataType, (T.IntegralType, T.DoubleType, T.DecimalType)):
+        return finite(F.col(column).cast("double"))
+    return strict_number(F.col(column))
+
+
 def is_invalid_number(c: Column) -> Column:
     """Present, but not a number: an error where a strict operator needs one."""
     return ~is_missing(c) & strict_number(c).isNull()

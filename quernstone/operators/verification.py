@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SpecError, predicate
-from ..functions.types import exact_sum, is_invalid_number, is_missing, strict_number, temporal
+from ..functions.types import exact_sum, is_invalid_number, is_missing, strict_number_of, temporal
 from .measure import DIGITS, KINDS, measure
 
 #: Different measurements of one aggregation; windows and findings may be any number.
@@ -53,7 +53,7 @@ class _Scan:
         return self._shared("at", lambda: temporal(F.col(self.time)) if given == "string" else F.col(self.time).cast("timestamp_ntz"))
 
     def number(self, field: str) -> Column:
-        return self._shared(f"number {field}", lambda: strict_number(F.col(field)))
+        return self._shared(f"number {field}", lambda: strict_number_of(self.df, field))
 
     def invalid(self, field: str) -> Column:
         return self._shared(f"invalid {field}", lambda: is_invalid_number(F.col(field)))
@@ -62,7 +62,7 @@ class _Scan:
         return self._shared(f"present {field}", lambda: ~is_missing(F.col(field)))
 
     def holds(self, field: str, condition: dict[str, Any]) -> Column:
-        return self._shared(f"holds {field} {json.dumps(condition, sort_keys=True)}", lambda: predicate(F.col(field), condition))
+        return self._shared(f"holds {field} {json.dumps(condition, sort_keys=True)}", lambda: predicate(F.col(field), condition, strict_number_of(self.df, field)))
 
     def prepared(self) -> DataFrame:
         return self.df.select("*", *(c.alias(f"_{k}") for k, c in enumerate(self.columns.values())))

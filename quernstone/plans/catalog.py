@@ -352,9 +352,13 @@ PREDICATES = {
 @query("UNION ALL".join(f" SELECT '{k}' AS operator, count(*) FILTER ({sql}) AS matches, count(*) AS rows FROM events " for k, (sql, _) in PREDICATES.items()))
 def predicate_matrix(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.predicates import predicate
+    from ..functions.types import strict_number_of
 
-    holds = F.array(*(F.struct(F.lit(k).alias("operator"), predicate(F.col("value"), {"operator": k, "value": v, "tolerance": 0.5}).alias("holds")) for k, (_, v) in PREDICATES.items()))
-    return table(spark, sf, "events").select(F.explode(holds).alias("p")).groupBy("p.operator").agg(F.count_if("p.holds").alias("matches"), F.count(F.lit(1)).alias("rows"))
+    events = table(spark, sf, "events")
+    number = strict_number_of(events, "value")
+    # one pass, one row: a row is not multiplied by the operators
+    counts = events.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(predicate(F.col("value"), {"operator": k, "value": v, "tolerance": 0.5}, number)).alias(k) for k, (_, v) in PREDICATES.items()))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("operator"), F.col(k).alias("matches"), F.col("rows").alias("rows")) for k in PREDICATES))))
 
 
 # inference

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,26 @@ def test_strip_is_linear_in_inner_white_space(spark):
 
 def test_nfkc_sends_only_other_scripts_to_python(spark):
     assert one(spark, "Ａ１ Plain", ft.nfkc) == "A1 Plain" and one(spark, "Plain", ft.nfkc) == "Plain" and one(spark, None, ft.nfkc) is None
+
+
+def test_numbers_are_not_read_as_text(spark):
+    from quernstone.functions.predicates import OPERATORS, predicate
+    from quernstone.functions.types import strict_number, strict_number_of
+
+    values = [None, 0.0, -0.0, 12.0, 11.5, -4.0, 1e-7, 1.5e300, float("nan"), float("inf"), 0.1]
+    df = spark.createDataFrame([(v,) for v in values], "d double").select("d", F.col("d").cast("float").alias("f"), F.when(F.abs("d") < 1000, F.col("d")).cast("decimal(12,3)").alias("m"))
+    for c in df.columns:
+        number = strict_number_of(df, c)
+        assert "regexp" not in str(number) or c == "f"
+        pairs = [(strict_number(F.col(c)), number)]
+        for o in OPERATORS:
+            spec = {"operator": o, "value": [3, 12] if o in ("between", "outside") else 12, "tolerance": 0.5}
+            pairs.append((predicate(F.col(c), spec), predicate(F.col(c), spec, number)))
+        assert df.filter(~reduce(lambda a, b: a & b, (a.eqNullSafe(b) for a, b in pairs))).count() == 0
+
+
+def test_predicate_matrix_has_a_row_for_each_operator_of_an_empty_table(spark, tmp_path):
+    from quernstone.plans.catalog import PREDICATES, predicate_matrix
+
+    spark.createDataFrame([], "value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in predicate_matrix(spark, str(tmp_path)).collect()} == {(k, 0, 0) for k in PREDICATES}
