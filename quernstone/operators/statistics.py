@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .series import exact_quantiles
+
 UNCLASSIFIED = "(unclassified)"
 
 
+def _with_quantiles(by: DataFrame, rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by with exact quantiles of each of its few groups: values are counted first, and no task holds a group's values."""
+    counts = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    return by.join(exact_quantiles(materialize(counts, "quantile-values"), keys, "_v", "_times", shares), keys, "left")
+
+
 def eligibility(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that no reason excludes, and (reason, rows) of the first reason that excludes each other row."""
     why = F.lit(None).cast("string")
@@ -19,9 +28,10 @@ def eligibility(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, D
 
 def category_summary(df: DataFrame, key: str, value: str, dependency: str) -> DataFrame:
     """Count, mean, median and median dependency by category, the highest median first."""
-    by = df.groupBy(F.coalesce(F.col(key), F.lit(UNCLASSIFIED)).alias("category")).agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.avg(value), 1).alias("mean"), F.round(F.percentile(value, 0.5), 1).alias("median"), F.round(F.percentile(dependency, 0.5), 4).alias("median_dependency")
-    )
+    rows = df.select(F.coalesce(F.col(key), F.lit(UNCLASSIFIED)).alias("category"), F.col(value).alias("_value"), F.col(dependency).alias("_dependency"))
+    by = rows.groupBy("category").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("_value"), 1).alias("mean"))
+    by = _with_quantiles(_with_quantiles(by, rows, ["category"], "_value", {"median": 0.5}), rows, ["category"], "_dependency", {"median_dependency": 0.5})
+    by = by.withColumn("median", F.round("median", 1)).withColumn("median_dependency", F.round("median_dependency", 4))
     return by.orderBy(F.desc("median"), "category")
 
 
@@ -29,9 +39,10 @@ def feature_contrasts(df: DataFrame, features: list[str], value: str, minimum: i
     """Medians with and without each boolean feature, their ratio, and whether both groups are large enough."""
     long = df.select(value, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("flag")) for f in features))).alias("x"))
     by = long.groupBy(F.col("x.feature").alias("feature")).agg(
-        F.count_if(F.col("x.flag")).alias("n_with"), F.count_if(~F.col("x.flag")).alias("n_without"),
-        F.percentile(F.when(F.col("x.flag"), F.col(value)), 0.5).alias("median_with"), F.percentile(F.when(~F.col("x.flag"), F.col(value)), 0.5).alias("median_without"),
-    )
+        F.count_if(F.col("x.flag")).alias("n_with"), F.count_if(~F.col("x.flag")).alias("n_without")
+    )
+    for name, held in (("median_with", F.col("x.flag")), ("median_without", ~F.col("x.flag"))):
+        by = _with_quantiles(by, long.filter(held).select(F.col("x.feature").alias("feature"), value), ["feature"], value, {name: 0.5})
     enough = (F.col("n_with") >= minimum) & (F.col("n_without") >= minimum)
     return by.select("feature", "n_with", "n_without", "median_with", "median_without", F.when(enough, F.round(F.try_divide("median_with", "median_without"), 4)).alias("median_ratio"), enough.alias("eligible"))
 
@@ -40,7 +51,8 @@ def distribution(df: DataFrame, value: str, top: int = 3) -> DataFrame:
     """One row: count, sum, quartiles, and the share of the top few values."""
     # the top values come from a bounded heap in every task, not from a global sort
     highest = df.select(F.col(value).cast("double").alias("v")).orderBy(F.desc("v")).limit(top).agg(F.sum("v").alias("v"))
-    one = df.agg(F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("total"), F.percentile(value, 0.25).alias("p25"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("p75"))
+    one = df.agg(F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
+    one = _with_quantiles(one.withColumn("_all", F.lit(0)), df.withColumn("_all", F.lit(0)), ["_all"], value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
     return one.select("n", "total", "p25", "median", "p75", F.round(F.try_divide(highest.scalar(), F.col("total")), 6).alias("top_share"))
 
 

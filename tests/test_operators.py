@@ -162,6 +162,20 @@ def test_rolling_origin_takes_equal_times_in_the_declared_order(spark):
     assert m.measure(df.withColumn("id", F.lit(1)), spec | {"order": ["id"]}, "at").first().status == "unverifiable"
 
 
+def test_quartiles_of_distributions_hold_no_values_in_one_task(spark):
+    """A percentile aggregate buffers every different value of a group in one task; these count values first."""
+    from quernstone.operators import statistics as st
+
+    df = spark.range(2001).select((F.col("id") * 3).cast("double").alias("v"), (F.col("id") % 2).cast("string").alias("k"), (F.col("id") % 2 == 0).alias("f"))
+    plans = {"distribution": st.distribution(df, "v"), "category": st.category_summary(df, "k", "v", "v"), "features": st.feature_contrasts(df, ["f"], "v")}
+    assert not [k for k, p in plans.items() if "percentile(" in p._jdf.queryExecution().optimizedPlan().toString()]
+    one = plans["distribution"].first()
+    assert (one.n, one.p25, one.median, one.p75) == (2001, 1500.0, 3000.0, 4500.0)
+    assert {(r.category, r.median) for r in plans["category"].collect()} == {("0", 3000.0), ("1", 3000.0)}
+    assert plans["features"].first().median_without == 3000.0
+    assert st.distribution(df.filter("v < 0"), "v").first().median is None
+
+
 def test_draws_of_a_sequence_are_those_of_python_however_many(spark):
     draw = random.Random(5)
     want = [draw.randrange(1500) for _ in range(3_000_000)]
