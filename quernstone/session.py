@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -24,6 +29,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Text bytes and rows of a batch that a Python step works on at once; a longer text is one step.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
+
+
+def bounded_slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices, so that the objects a step makes of them don't grow with what Spark puts into a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    marks = np.cumsum(sizes) // SLICE_BYTES + np.arange(len(sizes)) // SLICE_ROWS
+    cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(sizes)]
+    for a, b in pairwise(cuts):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for name that all executors share, below spark.checkpoint.dir; a local session without one, as in tests, gets one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

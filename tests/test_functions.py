@@ -118,3 +118,17 @@ def test_predicate_matrix_has_a_row_for_each_operator_of_an_empty_table(spark, t
 
     spark.createDataFrame([], "value double").write.parquet(f"{tmp_path}/events.parquet")
     assert {tuple(r) for r in predicate_matrix(spark, str(tmp_path)).collect()} == {(k, 0, 0) for k in PREDICATES}
+
+
+def test_slices_of_a_batch_are_bounded():
+    import pyarrow as pa
+
+    from quernstone import session
+
+    texts = ["x" * 700_000, None, "y" * 700_000, "", "z" * 3_000_000] + ["w"] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    parts = list(session.bounded_slices(batch, 1))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(len(texts)))
+    for p in parts:
+        assert len(p) <= session.SLICE_ROWS and (len(p) == 1 or sum(sizes := [len(t or "") for t in p.column(1).to_pylist()]) - max(sizes) <= session.SLICE_BYTES)
+    assert list(session.bounded_slices(batch.slice(0, 0), 1)) == []
