@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_slices
+
 LEAD = "_lead"
 
 
@@ -102,7 +104,7 @@ def contained_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame,
                 automaton.add_word(w, w)
             if shared.value:
                 automaton.make_automaton()
-            for batch in batches:
+            for batch in (part for whole in batches for part in bounded_slices(whole, 1)):
                 rows: list[tuple] = []
                 for owner, body in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                     seen: dict[str, list[int]] = {}
