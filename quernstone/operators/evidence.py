@@ -1,24 +1,26 @@
 """Evidence cards checked against their sources, and results against the plan they were bound to.
 
-A card names a source, its content's SHA-256 and a place in it. Sources are parsed once
-into units (lines, JSON nodes, the number of CSV records) and the places of all cards
-meet the units by equality: no source is read again for a card, and no card carries a
-source's content.
+A card names a source, its content's SHA-256 and a place in it. A source meets the set
+of places that its cards name and is parsed once into what is there (lines, JSON nodes,
+the number of CSV records), which the cards meet by equality: no source is read again
+for a card, and no card carries a source's content.
 """
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import json
-from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import LINE_ENDS, squeeze
+from ..session import SLICE_ROWS
 
 #: Kinds of place; the last four only have to be there.
 LOCATORS = ("json_pointer", "line_range", "csv_row", "text_span", "image", "pdf_pages", "video_frames")
@@ -29,59 +31,96 @@ DIRECTNESS = ("direct", "derived", "source_stated")
 CARD_FIELDS = ("claim", "source", "unit_id", "independence_group", "family_id", "lane", "directness")
 
 
-def canonical(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-
-
-def _nodes(value: Any, pointer: str = "") -> Iterator[tuple[str, str]]:
-    """Every node's pointer and canonical text."""
-    stack = [(pointer, value)]
-    while stack:
-        at, x = stack.pop()
-        yield at, canonical(x)
-        inner = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
-        stack += [(f"{at}/{str(k).replace('~', '~0').replace('/', '~1')}", v) for k, v in inner]
+_ENCODER = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per source the JSON nodes that its cards ask for, or the number of its CSV records; null for a source that can't be read so."""
-    for batch in batches:
+def canonical(value: Any) -> str:
+    return _ENCODER.encode(value)
+
+
+def _node(value: Any, pointer: str) -> str | None:
+    """Canonical text of the node that pointer names, None if there is none."""
+    if pointer and not pointer.startswith("/"):
+        return None
+    for token in pointer.split("/")[1:]:
+        if isinstance(value, dict):
+            key = token.replace("~1", "/").replace("~0", "~")
+            # one spelling names a node
+            if key not in value or key.replace("~", "~0").replace("/", "~1") != token:
+                return None
+            value = value[key]
+        elif isinstance(value, list):
+            if not (token.isascii() and token.isdigit() and len(token) < 19 and str(int(token)) == token and int(token) < len(value)):
+                return None
+            value = value[int(token)]
+        else:
+            return None
+    return canonical(value)
+
+
+_PARSED = pa.struct([("nodes", pa.list_(pa.string())), ("records", pa.int64())])
+
+
+@F.arrow_udf(T.StructType([T.StructField("nodes", T.ArrayType(T.StringType())), T.StructField("records", T.LongType())]))
+def _parsed(bodies: pa.Array, asks_csv: pa.Array, pointers: pa.Array) -> pa.Array:
+    """Per source the JSON node of each of its pointers and the number of its CSV records; null where it can't be read so or isn't asked."""
+    parts = []
+    for at in range(0, max(len(bodies), 1), SLICE_ROWS):
         out = []
-        for source, body, kind, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            try:
-                if kind == "csv_row":
-                    out.append((source, kind, None, str(sum(1 for _ in csv.DictReader(io.StringIO(body, newline=""))))))
-                else:
-                    asked = set(wanted)
-                    out += [(source, kind, at, text) for at, text in _nodes(json.loads(body)) if at in asked]
-                    out.append((source, kind, None, "read"))
-            except (ValueError, csv.Error, RecursionError):
-                out.append((source, kind, None, None))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["source", "kind", "pointer", "value"])
-
-
-def _units(cards: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(source, kind, pointer, value) of the sources that cards with JSON or CSV places name."""
-    asked = cards.filter(F.col("kind").isin("json_pointer", "csv_row")).select("source", "kind", F.coalesce("pointer", F.lit("")).alias("pointer")).distinct()
-    wanted = asked.groupBy("source", "kind").agg(F.collect_set("pointer").alias("wanted"))
-    rows = bodies.filter("body IS NOT NULL").join(wanted, "source").select("source", "body", "kind", "wanted")
-    return rows.mapInArrow(_parsed, "source string, kind string, pointer string, value string")
-
-
-def _quotes(cards: DataFrame, bodies: DataFrame) -> DataFrame:
-    """evidence_id, lines (of the source) and quoted (whether the lines of the place hold the quote, white space aside)."""
-    lines = F.split("body", LINE_ENDS)
-    # a text that ends with a line's end has no further line
-    whole = bodies.filter("body IS NOT NULL").select("source", F.when(F.col("body") == "", F.array().cast("array<string>")).when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines).alias("all_lines"))
-    counts = whole.select("source", F.size("all_lines").cast("long").alias("lines"))
-    placed = cards.filter("kind = 'line_range'").select("evidence_id", "source", "first", "last", "quote").join(counts, "source")
-    sound = placed.filter("first >= 1 AND last >= first AND last <= lines")
-    spread = sound.filter(F.trim(F.coalesce("quote", F.lit(""))) != "").select("evidence_id", "source", "quote", F.explode(F.sequence("first", "last")).alias("line"))
-    units = whole.select("source", F.posexplode("all_lines").alias("k", "text")).select("source", (F.col("k") + 1).cast("long").alias("line"), squeeze(F.col("text")).alias("text"))
-    met = spread.join(units, ["source", "line"]).groupBy("evidence_id", "quote").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "").alias("text"))
-    held = met.select("evidence_id", F.contains("text", squeeze(F.col("quote"))).alias("quoted"))
-    return placed.select("evidence_id", "lines").join(held, "evidence_id", "left")
+        for body, asks, wanted in zip(*(c.slice(at, SLICE_ROWS).to_pylist() for c in (bodies, asks_csv, pointers)), strict=True):
+            nodes = records = None
+            if body is not None and wanted:
+                with contextlib.suppress(ValueError, RecursionError):
+                    value = json.loads(body)
+                    nodes = [None if pointer is None else _node(value, pointer) for pointer in wanted]
+            if body is not None and asks:
+                with contextlib.suppress(ValueError, csv.Error, RecursionError):
+                    records = sum(1 for _ in csv.DictReader(io.StringIO(body, newline="")))
+            out.append({"nodes": nodes, "records": records})
+        parts.append(pa.array(out, _PARSED))
+    return pa.concat_arrays(parts)
+
+
+def _place(cards: DataFrame) -> DataFrame:
+    """cards with _place: what of its source a card has to see beside the source's figures."""
+    kind = F.col("kind")
+    lines = (kind == "line_range") & (F.trim(F.coalesce("quote", F.lit(""))) != "") & F.col("first").isNotNull() & F.col("last").isNotNull()
+    name = F.when(kind == "json_pointer", F.concat(F.lit("node "), F.coalesce("pointer", F.lit("")))).when(lines, F.concat_ws(" ", F.lit("lines"), F.col("first").cast("string"), F.col("last").cast("string")))
+    return cards.withColumn("_place", F.coalesce(name, F.lit("")))
+
+
+def _seen(cards: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, _place, value, actual, decoded, lines, records) for each place that cards name, and for the place "" of each of their sources.
+
+    value is the node's canonical text or the lines' without white space. A source meets the set of its places, and is
+    hashed, split and parsed there once; its content goes no further.
+    """
+    kind, named = F.col("kind"), F.col("_place") != ""
+    wanted = _place(cards).groupBy("source").agg(
+        F.collect_set(F.when(named, F.struct("_place", F.when(kind == "json_pointer", F.coalesce("pointer", F.lit(""))).alias("pointer"), "first", "last"))).alias("places"),
+        *(F.coalesce(F.bool_or(kind == k), F.lit(False)).alias(name) for k, name in (("json_pointer", "asks_json"), ("line_range", "asks_lines"), ("csv_row", "asks_csv"))),
+    )
+    text = F.col("content").cast("string")
+    body = F.when(F.is_valid_utf8(text), F.when(F.startswith(text, F.lit("\ufeff")), F.substr(text, F.lit(2))).otherwise(text))
+    # each column is bound by a projection of its own, so that it is computed once
+    met = sources.select("source", "content").join(wanted, "source").withColumn("_body", body).withColumn("_lines", F.split(F.when(F.col("asks_lines"), F.col("_body")), LINE_ENDS))
+    # a text that ends with a line's end has no further line, an empty one has none
+    met = met.select(
+        "source", "places", "asks_csv", "_lines", F.sha2("content", 256).alias("actual"), F.col("_body").isNotNull().alias("decoded"),
+        (F.size("_lines") - F.when(F.get("_lines", F.size("_lines") - 1) == "", 1).otherwise(0)).cast("long").alias("_count"),
+        F.when(F.col("asks_csv") | F.col("asks_json"), F.col("_body")).alias("_unparsed"),
+    ).withColumn("lines", F.when(F.col("_lines").isNotNull(), F.col("_count")))
+
+    def held(r: Column) -> Column:
+        sound = (r["first"] >= 1) & (r["last"] >= r["first"]) & (r["last"] <= F.col("lines"))
+        return F.when(sound, squeeze(F.array_join(F.slice("_lines", r["first"].cast("int"), (r["last"] - r["first"] + 1).cast("int")), "")))
+
+    unit = lambda place, value: F.struct(place.alias("_place"), value.cast("string").alias("value"))
+    pointers = F.when(F.col("_unparsed").isNotNull(), F.transform("places", lambda x: x["pointer"]))
+    spans = F.when(F.col("_lines").isNotNull(), F.transform("places", lambda x: F.when(x["pointer"].isNull(), held(x))))
+    read = met.select("source", "actual", "decoded", "lines", "places", spans.alias("_spans"), _parsed("_unparsed", "asks_csv", pointers).alias("_parsed"))
+    units = F.transform("places", lambda x, k: unit(x["_place"], F.coalesce(F.get(F.col("_parsed.nodes"), k), F.get(F.col("_spans"), k))))
+    return read.select("source", "actual", "decoded", "lines", F.col("_parsed.records").alias("records"), F.inline(F.concat(F.array(unit(F.lit(""), F.lit(None))), units)))
 
 
 def card_errors(cards: DataFrame, sources: DataFrame) -> DataFrame:
@@ -90,18 +129,10 @@ def card_errors(cards: DataFrame, sources: DataFrame) -> DataFrame:
     cards: evidence_id, the CARD_FIELDS, verified, source_sha256, kind, pointer, expected (JSON text), first, last, quote,
     row; sources: source and content (binary, UTF-8). Ids are checked for being there and unique.
     """
-    ids = cards.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("times"))
-    blank = F.trim(F.coalesce("evidence_id", F.lit(""))) == ""
-    by_id = ids.filter(blank | (F.col("times") > 1)).select("evidence_id", F.when(blank, "id_missing").otherwise("id_duplicated").alias("error"))
-    told = cards.filter("verified").dropDuplicates(["evidence_id"])
-    text = F.col("content").cast("string")
-    bodies = sources.select("source", F.sha2("content", 256).alias("actual"), F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\\x{FEFF}", "")).alias("body"))
-    marks = bodies.select("source", "actual", F.col("body").isNotNull().alias("decoded"))
-    met = told.join(marks, "source", "left")
-    units = _units(told, bodies)
-    state = units.filter("pointer IS NULL").select("source", "kind", F.col("value").alias("state"))
-    nodes = units.filter("pointer IS NOT NULL").select("source", "kind", F.col("pointer").alias("_pointer"), F.col("value").alias("node"))
-    met = met.join(state, ["source", "kind"], "left").withColumn("_pointer", F.coalesce("pointer", F.lit(""))).join(nodes, ["source", "kind", "_pointer"], "left").join(_quotes(told, bodies), "evidence_id", "left")
+    said = F.struct(*(c for c in cards.columns if c != "evidence_id"))
+    told = cards.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("_times"), F.first(F.when(F.col("verified"), said), ignorenulls=True).alias("_card"))
+    seen = _seen(cards.filter("verified"), sources)
+    met = _place(told.select("evidence_id", "_times", F.col("_card").isNotNull().alias("_told"), "_card.*")).join(seen, ["source", "_place"], "left")
     there, kind = F.col("actual").isNotNull(), F.col("kind")
     declared = F.lower(F.trim(F.coalesce("source_sha256", F.lit(""))))
     hashed = declared.rlike("^[0-9a-f]{64}$")
@@ -109,16 +140,19 @@ def card_errors(cards: DataFrame, sources: DataFrame) -> DataFrame:
 
     def placed() -> Column:
         unread = ~F.col("decoded") & ~kind.isin(*UNREAD)
-        json_place = F.when(F.col("state").isNull() | F.col("node").isNull(), "locator_unresolvable").when(F.col("expected").isNotNull() & (F.col("node") != F.col("expected")), "locator_expected_mismatch")
-        lines = F.when(F.col("first").isNull() | F.col("last").isNull(), "locator_unresolvable").when((F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("last") > F.col("lines")), "locator_line_range_invalid").when(~F.col("quoted"), "locator_quote_mismatch")
-        rows = F.when(F.col("row").isNull() | F.col("state").isNull(), "locator_unresolvable").when((F.col("row") < 1) | (F.col("row") > F.col("state").cast("long")), "locator_csv_row_invalid")
+        json_place = F.when(F.col("value").isNull(), "locator_unresolvable").when(F.col("expected").isNotNull() & (F.col("value") != F.col("expected")), "locator_expected_mismatch")
+        lines = F.when(F.col("first").isNull() | F.col("last").isNull(), "locator_unresolvable").when((F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("last") > F.col("lines")), "locator_line_range_invalid").when(~F.contains("value", squeeze(F.col("quote"))), "locator_quote_mismatch")
+        rows = F.when(F.col("row").isNull() | F.col("records").isNull(), "locator_unresolvable").when((F.col("row") < 1) | (F.col("row") > F.col("records")), "locator_csv_row_invalid")
         return F.when(kind.isNull(), "locator_missing").when(~kind.isin(*LOCATORS), "locator_type_invalid").when(unread, "locator_unresolvable").when(kind == "json_pointer", json_place).when(kind == "line_range", lines).when(kind == "csv_row", rows)
 
     checks = [error(f"{c}_missing", F.trim(F.coalesce(F.col(c), F.lit(""))) == "") for c in CARD_FIELDS] + [
         error("directness_invalid", ~F.coalesce(F.col("directness").isin(*DIRECTNESS), F.lit(False))), error("source_file_missing", ~there),
         error("source_sha256_missing_or_invalid", there & ~hashed), error("source_sha256_mismatch", there & hashed & (declared != F.col("actual"))), F.when(there, placed()),
     ]
-    return by_id.unionByName(met.select("evidence_id", F.explode(F.array_compact(F.array(*checks))).alias("error")))
+    blank = F.trim(F.coalesce("evidence_id", F.lit(""))) == ""
+    by_id = F.when(blank, "id_missing").when(F.col("_times") > 1, "id_duplicated")
+    found = F.array_compact(F.array(by_id, *(F.when(F.col("_told"), c) for c in checks)))
+    return met.select("evidence_id", F.explode(found).alias("error"))
 
 
 #: What a result's binding and the plan's target must agree on, by layer; "a=b" is a of the binding and b of the target.

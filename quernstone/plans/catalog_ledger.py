@@ -127,7 +127,7 @@ def evidence_check(spark: SparkSession, sf: str) -> DataFrame:
     said = [F.lit("seen").alias(c) for c in ("claim", "unit_id", "independence_group", "family_id", "lane")] + [F.lit(True).alias("verified")]
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
-    first = F.get(F.split("text", LINE_ENDS), F.lit(0))
+    first = F.get(F.split("text", LINE_ENDS, 2), F.lit(0))
     lines = docs.select(
         name("L", "doc_id").alias("evidence_id"), name("doc", "doc_id").alias("source"), *said, F.when(F.col("lang") == "de", "hearsay").otherwise("direct").alias("directness"),
         F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("content", 256)).alias("source_sha256"), F.lit("line_range").alias("kind"), *none("string", "pointer", "expected"),

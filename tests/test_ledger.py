@@ -179,6 +179,24 @@ def test_cards_against_sources(spark):
     assert got == sorted([(f"e{k}", e) for k, (_, _, errors) in enumerate(PLACES) for e in errors] + [("twice", "id_duplicated"), ("", "id_missing")])
 
 
+def test_cards_read_each_source_once(spark, tmp_path):
+    """Nodes have one spelling, places are met once, and the sources' content is scanned and shuffled once for all kinds of place."""
+    contents = [("j", b'{"a": ["x", {"b~c/d": 2}], "": {"0": []}}'), ("t", "one\ntwo\u2028three".encode())]
+    spark.createDataFrame(contents, "source string, content binary").write.parquet(str(tmp_path / "sources"))
+    spots = {"": True, "/a/0": True, "/a/00": False, "/a/-1": False, "/a/2": False, "/a/1/b~0c~1d": True, "/a/1/b~c~1d": False, "a": False, "/": True, "//0": True, "/a/0/0": False, "/a/\u0660": False}
+    sha = {k: hashlib.sha256(v).hexdigest() for k, v in contents}
+    cards = [CARD | {"evidence_id": at, "source": "j", "source_sha256": sha["j"], "kind": "json_pointer", "pointer": at} for at in spots]
+    cards = [c | {"evidence_id": f"n {c['evidence_id']}"} for c in cards] + [CARD | {"evidence_id": f"l{a}{b}", "source": "t", "source_sha256": sha["t"], "kind": "line_range", "first": a, "last": b, "quote": q} for a, b, q in ((1, 2, "eto ne"), (2, 3, "two three"), (1, 4, "o"), (1, 1, "two"), (3, 2**40, "o"))]
+    frame = spark.createDataFrame([tuple(c[n.split()[0]] for n in KINDS_OF_CARD.split(", ")) for c in cards], KINDS_OF_CARD)
+    frame.write.parquet(str(tmp_path / "cards"))
+    found = evidence.card_errors(spark.read.parquet(str(tmp_path / "cards")), spark.read.parquet(str(tmp_path / "sources")))
+    want = [(f"n {at}", "locator_unresolvable") for at, there in spots.items() if not there] + [("l14", "locator_line_range_invalid"), ("l11", "locator_quote_mismatch"), ("l3" + str(2**40), "locator_line_range_invalid"), ("l12", "locator_quote_mismatch")]
+    assert sorted((r.evidence_id, r.error) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # a scan of the sources is told by their column
+    assert sum("FileScan" in line and "content" in line for line in plan.splitlines()) == 1 and plan.count("FileScan") == 3
+
+
 def test_bindings_against_the_plan(spark):
     plan = {"target": '"t"', "outcome_field": '"v"', "planned_method": '"m"', "validation": "1"}
     targets = spark.createDataFrame([("predictive", k, v) for k, v in plan.items()], "layer string, field string, value string")
