@@ -3,6 +3,8 @@
 A prefix join expands the names of one side into all their prefixes, with what is
 needed of each already aggregated, and meets the other side by equality. So a short
 name that many others begin with is one row, and no range is compared with another.
+Both sides are shuffled: Spark takes the expanded rows for as many as the names, and
+would send them through the driver to be broadcast.
 Phrases are looked for by automata that read every text once.
 """
 
@@ -29,6 +31,11 @@ def _expanded(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.filter(F.char_length(name) > 0).withColumn(LEAD, F.explode(_prefixes(F.col(name))))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """left joined with right, neither of which is broadcast, whatever sizes Spark expects."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def match_directories(articles: DataFrame, directories: DataFrame, keys: list[str], article: str, title: str, directory: str, name: str) -> DataFrame:
     """article, directory and match (exact_title, prefix_title, ambiguous or unmatched) of every article.
 
@@ -66,11 +73,11 @@ def match_covers(articles: DataFrame, covers: DataFrame, keys: list[str], articl
     titles = wanted.select(*keys, "_title").distinct()
     figures = [F.sum("_times").alias("_times"), F.min("_cover").alias("_cover")]
     longer = _expanded(names, keys, "_name").groupBy(*keys, F.col(LEAD).alias("_title")).agg(*figures)
-    shorter = _expanded(titles, keys, "_title").join(names.withColumnRenamed("_name", LEAD), [*keys, LEAD]).groupBy(*keys, "_title").agg(*figures)
+    shorter = _shuffled(_expanded(titles, keys, "_title"), names.withColumnRenamed("_name", LEAD), [*keys, LEAD], "inner").groupBy(*keys, "_title").agg(*figures)
     same = names.select(*keys, F.col("_name").alias("_title"), "_times", "_cover")
     by = [*keys, "_title"]
     all_ = same.unionByName(longer).unionByName(shorter).groupBy(*by).agg(*figures)
-    found = wanted.join(all_, by, "left")
+    found = _shuffled(wanted, all_, by, "left")
     return found.select(article, F.when(F.col("_times") == 1, F.col("_cover")).alias(cover), F.coalesce("_times", F.lit(0)).alias("candidates"))
 
 
