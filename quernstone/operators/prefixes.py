@@ -55,11 +55,13 @@ def match_directories(articles: DataFrame, directories: DataFrame, keys: list[st
     # names beginning with the title: the first of them in order
     longer = _expanded(names, keys, "_name").groupBy(*keys, F.col(LEAD).alias("_title")).agg(best(F.col("_name")).alias("_longer"))
     # names that the title begins with: the longest; its prefixes meet the names by equality
-    shorter = _expanded(titles, keys, "_title").join(names.withColumnRenamed("_name", LEAD), [*keys, LEAD]).groupBy(*keys, "_title")
+    shorter = _shuffled(_expanded(titles, keys, "_title"), names.withColumnRenamed("_name", LEAD), [*keys, LEAD], "inner").groupBy(*keys, "_title")
     shorter = shorter.agg(F.max_by(F.struct(F.col(LEAD).alias("_name"), "_times", "_directory"), F.char_length(LEAD)).alias("_shorter"))
     same = names.select(*keys, F.col("_name").alias("_title"), F.struct("_name", "_times", "_directory").alias("_same"))
     by = [*keys, "_title"]
-    found = wanted.join(same, by, "left").join(longer, by, "left").join(shorter, by, "left").withColumn("_best", F.coalesce("_same", "_longer", "_shorter"))
+    for part in (same, longer, shorter):
+        wanted = _shuffled(wanted, part, by, "left")
+    found = wanted.withColumn("_best", F.coalesce("_same", "_longer", "_shorter"))
     clear = F.col("_best._times") == 1
     match = F.when(F.col("_best").isNull(), "unmatched").when(~clear, "ambiguous").when(F.col("_same").isNotNull(), "exact_title").otherwise("prefix_title")
     return found.select(article, F.when(clear, F.col("_best._directory")).alias(directory), match.alias("match"))

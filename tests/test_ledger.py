@@ -183,7 +183,7 @@ def test_prefix_joins_are_shuffled(spark):
     """Expanded names are many times what Spark expects of them, so none is broadcast, however small they look."""
     names = spark.createDataFrame([("k", f"d{n}", "abcdefgh"[:n]) for n in range(1, 9)], "key string, dir string, name string").repartition(2)
     titles = spark.createDataFrame([("k", 1, "abcdefghij"), ("k", 2, "abc"), ("k", 3, "x")], "key string, id long, title string").repartition(2)
-    for match, want in ((prefixes.match_covers, {(1, None, 8), (2, None, 8), (3, None, 0)}),):
+    for match, want in ((prefixes.match_directories, {(1, "d8", "prefix_title"), (2, "d3", "exact_title"), (3, None, "unmatched")}), (prefixes.match_covers, {(1, None, 8), (2, None, 8), (3, None, 0)})):
         found = match(titles, names, ["key"], "id", "title", "dir", "name")
         assert {tuple(r) for r in found.collect()} == want
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
