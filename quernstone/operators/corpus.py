@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import classify, normalize_title, stable_id
 from ..functions.types import strip
+from ..session import materialize
 
 #: Formats of one text, the best first; files of other formats are no siblings.
 FORMAT_PRIORITY = ("md", "txt", "html", "htm", "mhtml")
@@ -233,8 +234,14 @@ def capture_units(images: DataFrame, path: str = "path") -> DataFrame:
     A unit's members stay rows: none is gathered into an array, however many there are.
     """
     file = F.col(path)
-    numbered = F.when(sequence_stem(file).isNotNull(), F.concat_ws("|", _parent(file), F.lit("page"), sequence_stem(file)))
-    key = F.coalesce(capture_session(file), numbered)
-    keyed = images.select(path).distinct().withColumn("_key", F.coalesce(key, F.concat(F.lit("\0"), file)))
+    day, whole, head = F.col("_day"), F.col("_whole"), F.col("_head")
+    # each step is bound by a projection of its own, so that a pattern is tried once on a name
+    named = images.select(path).distinct().withColumn("_stem", stem(file)).withColumn("_day", F.regexp_extract("_stem", CAPTURE, 1))
+    named = named.withColumn("_whole", F.when(day == "", strip(F.col("_stem")))).withColumn("_head", strip(F.regexp_replace(whole, PAGE_END, "")))
+    named = named.withColumn("_name", F.nullif(normalize_title(F.when((head != whole) & (head != ""), head)), F.lit("")))
+    session = F.when(day != "", F.concat_ws("|", _parent(file), F.replace(day, F.lit("_"), F.lit("-")), F.regexp_extract("_stem", CAPTURE, 2)))
+    numbered = F.when(F.col("_name").isNotNull(), F.concat_ws("|", _parent(file), F.lit("page"), F.col("_name")))
+    # written once: units and members both read the keys
+    keyed = materialize(named.select(path, F.coalesce(session, numbered, F.concat(F.lit("\0"), file)).alias("_key")), "capture-keys")
     units = keyed.groupBy("_key").agg(F.min(F.struct(F.lower(path).alias("low"), file.alias("first"))).alias("u"), F.count(F.lit(1)).alias("members"))
     return keyed.join(units, "_key").select(path, F.col("u.first").alias("unit"), "members")

@@ -83,6 +83,15 @@ def test_capture_units(spark):
         assert spark.createDataFrame([(path,)], "p string").select(corpus.export_stem(F.col("p"))).first()[0] == want, path
 
 
+def test_capture_keys_are_made_once(spark):
+    """What follows the keys reads them, instead of trying the patterns on every name again."""
+    paths = ["a/Screenshot_2024-01-05_101112.png", "a/Screenshot_2024-01-05_100000 page 2.png", "a/ x page 2.png", "a/X-P3.png", "a/page 2.png", None]
+    found = corpus.capture_units(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {(r.path, r.members) for r in found.collect()} == {(p, 1 if p == "a/page 2.png" else 2) for p in paths if p}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "_nfkc" not in plan
+
+
 def test_best_ocr_run_rounds_as_its_sql(spark, tmp_path):
     import duckdb
 
