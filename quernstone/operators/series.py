@@ -113,7 +113,13 @@ def exact_quantiles(values: DataFrame, keys: list[str], value: str, weight: str,
     real = values.filter(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_one"), F.col(value).alias("_v"), F.col(weight).alias("_n"))
     by = [*keys, "_one"]
     cuts = real.groupBy(*by).agg(F.percentile_approx("_v", [k / CUTS for k in range(1, CUTS)], 1000).alias("_cuts"), F.sum("_n").alias("_total"))
-    cut = real.join(F.broadcast(cuts), by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    # how many cuts are below the value, by halving
+    cut = real.join(F.broadcast(cuts), by).withColumn("_range", F.lit(0))
+    step = CUTS // 2
+    while step:
+        cut = cut.withColumn("_range", F.col("_range") + F.when(F.get("_cuts", F.col("_range") + (step - 1)) < F.col("_v"), step).otherwise(0))
+        step //= 2
+    cut = cut.drop("_cuts")
     sizes = cut.groupBy(*by, "_range", "_total").agg(F.sum("_n").alias("_size"))
     upto = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range"))
     place = lambda p: F.lit(p) * (F.col("_total") - 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import random
 import statistics
@@ -15,6 +16,28 @@ from quernstone.operators import measure as m
 from quernstone.operators import text as ot
 
 
+def test_profile_of_typed_columns_is_that_of_their_texts(spark, monkeypatch):
+    """Whole numbers, doubles and days are counted as they are, with the figures of their texts; only texts are read for numbers."""
+    day, inf = datetime.date(2024, 1, 2), float("inf")
+    rows = [(1, 2**53 + 1, 0.0, day, "1,5", True), (2, None, -0.0, day, " ", False), (2, -(2**63), float("nan"), None, None, True), (None, 0, inf, day.replace(year=2020), "nan", None), (5, 7, 1e-9, day, "1e3", True), (5, 7, 1e20, day, "0.10", True), (5, 7, None, day, "0.1", True)]
+    df = spark.createDataFrame(rows, "a int, b long, c double, d date, e string, f boolean")
+    texts = {tuple(r) for r in table.profile(table.as_text(df)).collect()}
+    read = []
+    monkeypatch.setattr(table, "lenient_number", lambda c, real=table.lenient_number: read.append(c) or real(c))
+    assert {tuple(r) for r in table.profile(df).collect()} == texts
+    table.profile(df.select("a", "b", "c", "d"))
+    assert len(read) == 1
+
+
+def test_quantiles_find_their_range_by_halving(spark):
+    """The range of a value is the number of cuts below it, also where cuts are equal; no array is searched through for a row."""
+    for values in ([(float(v), 1) for v in range(1000)], [(0.0, 500), (1.0, 3), (2.5, 400)], [(4.0, 1)], [(-1.0, 2), (8.0, 2)]):
+        df = spark.createDataFrame([("g", *v) for v in values], "g string, v double, n long")
+        found = series.exact_quantiles(df, ["g"], "v", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+        assert tuple(found.first())[1:] == pytest.approx(np.quantile(np.repeat(*zip(*values, strict=True)), [0.25, 0.5, 0.75]))
+        assert "size(filter(_cuts" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_profile_tells_missing_from_zero(spark):
     df = spark.createDataFrame([("0",), ("",), (None,), ("3",), ("x",)], "a string")
     r = table.profile(df).first()
