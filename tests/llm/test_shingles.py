@@ -154,3 +154,64 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (200, 201)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
+
+
+def test_each_text_is_read_into_shingles_once(spark, monkeypatch):
+    """Copies of a text, and other texts with the same set, fall together without a pass over all texts before."""
+    passes, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, real=frame.mapInArrow, **b: passes.append(f) or real(self, f, *a, **b))
+    one, other = helpers.words(30, 500), helpers.words(12, 900)
+    texts = [one, one, one.upper(), one.replace(" ", "\n\t "), f"{other} {other} {other}", f"{other}  {other} {other} {other}", other, "A b", "a B ", "a", " ", None, f"{one} {helpers.words(4, 700)}"]
+    rows = list(enumerate(texts)) + [(None, one.upper()), (None, other)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert len(passes) == 1
+
+
+def test_words_across_blocks(monkeypatch):
+    """A word's hash depends on its bytes alone, wherever blocks of a text end."""
+    random.seed(8)
+    texts = [None, b"", b" \t\n", b"Ab c\x0bD\x0ce  f\rg", b"ab C d e f g ", b"x" * 300 + b" y z", b"x" * 299 + b" y z", b"a b c d", b"a b c d e", "é à é à é à é à".encode()]
+    texts += [" ".join(random.choices(["aa", "b", "ccc", "é", "A"], k=k)).encode() for k in range(0, 90, 3)]
+    sets = shingles.shingle_sets(texts)
+    assert [len(s) for s in sets] == [len(sets_of(t.decode() if t else "")) for t in texts]
+    assert (sets[3] == sets[4]).all() and sets[5] != sets[6]
+    monkeypatch.setattr(shingles, "_BLOCK_BYTES", 16)
+    assert all((a == b).all() for a, b in zip(sets, shingles.shingle_sets(texts), strict=True))
+
+
+def test_families_of_fewer_blocks_than_prefix_shingles_stay_whole(spark, monkeypatch):
+    """Taken apart, they would come once for each shingle of a prefix, and be verified as often."""
+    monkeypatch.setattr(shingles, "CELL_SHINGLES", 500)
+    monkeypatch.setattr(shingles, "DIRECT_BLOCKS", 1)
+    made = {}
+    monkeypatch.setattr(shingles, "materialize", lambda df, name, real=shingles.materialize: made.update({name: real(df, name)}) or made[name])
+    monkeypatch.setattr(shingles, "discard", lambda df: None)
+    rows = near_copies(9, 1, 40, 90)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    most = made["families"].orderBy(F.desc("blocks")).first()
+    assert 2 < most.blocks < most.reach and "family-shingles" not in made
+
+
+def test_links_of_a_family_against_brute_force():
+    random.seed(10)
+    for sided in (False, True):
+        for _ in range(20):
+            count = random.randrange(2, 60)
+            base = random.sample(range(1000), random.randrange(4, 40))
+            sets = [np.array(sorted({random.randrange(1000) if random.random() < random.choice([0, 0.05, 0.2]) else x for x in base}), np.int64) for _ in range(count)]
+            sizes = [len(s) + random.choice([0, 0, 1]) for s in sets]
+            groups = [hash((n, *s.tolist())) for n, s in zip(sizes, sets)]
+            sides = [random.randrange(2) for _ in sets] if sided else None
+            links = shingles.family_links(list(range(count)), sizes, groups, sets, sets, sides)
+            up = list(range(count))
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            linked = lambda i, j: 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 75 * (sizes[i] + sizes[j] - len(set(sets[i].tolist()) & set(sets[j].tolist())))
+            assert all(linked(i, j) and (not sides or sides[i] != sides[j]) for i, j in links) and len(links) < count
+            for i, j in links:
+                up[root(i)] = root(j)
+            assert all(root(i) == root(j) for i in range(count) for j in range(i) if linked(i, j) and (not sides or sides[i] != sides[j]))
