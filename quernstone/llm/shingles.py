@@ -57,7 +57,7 @@ CHUNK_BYTES = 8 << 20
 CHUNK_DOCUMENTS = 60_000
 #: Shingles, about, whose frequency one task counts at a time; before the text is dealt a second time, RANGE_MOST times as many.
 RANGE_SHINGLES = 1_000_000
-RANGE_MOST = 4
+RANGE_MOST = 3
 #: Bytes of text, about, for each distinct shingle.
 SHINGLE_BYTES = 7
 #: Bits of the hash that one exchange deals by.
